@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftloom.llm.encoding import restore
 from driftloom.llm.mixing import Mixture, mix
 from driftloom.llm.packing import pack
 from driftloom.llm.runs import RunSpec, collapse_runs
@@ -53,7 +54,17 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).shares
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_runs, p6_pack, p7_mix, p7_shares)}
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents decoded with the wrong encoding, with the text restored."""
+    return restore(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by their ids."""
+    return p8_restored(spark, folder).select("doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_runs, p6_pack, p7_mix, p7_shares, p8_found, p8_restored)}
 
 _RUNS = f"""
     WITH seen AS (SELECT reading_id, "user.id" AS u, "remote.user.id.if.known" AS r, "time" AS t FROM proximity WHERE "time" >= TIMESTAMP '{DAY0} 00:00:00'),
