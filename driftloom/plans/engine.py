@@ -406,7 +406,8 @@ _DISTANCE = f"""
     SELECT series_id, t, metric, CASE WHEN t = 0 THEN 0 WHEN metric = 'mahalanobis' THEN round(s, 4) ELSE round(s, 8) END AS s FROM (
     SELECT series_id, t, 'euclidean' AS metric, sqrt(list_sum(list_transform(d, lambda v: v * v))) AS s FROM w UNION ALL
     SELECT series_id, t, 'chebyshev', list_max(list_transform(d, lambda v: abs(v))) FROM w UNION ALL
-    SELECT series_id, t, 'cosine', 1 - list_dot_product(x, c) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(c, c))) FROM w UNION ALL
+    SELECT series_id, t, 'cosine', CASE WHEN list_dot_product(x, x) * list_dot_product(c, c) > 0 THEN 1 - list_dot_product(x, c) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(c, c)))
+        ELSE sqrt(list_dot_product(d, d)) END FROM w UNION ALL
     SELECT series_id, t, 'mahalanobis', CASE WHEN t < 2 THEN sqrt(d[1] * d[1] + d[2] * d[2])
         ELSE sqrt(greatest(0, (s2 * d[1] * d[1] - 2 * ab * d[1] * d[2] + s1 * d[2] * d[2]) / (s1 * s2 - ab * ab))) END FROM q)"""
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +58,18 @@ def width(spark: SparkSession) -> int:
 def tasks_for(spark: SparkSession, rows: int, rows_per_task: int) -> int:
     """Tasks for ``rows`` rows at ``rows_per_task`` each, at least one."""
     return max(1, math.ceil(rows / rows_per_task))
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the session's Python workers, once per session, wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_driftloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    # Written where the driver runs; Spark itself serves it to the executors.
+    archive = Path(tempfile.mkdtemp(prefix="driftloom-")) / "driftloom.zip"
+    with zipfile.ZipFile(archive, "w") as file:
+        for source in sorted(package.rglob("*.py")):
+            file.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._driftloom_shipped = True
