@@ -119,7 +119,9 @@ def collapse_runs(events: DataFrame, spec: RunSpec) -> DataFrame:
     runs = runs.withColumn("lane", F.when(F.col("at_edge"), F.lit(-1)).otherwise(F.col("place")))
     lane = W.partitionBy("entity", "lane").orderBy("place")
     before = {c: F.lag(c).over(lane) for c in ("event", "to_at", "place")}
-    joins = before["place"].isNotNull() & before["event"].eqNullSafe(F.col("event")) & (F.col("from_at") - before["to_at"] <= gap)
+    # A partition's own first and last run have others between them, or a break.
+    elsewhere = F.shiftright(before["place"], 33) < F.shiftright(F.col("place"), 33)
+    joins = before["place"].isNotNull() & elsewhere & before["event"].eqNullSafe(F.col("event")) & (F.col("from_at") - before["to_at"] <= gap)
     runs = runs.withColumn("opens", ~joins)
     runs = runs.withColumns({"run": F.sum(F.col("opens").cast("int")).over(lane), "closes": F.coalesce(F.lead("opens").over(lane), F.lit(True))})
     whole = runs.groupBy("entity", "lane", "run").agg(
