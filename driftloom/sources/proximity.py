@@ -36,7 +36,8 @@ class ContactGraphs:
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """The log from CSV with a header and ``NA`` for missing values."""
-    return spark.read.schema(SCHEMA).csv(path, header=True, nullValue="NA", timestampNTZFormat="yyyy-MM-dd HH:mm:ss[.SSSSSS]")
+    reader = spark.read.schema(SCHEMA).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.[SSSSSS][SSSSS][SSSS][SSS][SS][S]]")
+    return reader.csv(path, header=True, nullValue="NA")
 
 
 def contacts(log: DataFrame, threshold: float = 0.0, day0: str = DAY0, n_days: int = N_DAYS) -> DataFrame:
