@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftloom.functions.times import micros
+from driftloom.session import width
 
 
 @dataclass(frozen=True)
@@ -74,7 +75,9 @@ def regular_grid(readings: DataFrame, spec: GridSpec) -> DataFrame:
         F.when(~F.isnan(value), value).alias("v"),
     ).filter(F.col("period") >= 0)
     per_period = rows.groupBy(*names, "period").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("v"))
-    series = per_period.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("period", "n", "v"))).alias("seen"))
+    # The imputation is work per key, not per byte: a fixed number of tasks keeps the few bytes from being merged into one.
+    spread = per_period.repartition(width(readings.sparkSession), *names)
+    series = spread.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("period", "n", "v"))).alias("seen"))
     series = series.select(*names, F.col("seen.period").alias("period"), F.col("seen.n").alias("n"), F.col("seen.v").alias("v"))
 
     schema = T.StructType(
