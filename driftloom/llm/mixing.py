@@ -67,6 +67,7 @@ def mix(items: DataFrame, item_id: str, source: str, size: str, targets: DataFra
     of 0; other columns, whatever their names, are ignored.
     """
     rows = items.select(F.col(item_id).alias("item_id"), F.col(source).alias("source"), F.col(size).cast("bigint").alias("size"))
+    rows = cut(rows)  # read several times, and sizes may be costly to get
     stats = rows.groupBy("source").agg(F.count("size").alias("rows"), F.sum("size").alias("tokens"), F.max("size").alias("largest"))
     wanted = targets.select("source", F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats"))
     wanted = wanted.filter(F.col("source").isNotNull())

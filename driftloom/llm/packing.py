@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftloom.session import tasks_for
+from driftloom.session import cut, tasks_for
 
 PACKED = "container string, container_id bigint, item_id {id}, source {source}, piece int, n_pieces int, size bigint"
 
 
-def pack(items: DataFrame, item_id: str, source: str, size: str, capacities: dict[str, int], rows_per_slot: int = 20_000) -> DataFrame:
+def pack(items: DataFrame, item_id: str, source: str, size: str, capacities: dict[str, int], rows_per_slot: int = 10_000) -> DataFrame:
     """Every item in containers of each named capacity.
 
     Returns ``container`` (the capacity's name), ``container_id``, ``item_id,
@@ -46,26 +46,26 @@ def pack(items: DataFrame, item_id: str, source: str, size: str, capacities: dic
     if not capacities or min(capacities.values()) < 1:
         raise ValueError("capacities must be positive")
     rows = items.select(F.col(item_id).alias("item_id"), F.col(source).alias("source"), F.col(size).cast("bigint").alias("size"))
-    rows = rows.filter(F.col("size").isNotNull())
+    # Written once: the sizes may be costly to get, and a row's number must stay the same if a task runs again.
+    rows = cut(rows.filter(F.col("size").isNotNull()).withColumn("row", F.monotonically_increasing_id()))
     slots = tasks_for(items.sparkSession, rows.count(), rows_per_slot)
-    rows = rows.withColumn("slot", F.pmod(F.xxhash64("item_id", "size"), F.lit(slots)).cast("int"))
-
-    # One row per slot and source: tokens, the slot's tokens, and the source's share of all tokens.
-    totals = rows.groupBy("slot", "source").agg(F.sum("size").alias("tokens"))
-    per_slot = totals.groupBy("slot").agg(F.sum("tokens").alias("all"))
-    per_source = totals.groupBy("source").agg(F.sum("tokens").alias("of_source"))
-    # Every source has a deficit in every slot, also where it has no item. Both sides have a row per slot and source at most.
-    every = per_source.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    here = totals.select(F.col("slot").alias("in_slot"), F.col("source").alias("of"), "tokens")
-    carry = (
-        every.join(here, (F.col("slot") == F.col("in_slot")) & F.col("source").eqNullSafe(F.col("of")), "left")
-        .select("slot", "source", "of_source", F.coalesce("tokens", F.lit(0)).alias("tokens"))
-        .join(per_slot, "slot")
-    )
-    everything = W.partitionBy("slot")
-    earlier = W.partitionBy("source").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
-    carry = carry.withColumn("share", F.when(F.sum("of_source").over(everything) > 0, F.col("of_source") / F.sum("of_source").over(everything)).otherwise(0.0))
-    carry = carry.select(F.col("slot").alias("of_slot"), F.col("source").alias("queue"), "share", F.coalesce(F.sum(F.col("share") * F.col("all") - F.col("tokens")).over(earlier), F.lit(0.0)).alias("deficit"))
+    # Dealt by row, not by id: any number of rows may share an id.
+    rows = rows.select("item_id", "source", "size", F.pmod(F.xxhash64("row"), F.lit(slots)).cast("int").alias("slot"))
+
+    # One row per slot and source that meet in it; everything below is computed from these few.
+    totals = cut(rows.groupBy("slot", "source").agg(F.sum("size").alias("tokens")))
+    whole = totals.agg(F.sum("tokens")).first()[0] or 1
+    of_source = W.partitionBy("source").orderBy("slot")
+    earlier = W.unboundedPreceding, -1
+    slots_before = totals.groupBy("slot").agg(F.sum("tokens").alias("all"))
+    slots_before = slots_before.select(F.col("slot").alias("of_slot"), F.coalesce(F.sum("all").over(W.orderBy("slot").rowsBetween(*earlier)), F.lit(0)).alias("all_before"))
+    carry = totals.select(
+        F.col("slot").alias("of_slot"),
+        F.col("source").alias("queue"),
+        (F.sum("tokens").over(of_source.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) / F.lit(float(whole))).alias("share"),
+        F.coalesce(F.sum("tokens").over(of_source.rowsBetween(*earlier)), F.lit(0)).alias("before"),
+    ).join(slots_before, "of_slot")
+    carry = carry.select("of_slot", "queue", "share", (F.col("share") * F.col("all_before") - F.col("before")).alias("deficit"))
 
     named = dict(sorted(capacities.items()))
     kinds = dict(rows.dtypes)
@@ -92,7 +92,9 @@ def pack(items: DataFrame, item_id: str, source: str, size: str, capacities: dic
             }
         )
 
-    return rows.groupBy("slot").cogroup(carry.groupBy("of_slot")).applyInArrow(fill, schema)
+    # Packing is work per item, not per byte: each slot keeps a task of its own.
+    left = rows.repartitionById(slots, F.col("slot")).groupBy("slot")
+    return left.cogroup(carry.repartitionById(slots, F.col("of_slot")).groupBy("of_slot")).applyInArrow(fill, schema)
 
 
 def fill_slot(sources: list, sizes: list[int], capacity: int, shares: dict) -> list[tuple[int, int, int, int, int]]:

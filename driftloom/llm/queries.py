@@ -11,7 +11,6 @@ from driftloom.llm.mixing import Mixture, mix
 from driftloom.llm.packing import pack
 from driftloom.llm.runs import RunSpec, collapse_runs
 from driftloom.llm.tokens import with_sizes
-from driftloom.session import cut
 from driftloom.sources.tables import DAY0, PEER, USER, dated, table
 
 RUNS = RunSpec(entity=USER, time="time", event=PEER, id="reading_id", gap_seconds=900)
@@ -29,8 +28,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, folder: str) -> DataFrame:
-    # Encoding is the costly step and the sizes are read several times: they are written once.
-    return cut(with_sizes(table(spark, folder, "documents"), "text", keep=("doc_id", "source")))
+    return with_sizes(table(spark, folder, "documents"), "text", keep=("doc_id", "source"))
 
 
 def p6_pack(spark: SparkSession, folder: str) -> DataFrame:
