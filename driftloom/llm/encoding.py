@@ -19,6 +19,7 @@ and right spellings) is quoted, not garbled.
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -71,12 +72,19 @@ def _decoding(name: str) -> str:
 
 
 DECODE = {name: _decoding(name) for name in SINGLE_BYTE}
-ENCODE: dict[str, dict[str, int]] = {}
+#: By encoding, code point to byte; all of the table's characters and, where free, the controls.
+ENCODE: dict[str, dict[int, int]] = {}
 for _name, _chars in DECODE.items():
-    ENCODE[_name] = {c: b for b, c in reversed(list(enumerate(_chars)))}
     # Viewers differ in what they make of undefined bytes and controls: either maps back.
-    for _b in range(128, 160):
-        ENCODE[_name].setdefault(chr(_b), _b)
+    ENCODE[_name] = {b: b for b in range(128, 160)} | {ord(c): b for b, c in reversed(list(enumerate(_chars)))}
+
+
+def _raw(chunk: str) -> dict[bytes, str]:
+    """The chunk's bytes in each encoding, one per character, ``?`` where it has none; with the first encoding that gives them."""
+    out: dict[bytes, str] = {}
+    for name, table in ENCODE.items():
+        out.setdefault(codecs.charmap_encode(chunk, "replace", table)[0], name)
+    return out
 
 
 def _codes(text: str) -> np.ndarray:
@@ -161,15 +169,19 @@ class Restorer:
         mean, least = self.weigh(chunk)
         if least < self.rare:
             found: dict[str, str] = {}
-            front = {chunk: ""}
-            for _ in range(3):
-                front = {d: f"{how}+{h}" if how else h for x, how in front.items() for d, h in utf8_spans(x).items() if d not in found and d != chunk}
+            raws = _raw(chunk)
+            front = utf8_spans(chunk, raws)
+            found |= front
+            for _ in range(2):  # garbled twice, garbled three times
+                again = {d: f"{how}+{h}" for x, how in front.items() for d, h in utf8_spans(x, _raw(x)).items()}
+                front = {d: how for d, how in again.items() if d not in found and d != chunk}
                 found |= front
-            for d, h in (*other_spans(chunk).items(), *foreign_bytes(chunk).items()):
+            for d, h in (*other_spans(chunk, raws).items(), *foreign_bytes(chunk, raws).items()):
                 found.setdefault(d, h)
-            lost = chunk.count(LOST)
+            lost, controls = chunk.count(LOST), len(CONTROLS.findall(chunk))
             for d, h in found.items():
-                if d.count(LOST) <= lost:
+                # No right reading has more controls or lost characters than the wrong one.
+                if d.count(LOST) <= lost and len(CONTROLS.findall(d)) <= controls:
                     gain = self.weigh(d)[0] - mean
                     if gain > 0:
                         out.append((h, d, gain))
@@ -253,30 +265,30 @@ def _splice(chunk: str, raw: bytes, run: re.Pattern, name: str) -> str | None:
     return "".join(parts) + chunk[end:] if parts else None
 
 
-def utf8_spans(chunk: str) -> dict[str, str]:
+def utf8_spans(chunk: str, raws: dict[bytes, str]) -> dict[str, str]:
     """What the chunk becomes if UTF-8 was read as a single-byte encoding; by the encodings that give it."""
     out: dict[str, str] = {}
-    for name, table in ENCODE.items():
-        raw = bytes(table.get(c, 63) for c in chunk)
+    for raw, name in raws.items():
         new = _splice(chunk, raw, UTF8_RUN, "utf-8")
         if new is not None:
             out.setdefault(new, f"utf-8 as {name}")
     return out
 
 
-def other_spans(chunk: str) -> dict[str, str]:
+def other_spans(chunk: str, raws: dict[bytes, str]) -> dict[str, str]:
     """UTF-8 read as a multibyte encoding, and East Asian encodings read as a single-byte one."""
     out: dict[str, str] = {}
     for name in MULTI_BYTE:
         raw = chunk.encode(name, "replace")
+        if raw.isascii():
+            continue  # the encoding has none of the characters
         new = raw.decode("utf-8", "replace")
-        if raw != chunk.encode("ascii", "replace") and new != chunk:
+        if new != chunk:
             # A byte that had no partner is lost; a few of them are bearable, a text full of them is another text.
             fresh = new.count(LOST) - chunk.count(LOST)
             if fresh <= 0 and new.count("?") - chunk.count("?") <= max(chunk.count(LOST) * 2, len(chunk) // 12):
                 out.setdefault(new, f"utf-8 as {name}")
-    for name, table in ENCODE.items():
-        raw = bytes(table.get(c, 63) for c in chunk)
+    for raw, name in raws.items():
         for true, run in RUNS.items():
             new = _splice(chunk, raw, run, true)
             if new is not None and new != chunk:
@@ -284,17 +296,16 @@ def other_spans(chunk: str) -> dict[str, str]:
     return out
 
 
-def foreign_bytes(chunk: str) -> dict[str, str]:
+def foreign_bytes(chunk: str, raws: dict[bytes, str]) -> dict[str, str]:
     """One single-byte encoding read as another."""
     out: dict[str, str] = {}
-    for name, table in ENCODE.items():
-        try:
-            raw = [table[c] for c in chunk]
-        except KeyError:
-            continue
+    marks = chunk.count("?")
+    for raw, name in raws.items():
+        if raw.count(b"?") != marks:
+            continue  # some character isn't in this encoding
         for true, chars in DECODE.items():
             if true != name:
-                new = "".join([chars[b] for b in raw])
+                new = codecs.charmap_decode(raw, "strict", chars)[0]
                 if new != chunk:
                     out.setdefault(new, f"{true} as {name}")
     return out
