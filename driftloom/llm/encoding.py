@@ -47,7 +47,8 @@ SJIS_RUN = re.compile(rb"(?:[\x81-\x9f\xe0-\xef][\x40-\x7e\x80-\xfc]|[\xa1-\xdf]
 RUNS = {"euc-jp": EUC_RUN, "gbk": EUC_RUN, "cp932": SJIS_RUN}
 
 BITS = 20
-CHUNK = re.compile(r"[^ \t\r\n]+")
+SPACES = re.compile(r"[ \t\r\n]+")
+ONE_DIGIT = dict.fromkeys(range(48, 58), 48)
 CONTROLS = re.compile("[\x80-\x9f]")
 LOST = "�"
 #: A lone replacement character in quotes is spoken of, not suffered.
@@ -144,27 +145,31 @@ class Restorer:
     def __init__(self, counts: np.ndarray, documents: int) -> None:
         self.usual = memoryview(np.log(counts + 0.5).astype(np.float64))
         self.rare = float(np.log(max(4.0, 0.02 * documents)))
+        # Memories of what was computed, cleared when they grow large.
         self.known: dict[str, list] = {}
+        self.pairs: dict[str, float] = {}
 
     def weigh(self, chunk: str) -> tuple[float, float]:
         """Mean and least log count of the chunk's pairs."""
-        total, n, least, a = 0.0, 0, 99.0, 32
-        for ch in chunk + " ":
-            b = ord(ch)
-            if 48 <= b <= 57:
-                b = 48
-            if a > 127 or b > 127:
-                x = self.usual[_slot(a, b)]
-                total, n, least = total + x, n + 1, min(least, x)
-            a = b
+        text = f" {chunk.translate(ONE_DIGIT)} "
+        total, n, least = 0.0, 0, 99.0
+        for pair in map(str.__add__, text, text[1:]):
+            if not pair.isascii():
+                x = self.pairs.get(pair)
+                if x is None:
+                    x = self.pairs[pair] = self.usual[_slot(ord(pair[0]), ord(pair[1]))]
+                total, n = total + x, n + 1
+                if x < least:
+                    least = x
         return (total / n if n else 99.0), least
 
     def candidates(self, chunk: str) -> list[tuple[str, str, float]]:
         """(how, restored, gain) of what the chunk may have been, best first; empty if it looks usual."""
         if chunk in self.known:
             return self.known[chunk]
-        if len(self.known) > 100_000:
+        if len(self.known) > 100_000 or len(self.pairs) > 1_000_000:
             self.known.clear()
+            self.pairs.clear()
         out: list[tuple[str, str, float]] = []
         mean, least = self.weigh(chunk)
         if least < self.rare:
@@ -201,11 +206,14 @@ class Restorer:
         lossy = LOST in SPOKEN_OF.sub("", text)
         chunks = []
         votes: dict[str, float] = defaultdict(float)
-        for m in CHUNK.finditer(text):
-            if not m.group().isascii():
-                options = self.candidates(m.group())
+        end = 0
+        for chunk in SPACES.split(text):
+            if not chunk.isascii():
+                at = text.find(chunk, end)
+                end = at + len(chunk)
+                options = self.candidates(chunk)
                 if options:
-                    chunks.append((m.start(), m.group(), options))
+                    chunks.append((at, chunk, options))
                     for how, _, gain in options:
                         votes[how] += gain
         found = False

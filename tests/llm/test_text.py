@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.llm.encoding import CHUNK, DECODE, Restorer, features, pair_counts, restore
+from driftloom.llm.encoding import DECODE, Restorer, features, pair_counts, restore
 from driftloom.llm.mixing import mix
 from driftloom.llm.packing import fill_slot, pack
 from driftloom.llm.runs import RunSpec, collapse_runs
@@ -256,4 +256,3 @@ def test_pair_counts(spark):
     assert total == 4 and counts[features("aé")].max() == 2
     restorer = Restorer(counts, total)
     assert restorer.examine("nothing here") == (False, True, "nothing here", "", 0)
-    assert [m.group() for m in CHUNK.finditer("a b c\nd")] == ["a b", "c", "d"]
