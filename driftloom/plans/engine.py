@@ -19,7 +19,7 @@ from driftloom.operators.series import clean_features
 from driftloom.plans.detector_sql import default_bet, detector_sql, lse
 from driftloom.functions.theta import theta_sql
 from driftloom.plans.views import KINDS, event_features, trade_features, trade_graphs
-from driftloom.session import shared_folder
+from driftloom.session import cut, shared_folder
 from driftloom.sources.generators import SCENARIOS, generate
 from driftloom.sources.proximity import contact_graphs, labelled_days
 from driftloom.sources.tables import PEER, USER, table
@@ -278,6 +278,50 @@ def synthetic_features(spark: SparkSession, folder: str) -> DataFrame:
     return x.select("series_id", "t", *[F.round(F.col("x")[i], 9).alias(n) for i, n in enumerate(graphs.names())])
 
 
+SEEDS = 10
+#: Four kinds of detectors side by side, each with its usual settings.
+DETECTORS = {"martingale": DetectorConfig(enable_horizon=False), "horizon": DetectorConfig()}
+CHARTS = {"cusum": Cusum(), "ewma": EwmaChart()}
+#: One factor at a time: bets, joint distances, thresholds.
+GRID: dict[str, DetectorConfig] = (
+    {f"power_{e}": DetectorConfig(betting=betting.power(e)) for e in (0.2, 0.5, 0.7, 0.9)}
+    | {"mixture": DetectorConfig()}
+    | {f"beta_{a}_{b}": DetectorConfig(betting=betting.beta(a, b)) for a, b in ((0.2, 2.5), (0.4, 1.8), (0.6, 1.2))}
+    | {f"joint_{m}": DetectorConfig(detection_mode="joint", joint_distance=m) for m in ("euclidean", "mahalanobis", "cosine", "chebyshev")}
+    | {f"threshold_{t:g}": DetectorConfig(threshold=t) for t in (20.0, 50.0, 100.0)}
+)
+
+
+def _generated(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Features of all scenarios and seeds (computed once for all detectors), the series' lengths, and the truth."""
+    made = generate(spark, list(SCENARIOS), list(range(SEEDS)))
+    x = cut(graphs.extract(made.snapshots, made.edges))
+    return x, x.groupBy("series_id").agg(F.count(F.lit(1)).cast("int").alias("steps")), made.truth
+
+
+def _score(hits: DataFrame, lengths: DataFrame, truth: DataFrame, names: list[str]) -> DataFrame:
+    units = lengths.select("series_id", "steps", F.explode(F.array(*[F.lit(n) for n in names])).alias("detector"))
+    found = metrics.evaluate(units, hits, truth, ["detector", "series_id"])
+    return found.withColumn("scenario", F.substring_index("series_id", "/", 1))
+
+
+def synthetic_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    """Four detectors over ten sequences of every scenario: means per detector over the scenarios' means."""
+    x, lengths, truth = _generated(spark)
+    hits = detect_many(x, DETECTORS).filter("fired").select(F.col("config").alias("detector"), "series_id", "t")
+    for name, chart in CHARTS.items():
+        hits = hits.unionByName(control_chart(x, chart).filter("fired").select(F.lit(name).alias("detector"), "series_id", "t"))
+    trials = _score(hits, lengths, truth, [*DETECTORS, *CHARTS])
+    return metrics.overall(metrics.summarise(trials, ["scenario", "detector"]), ["detector"])
+
+
+def synthetic_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """Fifteen configurations over the same sequences, from best to worst."""
+    x, lengths, truth = _generated(spark)
+    hits = detect_many(x, GRID).filter("fired").select(F.col("config").alias("detector"), "series_id", "t")
+    return metrics.ranking(_score(hits, lengths, truth, list(GRID)), ["detector"])
+
+
 # Streams
 
 
@@ -307,7 +351,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         trace_trade, proximity_edges, proximity_days, proximity_labels, trade_edges, matrix_clean, graph_counts, graph_clustering, graph_paths,
         graph_features, graph_custom, graph_forecast, conformal, forecasts, moments, bets, martingales, joint_distances, trace_events, alarms_events,
-        trace_matrix, trace_modes, trace_graph_forecast, cusum, ewma_chart, trials, sweep_summary, sweep_ranking, sweep_pivot, synthetic_features,
+        trace_matrix, trace_modes, trace_graph_forecast, cusum, ewma_chart, trials, sweep_summary, sweep_ranking, sweep_pivot, synthetic_features, synthetic_sweep, synthetic_grid,
         stream_contacts, stream_trace,
     )
 }

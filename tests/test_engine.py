@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions import betting
 from driftloom.functions.attribution import driver, shares, wealth
+from driftloom.functions.sql import register
 from driftloom.functions.theta import theta, theta_value
 from driftloom.operators import detector, graphs, metrics, windows
 from driftloom.operators.charts import Cusum, EwmaChart, control_chart
@@ -19,6 +20,7 @@ from driftloom.operators.detector import DetectorConfig, Ewma, Holt, detect, det
 from driftloom.operators.graph_forecast import GraphForecast, diagnostics, forecast_edges, forecast_features
 from driftloom.operators.order import dense_index
 from driftloom.operators.series import clean_features
+from driftloom.plans.api import Detector
 from driftloom.sources.generators import SCENARIOS, change_points, erdos_renyi, generate, preferential_attachment, small_world, two_blocks
 from driftloom.sources.proximity import contact_graphs, labelled_days, read_csv
 from driftloom.streaming.online import OnlineDetector, daily_contacts_stream, detect_stream, run_to_end, sessions_stream
@@ -624,3 +626,36 @@ def test_detector_on_a_stream_of_several_batches(spark, tmp_path):
     for key, (a, h, fired) in batch.items():
         assert got[key][2] == fired
         assert all(x == y or x == pytest.approx(y) for x, y in zip(got[key][:2], (a, h)))
+
+
+# The object interface and SQL functions
+
+
+def test_detector_object(spark):
+    made = generate(spark, ["er_density_increase"], [0], steps=80, n=15, spacing=25)
+    few = graphs.DEFAULT[:2]
+    result = Detector(startup_period=10, history_size=6, threshold=20.0).run(made.snapshots, made.edges, few)
+    assert result.feature_names == ["mean_degree", "mean_clustering"]
+    alarms = result.change_points.collect()
+    assert alarms and all(r.driver in result.feature_names for r in alarms)
+    parts = result.attribution().filter("t = 40").collect()
+    assert sum(r.pct for r in parts) == pytest.approx(100.0) and {r.feature for r in parts} == set(result.feature_names)
+    assert result.score(made.truth).first().tpr == 1.0
+    assert result.wealth.filter("t = 10").first().m_traditional == pytest.approx(2 * 0.8)
+    graph = Detector(startup_period=10, history_size=6, forecaster=GraphForecast(0.5, 6))
+    assert graph.run(made.snapshots, made.edges, few).trace.filter("logm_hrzn is not null").count() == 70
+    plain = Detector(DetectorConfig(startup_period=5)).run_on_features(result.features)
+    assert plain.attribution("horizon").filter("t = 0").first().feature == "0"
+    for bad, error in ((lambda: Detector(DetectorConfig(), threshold=1.0), TypeError), (lambda: graph.run_on_features(result.features), ValueError), (lambda: result.attribution("x"), ValueError)):
+        with pytest.raises(error):
+            bad()
+
+
+def test_sql_functions(spark):
+    assert "x_bet_default" in register(spark, "x_")
+    row = spark.sql(
+        "SELECT x_bet_default(0.5D) AS g, x_bet_power(NULL, 0.5D) AS n, x_log_bet(0.0D) AS l, x_theta(7, 'a|b', 3, 1) AS u, "
+        "x_log_sum_exp(array(0.0D, 0.0D)) AS s, x_wealth_shares(array(1.0D, 1.0D)) AS w, x_wealth_shares(array(double('-inf'), double('-inf'))) AS v"
+    ).first()
+    assert row.g == pytest.approx(0.91511863) and row.n is None and row.l == pytest.approx(math.log(1e-300)) and row.u == theta_value(7, "a|b", 3, 1)
+    assert row.s == pytest.approx(math.log(2)) and row.w == pytest.approx([50.0, 50.0]) and row.v == [50.0, 50.0]
