@@ -57,6 +57,8 @@ QUOTE_MARKS = "“”„‘’«»\"'.,;:!?()[]"
 #: Mean gain in log document frequency per character pair that a candidate needs.
 LEAST_GAIN_SPAN = 0.4
 LEAST_GAIN_BYTES = 2.0
+#: The gain over the changed pairs alone must be higher by this.
+LOCAL_EXTRA = 1.5
 #: Within so many characters of a stretch its correct form makes it a quotation.
 QUOTE_REACH = 24
 
@@ -149,6 +151,26 @@ class Restorer:
         self.known: dict[str, list] = {}
         self.pairs: dict[str, float] = {}
 
+    def changed(self, chunk: str, new: str) -> float:
+        """Mean gain over the pairs that differ between two strings of equal length."""
+        a, b = f" {chunk.translate(ONE_DIGIT)} ", f" {new.translate(ONE_DIGIT)} "
+        where = [i for i in range(len(a) - 1) if a[i : i + 2] != b[i : i + 2]]
+        return sum(self.pair(b[i : i + 2]) - self.pair(a[i : i + 2]) for i in where) / max(len(where), 1)
+
+    def inner(self, text: str) -> float:
+        """Mean over the pairs within the stretches of a text (NUL between them), without their surroundings."""
+        pairs = [p for p in map(str.__add__, text, text[1:]) if "\0" not in p]
+        return sum(map(self.pair, pairs)) / len(pairs) if pairs else -99.0
+
+    def pair(self, pair: str) -> float:
+        """Log count of a pair of characters; plain ASCII counts as usual."""
+        if pair.isascii():
+            return self.rare
+        x = self.pairs.get(pair)
+        if x is None:
+            x = self.pairs[pair] = self.usual[_slot(ord(pair[0]), ord(pair[1]))]
+        return x
+
     def weigh(self, chunk: str) -> tuple[float, float]:
         """Mean and least log count of the chunk's pairs."""
         text = f" {chunk.translate(ONE_DIGIT)} "
@@ -175,19 +197,28 @@ class Restorer:
         if least < self.rare:
             found: dict[str, str] = {}
             raws = _raw(chunk)
-            front = utf8_spans(chunk, raws)
+            spans = utf8_spans(chunk, raws)
+            front = {d: how for d, (how, _, _) in spans.items()}
             found |= front
             for _ in range(2):  # garbled twice, garbled three times
-                again = {d: f"{how}+{h}" for x, how in front.items() for d, h in utf8_spans(x, _raw(x)).items()}
+                again = {d: f"{how}+{h}" for x, how in front.items() for d, (h, _, _) in utf8_spans(x, _raw(x)).items()}
                 front = {d: how for d, how in again.items() if d not in found and d != chunk}
                 found |= front
             for d, h in (*other_spans(chunk, raws).items(), *foreign_bytes(chunk, raws).items()):
                 found.setdefault(d, h)
+            for d, h in self.part_of(chunk).items():
+                found.setdefault(d, h)
             lost, controls = chunk.count(LOST), len(CONTROLS.findall(chunk))
             for d, h in found.items():
                 # No right reading has more controls or lost characters than the wrong one.
                 if d.count(LOST) <= lost and len(CONTROLS.findall(d)) <= controls:
                     gain = self.weigh(d)[0] - mean
+                    if d in spans and len(spans[d][2].replace("\0", "")) > 2:
+                        # Where bytes are lost between the spans, what lies in the spans must speak for itself.
+                        gain = max(gain, self.inner(spans[d][2]) - self.inner(spans[d][1]) - LOCAL_EXTRA)
+                    if len(d) == len(chunk):
+                        # Sound letters beside the garbled ones must not drown the gain of these.
+                        gain = max(gain, self.changed(chunk, d) - LOCAL_EXTRA)
                     if gain > 0:
                         out.append((h, d, gain))
             out.sort(key=lambda x: -x[2])
@@ -195,6 +226,22 @@ class Restorer:
         self.known[chunk] = out
         return out
 
+    def part_of(self, chunk: str) -> dict[str, str]:
+        """Readings that change only the chunk's rare characters, where a garbled stretch begins or ends within it."""
+        text = f" {chunk} "
+        wide = [i for i, c in enumerate(chunk) if ord(c) > 127]
+        odd = [i for i in wide if max(self.pair(text[i : i + 2]), self.pair(text[i + 1 : i + 3])) < self.rare - 2]
+        if not odd or len(odd) == len(wide):
+            return {}
+        some = "".join(chunk[i] for i in odd)
+        out: dict[str, str] = {}
+        for new, how in foreign_bytes(some, _raw(some)).items():
+            chars = list(chunk)
+            for i, c in zip(odd, new):
+                chars[i] = c
+            out.setdefault("".join(chars), how)
+        return out
+
     def lone(self, text: str, at: int, old: str, new: str) -> float:
         """Gain of replacing a lone character, judged by its neighbours' classes."""
         near = [_shape(_codes(text[i])[1]) if 0 <= i < len(text) else 0 for i in (at - 2, at + len(old) + 1)]
@@ -217,15 +264,21 @@ class Restorer:
                     for how, _, gain in options:
                         votes[how] += gain
         found = False
+        picked = []
         edits: list[tuple[int, str, str]] = []
         hows: dict[str, int] = defaultdict(int)
         main = max(votes, key=votes.__getitem__, default="")
         for at, chunk, options in chunks:
             # One stretch was garbled in one way: the way most of the text speaks for is preferred.
             how, new, gain = next((o for o in options if o[0] == main and o[2] >= 0.6 * options[0][2]), options[0])
+            picked.append((at, chunk, how, new, gain, quoted(text, at, chunk, new)))
+        # A mark may well stand next to its like by chance: it is quoted only along with a word that is.
+        worded = any(q and any(c.isalnum() for c in new) for *_, new, _, q in picked)
+        for at, chunk, how, new, gain, beside in picked:
+            if beside and (worded or any(c.isalnum() for c in new)):
+                continue
             strong = self.strong(text, at, chunk, how, new, gain)
-            if strong and not quoted(text, at, chunk, new):
-                found = True
+            found = found or strong
             if strong or (how == main and gain > 0.5):
                 edits.append((at, chunk, new))
                 hows[how] += 1
@@ -233,9 +286,8 @@ class Restorer:
             return False, True, text, "", 0
         parts, end = [], 0
         for at, chunk, new in edits:
-            if not quoted(text, at, chunk, new):
-                parts += [text[end:at], new]
-                end = at + len(chunk)
+            parts += [text[end:at], new]
+            end = at + len(chunk)
         restored = "".join(parts) + text[end:]
         return True, LOST not in SPOKEN_OF.sub("", restored), restored, max(hows, key=hows.__getitem__, default=""), len(edits)
 
@@ -273,13 +325,14 @@ def _splice(chunk: str, raw: bytes, run: re.Pattern, name: str) -> str | None:
     return "".join(parts) + chunk[end:] if parts else None
 
 
-def utf8_spans(chunk: str, raws: dict[bytes, str]) -> dict[str, str]:
-    """What the chunk becomes if UTF-8 was read as a single-byte encoding; by the encodings that give it."""
-    out: dict[str, str] = {}
+def utf8_spans(chunk: str, raws: dict[bytes, str]) -> dict[str, tuple[str, str, str]]:
+    """What the chunk becomes if UTF-8 was read as a single-byte encoding: how, and its spans before and after."""
+    out: dict[str, tuple[str, str, str]] = {}
     for raw, name in raws.items():
         new = _splice(chunk, raw, UTF8_RUN, "utf-8")
-        if new is not None:
-            out.setdefault(new, f"utf-8 as {name}")
+        if new is not None and new not in out:
+            places = [m.span() for m in UTF8_RUN.finditer(raw)]
+            out[new] = f"utf-8 as {name}", "\0".join(chunk[i:j] for i, j in places), b"\0".join(raw[i:j] for i, j in places).decode("utf-8")
     return out
 
 
