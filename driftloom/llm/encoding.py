@@ -50,6 +50,9 @@ BITS = 20
 SPACES = re.compile(r"[ \t\r\n]+")
 ONE_DIGIT = dict.fromkeys(range(48, 58), 48)
 CONTROLS = re.compile("[\x80-\x9f]")
+WIDE = re.compile(r"[^\x00-\x7f]")
+ADJACENT = re.compile(r"[^\x00-\x7f]{2}")
+EASTERN = re.compile("[\u2e80-\uffff]")
 LOST = "�"
 #: A lone replacement character in quotes is spoken of, not suffered.
 SPOKEN_OF = re.compile("[“”„\"‘’'«»`]" + LOST + "+[“”„\"‘’'«»`]")
@@ -59,6 +62,8 @@ LEAST_GAIN_SPAN = 0.4
 LEAST_GAIN_BYTES = 2.0
 #: The gain over the changed pairs alone must be higher by this.
 LOCAL_EXTRA = 1.5
+#: A pair of more than this log count is known from several documents.
+KNOWN = 1.5
 #: Within so many characters of a stretch its correct form makes it a quotation.
 QUOTE_REACH = 24
 
@@ -153,9 +158,12 @@ class Restorer:
 
     def changed(self, chunk: str, new: str) -> float:
         """Mean gain over the pairs that differ between two strings of equal length."""
-        a, b = f" {chunk.translate(ONE_DIGIT)} ", f" {new.translate(ONE_DIGIT)} "
-        where = [i for i in range(len(a) - 1) if a[i : i + 2] != b[i : i + 2]]
-        return sum(self.pair(b[i : i + 2]) - self.pair(a[i : i + 2]) for i in where) / max(len(where), 1)
+        a, b = f" {chunk} ".translate(ONE_DIGIT), f" {new} ".translate(ONE_DIGIT)
+        total, n = 0.0, 0
+        for x, y in zip(map(str.__add__, a, a[1:]), map(str.__add__, b, b[1:])):
+            if x != y:
+                total, n = total + self.pair(y) - self.pair(x), n + 1
+        return total / max(n, 1)
 
     def inner(self, text: str) -> float:
         """Mean over the pairs within the stretches of a text (NUL between them), without their surroundings."""
@@ -197,28 +205,34 @@ class Restorer:
         if least < self.rare:
             found: dict[str, str] = {}
             raws = _raw(chunk)
-            spans = utf8_spans(chunk, raws)
+            spans = utf8_spans(chunk, raws) if ADJACENT.search(chunk) else {}
             front = {d: how for d, (how, _, _) in spans.items()}
             found |= front
             for _ in range(2):  # garbled twice, garbled three times
-                again = {d: f"{how}+{h}" for x, how in front.items() for d, (h, _, _) in utf8_spans(x, _raw(x)).items()}
+                if len(front) > 1:
+                    # If all pairs of the likeliest reading are known, the way back leads through it or ends there.
+                    best = max(front, key=lambda x: self.weigh(x)[0])
+                    front = {best: front[best]} if self.weigh(best)[1] > KNOWN else front
+                again = {d: f"{how}+{h}" for x, how in front.items() if ADJACENT.search(x) for d, (h, _, _) in utf8_spans(x, _raw(x)).items()}
                 front = {d: how for d, how in again.items() if d not in found and d != chunk}
                 found |= front
-            for d, h in (*other_spans(chunk, raws).items(), *foreign_bytes(chunk, raws).items()):
-                found.setdefault(d, h)
-            for d, h in self.part_of(chunk).items():
+            for d, h in (*other_spans(chunk, raws).items(), *foreign_bytes(chunk, raws).items(), *self.part_of(chunk).items()):
                 found.setdefault(d, h)
             lost, controls = chunk.count(LOST), len(CONTROLS.findall(chunk))
             for d, h in found.items():
                 # No right reading has more controls or lost characters than the wrong one.
                 if d.count(LOST) <= lost and len(CONTROLS.findall(d)) <= controls:
-                    gain = self.weigh(d)[0] - mean
+                    if len(d) == len(chunk):
+                        # Sound letters beside the garbled ones must not drown the gain of these.
+                        local = self.changed(chunk, d)
+                        if local <= 0:
+                            continue  # nor can the mean have gained
+                        gain = max(self.weigh(d)[0] - mean, local - LOCAL_EXTRA)
+                    else:
+                        gain = self.weigh(d)[0] - mean
                     if d in spans and len(spans[d][2].replace("\0", "")) > 2:
                         # Where bytes are lost between the spans, what lies in the spans must speak for itself.
                         gain = max(gain, self.inner(spans[d][2]) - self.inner(spans[d][1]) - LOCAL_EXTRA)
-                    if len(d) == len(chunk):
-                        # Sound letters beside the garbled ones must not drown the gain of these.
-                        gain = max(gain, self.changed(chunk, d) - LOCAL_EXTRA)
                     if gain > 0:
                         out.append((h, d, gain))
             out.sort(key=lambda x: -x[2])
@@ -259,10 +273,9 @@ class Restorer:
                 at = text.find(chunk, end)
                 end = at + len(chunk)
                 options = self.candidates(chunk)
-                if options:
-                    chunks.append((at, chunk, options))
-                    for how, _, gain in options:
-                        votes[how] += gain
+                chunks.append((at, chunk, options))
+                for how, _, gain in options:
+                    votes[how] += gain
         found = False
         picked = []
         edits: list[tuple[int, str, str]] = []
@@ -270,6 +283,12 @@ class Restorer:
         main = max(votes, key=votes.__getitem__, default="")
         for at, chunk, options in chunks:
             # One stretch was garbled in one way: the way most of the text speaks for is preferred.
+            if main.startswith("utf-8") and ADJACENT.search(chunk) and all(o[0] != main for o in options):
+                new = along(main, chunk)
+                if new != chunk and (gain := self.weigh(new)[0] - self.weigh(chunk)[0]) > 0:
+                    options = sorted([*options, (main, new, gain)], key=lambda o: -o[2])
+            if not options:
+                continue
             how, new, gain = next((o for o in options if o[0] == main and o[2] >= 0.6 * options[0][2]), options[0])
             picked.append((at, chunk, how, new, gain, quoted(text, at, chunk, new)))
         # A mark may well stand next to its like by chance: it is quoted only along with a word that is.
@@ -336,10 +355,21 @@ def utf8_spans(chunk: str, raws: dict[bytes, str]) -> dict[str, tuple[str, str,
     return out
 
 
+def along(how: str, chunk: str) -> str:
+    """The chunk taken back along a way such as ``utf-8 as cp1252+utf-8 as cp850``."""
+    for name in (step.removeprefix("utf-8 as ") for step in how.split("+")):
+        if name not in ENCODE:
+            return chunk
+        raw = codecs.charmap_encode(chunk, "replace", ENCODE[name])[0]
+        chunk = _splice(chunk, raw, UTF8_RUN, "utf-8") or chunk
+    return chunk
+
+
 def other_spans(chunk: str, raws: dict[bytes, str]) -> dict[str, str]:
     """UTF-8 read as a multibyte encoding, and East Asian encodings read as a single-byte one."""
     out: dict[str, str] = {}
-    for name in MULTI_BYTE:
+    # UTF-8's lead bytes lie where these encodings have their Han characters, syllables or half-width signs.
+    for name in MULTI_BYTE if EASTERN.search(chunk) else ():
         raw = chunk.encode(name, "replace")
         if raw.isascii():
             continue  # the encoding has none of the characters
@@ -349,8 +379,12 @@ def other_spans(chunk: str, raws: dict[bytes, str]) -> dict[str, str]:
             fresh = new.count(LOST) - chunk.count(LOST)
             if fresh <= 0 and new.count("?") - chunk.count("?") <= max(chunk.count(LOST) * 2, len(chunk) // 12):
                 out.setdefault(new, f"utf-8 as {name}")
+    adjacent, several = ADJACENT.search(chunk), len(WIDE.findall(chunk)) > 1
     for raw, name in raws.items():
         for true, run in RUNS.items():
+            # EUC's bytes are all high; Shift-JIS' second ones may be plain.
+            if not (several if run is SJIS_RUN else adjacent):
+                continue
             new = _splice(chunk, raw, run, true)
             if new is not None and new != chunk:
                 out.setdefault(new, f"{true} as {name}")
