@@ -113,16 +113,34 @@ def _shape(code):
     return np.select([code > 127, code == 48, (code >= 97) & (code <= 122), (code >= 65) & (code <= 90)], [4, 1, 2, 3], 0)
 
 
-def features(text: str) -> np.ndarray:
-    """Slots of the pairs with a character beyond ASCII, and of lone such characters between their neighbours' classes."""
-    u = _codes(text)
+def features(texts: list[str]) -> np.ndarray:
+    """For each text once: the slots of its pairs with a character beyond ASCII, and of its lone such characters between their neighbours' classes."""
+    # Three blanks around each text keep pairs and neighbours apart, and let its ends count like its middle.
+    u = _codes("".join(f"   {t}" for t in texts) + "   ")
+    owner = np.repeat(np.arange(len(texts)), [len(t) + 3 for t in texts])
+    owner = np.concatenate([[0], owner, np.full(4, len(texts) - 1)])
     a, b = u[:-1], u[1:]
-    wide = (a > 127) | (b > 127)
+    wide = np.flatnonzero((a > 127) | (b > 127))
     slots = [_slot(a[wide], b[wide])]
-    if len(u) >= 5:
-        lone = np.flatnonzero((u[1:-3] == 32) & (u[2:-2] > 127) & (u[3:-1] == 32)) + 2
-        slots.append(_slot(u[lone], _shape(u[lone - 2]) * 8 + _shape(u[np.minimum(lone + 2, len(u) - 1)]), 1))
-    return np.unique(np.concatenate(slots))
+    # A pair belongs to the text of the character beyond ASCII in it.
+    owners = [np.where(a[wide] > 127, owner[wide], owner[wide + 1])]
+    lone = np.flatnonzero((u[1:-3] == 32) & (u[2:-2] > 127) & (u[3:-1] == 32)) + 2
+    slots.append(_slot(u[lone], _shape(u[lone - 2]) * 8 + _shape(u[lone + 2]), 1))
+    owners.append(owner[lone])
+    return np.unique(np.concatenate(owners) << BITS | np.concatenate(slots)) & ((1 << BITS) - 1)
+
+
+def _groups(texts: Iterator[str], size: int = 1_000_000) -> Iterator[list[str]]:
+    """The texts in groups of about so many characters."""
+    group, length = [], 0
+    for text in texts:
+        group.append(text)
+        length += len(text)
+        if length >= size:
+            yield group
+            group, length = [], 0
+    if group:
+        yield group
 
 
 def pair_counts(documents: DataFrame, text: str) -> tuple[np.ndarray, int]:
@@ -132,10 +150,9 @@ def pair_counts(documents: DataFrame, text: str) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = np.zeros(1 << BITS, dtype=np.int64), 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen += 1
-                if not t.isascii():
-                    table[features(t)] += 1
+            seen += batch.num_rows
+            for group in _groups(t for t in batch.column(0).to_pylist() if not t.isascii()):
+                table += np.bincount(features(group), minlength=1 << BITS)
         used = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(table[used], seen))], names=["slot", "n"])
 

@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,6 +254,11 @@ def test_sound_and_lossy_texts(spark):
 def test_pair_counts(spark):
     texts = ["é é", "aé", "ascii", "É", None]
     counts, total = pair_counts(spark.createDataFrame([(t,) for t in texts], "text string"), "text")
-    assert total == 4 and counts[features("aé")].max() == 2
+    assert total == 4 and counts[features(["aé"])].max() == 2
+    # Texts side by side count as each by itself.
+    rng = random.Random(1)
+    many = ["".join(rng.choice("aé ñ0—\n") for _ in range(rng.randrange(12))) for _ in range(300)]
+    apart = sum(np.bincount(features([t]), minlength=1 << 20) for t in many)
+    assert (np.bincount(features(many), minlength=1 << 20) == apart).all()
     restorer = Restorer(counts, total)
     assert restorer.examine("nothing here") == (False, True, "nothing here", "", 0)
