@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import math
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -61,15 +63,22 @@ def tasks_for(spark: SparkSession, rows: int, rows_per_task: int) -> int:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the session's Python workers, once per session, wherever they run."""
+    """Give this package to the session's Python workers, once per session, wherever they run.
+
+    The archive is written to the shared folder, through Hadoop's file system, so any kind of folder will do.
+    """
     context = spark.sparkContext
     if getattr(context, "_driftloom_shipped", False):
         return
     package = Path(__file__).resolve().parent
-    # Written where the driver runs; Spark itself serves it to the executors.
-    archive = Path(tempfile.mkdtemp(prefix="driftloom-")) / "driftloom.zip"
-    with zipfile.ZipFile(archive, "w") as file:
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as file:
         for source in sorted(package.rglob("*.py")):
             file.write(source, source.relative_to(package.parent))
-    context.addPyFile(str(archive))
+    hadoop = context._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(f"{shared_folder(spark)}/driftloom-{uuid.uuid4().hex}/driftloom.zip")
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(buffer.getvalue()))
+    out.close()
+    context.addPyFile(path.toString())
     context._driftloom_shipped = True
