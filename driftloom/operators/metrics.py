@@ -76,11 +76,28 @@ def ranking(trials: DataFrame, by: list[str]) -> DataFrame:
     return means.withColumn("place", F.row_number().over(order))
 
 
-def pivot_table(summary: DataFrame, row: str, column: str, values: list[str], metrics: tuple[str, ...] = ("tpr", "fpr", "add")) -> DataFrame:
-    """One row per ``row`` and a column ``<value>_<metric>`` each, with three decimals; empty where there is none."""
-    wide = summary.groupBy(row).pivot(column, values).agg(*[F.first(F.col(f"{m}_mean"), ignorenulls=True).alias(m) for m in metrics])
-    names = [c for c in wide.columns if c != row]
-    return wide.select(row, *[F.when(F.col(f"`{c}`").isNull(), "").otherwise(F.format_string("%.3f", F.col(f"`{c}`"))).alias(c) for c in names])
+def pivot_table(
+    summary: DataFrame, row: str, column: str, values: list[str], metrics: tuple[str, ...] = ("tpr", "fpr", "add"), metric_rows: bool = False
+) -> DataFrame:
+    """One row per ``row`` and a column ``<value>_<metric>`` each; with ``metric_rows`` one row per ``row`` and metric and a column per value.
+
+    Numbers have three decimals; a cell without one is empty.
+    """
+    if metric_rows:
+        long = summary.select(row, column, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}_mean").alias("value")) for m in metrics])))
+        wide, keys = long.groupBy(row, "metric").pivot(column, values).agg(F.first("value", ignorenulls=True)), [row, "metric"]
+    else:
+        means = [F.first(F.col(f"{m}_mean"), ignorenulls=True).alias(m) for m in metrics]
+        wide, keys = summary.groupBy(row).pivot(column, values).agg(*means), [row]
+    cell = lambda c: F.when(F.col(f"`{c}`").isNull(), "").otherwise(F.format_string("%.3f", F.col(f"`{c}`"))).alias(c)
+    return wide.select(*keys, *[cell(c) for c in wide.columns if c not in keys])
+
+
+def with_average(summary: DataFrame, scenario: str, by: list[str]) -> DataFrame:
+    """The scenarios' means and, as one more scenario ``AVERAGE``, the means over them."""
+    names = [f"{m}_mean" for m in ("tpr", "fpr", "add")]
+    average = summary.groupBy(*by).agg(*[F.avg(n).alias(n) for n in names]).select(F.lit("AVERAGE").alias(scenario), *by, *names)
+    return summary.select(scenario, *by, *names).unionByName(average)
 
 
 def write_csv(table: DataFrame, path: str) -> None:

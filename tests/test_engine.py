@@ -506,6 +506,10 @@ def test_summaries(spark, tmp_path):
     assert [r.detector for r in metrics.ranking(df, ["detector"]).orderBy("place").collect()] == ["c", "a", "b"]
     wide = {r.scenario: r for r in metrics.pivot_table(s, "scenario", "detector", ["a", "b", "c"]).collect()}
     assert wide["s1"]["a_tpr"] == "1.000" and wide["s1"]["b_tpr"] == "" and wide["s1"]["c_add"] == "" and wide["s2"]["c_add"] == "2.000"
+    tall = {(r.scenario, r.metric): r for r in metrics.pivot_table(s, "scenario", "detector", ["a", "b", "c"], metric_rows=True).collect()}
+    assert tall["s1", "tpr"]["a"] == "1.000" and tall["s2", "add"]["c"] == "2.000" and tall["s1", "add"]["b"] == "" and len(tall) == 6
+    average = {(r.scenario, r.detector): r.tpr_mean for r in metrics.with_average(s, "scenario", ["detector"]).collect()}
+    assert average["AVERAGE", "a"] == 0.75 and average["AVERAGE", "b"] is None and average["s2", "a"] == 0.5
     metrics.write_csv(s.limit(0), str(tmp_path / "none"))
     metrics.write_csv(s, str(tmp_path / "some"))
     assert spark.read.csv(str(tmp_path / "some"), header=True).count() == 4
