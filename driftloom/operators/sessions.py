@@ -9,7 +9,10 @@ The same lag / flag / cumulative sum is therefore computed twice:
    the gap apart or in different chunks, so an entity has at most
    ``span / gap + span / chunk`` of them, however many events it has.
 
-Only the events' few columns and the pieces are shuffled, once each.
+Only the events' few columns and the pieces are shuffled, once each. A chunk
+that holds more events than a task should have is cut into equal slices of time
+beforehand; chunks are counted first, with map-side combining, and the list of
+heavy ones is short by arithmetic: each has more than ``events_per_chunk``.
 """
 
 from __future__ import annotations
@@ -33,8 +36,11 @@ class SessionSpec:
     peer: str | None = None
     gap_seconds: int = 1800
     chunk_seconds: int = 86_400
+    events_per_chunk: int = 2_000_000
 
     def __post_init__(self) -> None:
+        if self.events_per_chunk < 1:
+            raise ValueError("events_per_chunk must be positive")
         if self.gap_seconds < 0:
             raise ValueError("gap_seconds must not be negative")
         if self.chunk_seconds < 1:
@@ -66,18 +72,25 @@ def sessionize(events: DataFrame, spec: SessionSpec) -> DataFrame:
     ).filter(F.col("time").isNotNull())
     rows = rows.withColumn("at", micros(F.col("time"))).withColumn("chunk", F.floor(F.col("at") / F.lit(chunk)))
 
-    in_chunk = W.partitionBy("entity", "chunk").orderBy("at", "id")
+    rows = _cut_heavy(rows, spec.events_per_chunk)
+    # The bounds of a slice of a chunk; whole chunks have one.
+    rows = rows.withColumn("slice", F.floor((F.col("at") - F.col("chunk") * chunk) * F.col("parts") / F.lit(chunk)).cast("int"))
+    bound = lambda k: (F.col("chunk") * chunk + F.ceil(k * F.lit(chunk) / F.col("parts"))).cast("bigint")
+    rows = rows.withColumn("lo", bound(F.col("slice"))).withColumn("hi", bound(F.col("slice") + 1)).drop("chunk", "slice", "parts")
+
+    in_chunk = W.partitionBy("entity", "lo").orderBy("at", "id")
     before, after = F.lag("at").over(in_chunk), F.lead("at").over(in_chunk)
     rows = rows.select(
-        "entity", "chunk", "time", "at", "id", "peer",
+        "entity", "lo", "hi", "time", "at", "id", "peer",
         (before.isNull() | (F.col("at") - before > gap)).alias("opens"),
         (after.isNull() | (after - F.col("at") > gap)).alias("closes"),
     )
     rows = rows.withColumn("piece", F.sum(F.col("opens").cast("int")).over(in_chunk.rowsBetween(W.unboundedPreceding, 0)))
 
-    # Everything up to the pieces is clustered by (entity, chunk) already: no further exchange.
-    by_peer = rows.groupBy("entity", "chunk", "piece", "peer").agg(*_bounds(), F.count(F.lit(1)).alias("n"))
-    pieces = by_peer.groupBy("entity", "chunk", "piece").agg(
+    # Everything up to the pieces is clustered by (entity, lo) already: no further exchange.
+    by_peer = rows.groupBy("entity", "lo", "piece", "peer").agg(*_bounds(), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("n"))
+    pieces = by_peer.groupBy("entity", "lo", "piece").agg(
+        F.max("hi").alias("hi"),
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         F.min("from_at").alias("from_at"),
@@ -89,7 +102,7 @@ def sessionize(events: DataFrame, spec: SessionSpec) -> DataFrame:
         F.collect_set("peer").alias("peers"),
     )
     # Only a piece within the gap of its chunk's edge can go on in another chunk and needs its peers by name.
-    at_edge = (F.col("from_at") - F.col("chunk") * chunk <= gap) | ((F.col("chunk") + 1) * chunk - F.col("to_at") <= gap)
+    at_edge = (F.col("from_at") - F.col("lo") <= gap) | (F.col("hi") - F.col("to_at") <= gap)
     pieces = pieces.withColumn("peers", F.when(at_edge, F.col("peers")))
 
     in_entity = W.partitionBy("entity").orderBy("from_at")
@@ -115,6 +128,16 @@ def sessionize(events: DataFrame, spec: SessionSpec) -> DataFrame:
     return joined
 
 
+def _cut_heavy(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` with ``parts``: into how many slices the row's chunk is cut, one unless it holds more than ``most`` rows."""
+    loads = rows.groupBy(F.col("entity").alias("of"), F.col("chunk").alias("at_chunk")).agg(F.count(F.lit(1)).alias("n"))
+    # Fewer than (all rows / most) chunks can be as heavy as that: a list for broadcasting.
+    heavy = loads.filter(F.col("n") > most).select("of", "at_chunk", F.ceil(F.lit(4.0) * F.col("n") / F.lit(most)).alias("cuts"))
+    same = F.col("entity").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("at_chunk"))
+    joined = rows.join(F.broadcast(heavy), same, "left")
+    return joined.withColumn("parts", F.coalesce("cuts", F.lit(1))).drop("of", "at_chunk", "cuts")
+
+
 def _bounds() -> list:
     return [
         F.min("time").alias("start"),

@@ -49,11 +49,11 @@ def session_reference(rows: list[tuple], gap: int) -> set:
     return out
 
 
-@pytest.mark.parametrize("chunk", [600, 3600, 86_400])
-def test_sessions(spark, chunk):
+@pytest.mark.parametrize(("chunk", "most"), [(600, 10**6), (3600, 7), (86_400, 10**6), (86_400, 20), (1_000_000, 3)])
+def test_sessions(spark, chunk, most):
     rows = log_rows(300)
     df = spark.createDataFrame(rows, LOG).repartition(5)
-    got = {tuple(r) for r in sessionize(df, SessionSpec(USER, "time", "reading_id", PEER, 1800, chunk)).collect()}
+    got = {tuple(r) for r in sessionize(df, SessionSpec(USER, "time", "reading_id", PEER, 1800, chunk, most)).collect()}
     assert got == session_reference(rows, 1800)
 
 
