@@ -363,6 +363,28 @@ def detections(traces: DataFrame, feature_names: list[str] | None = None) -> Dat
     return out
 
 
+def scores(features: DataFrame, seed: int = 0) -> DataFrame:
+    """``series_id, t, c, s, p``: centroid of the steps before, distance from it, and its smoothed conformal p-value, per feature.
+
+    The same as the window expressions give, in a form for series of any length:
+    scores before are never gathered per step. ``c`` and ``p`` are null at the
+    first step, where ``s`` is 0.
+    """
+
+    def kernel(series: list, t: np.ndarray, x: np.ndarray, _: np.ndarray | None) -> dict:
+        b, steps, k = x.shape
+        n = np.arange(steps)[None, :, None]
+        center = (np.cumsum(x, axis=1) - x) / np.maximum(n, 1)
+        score = np.where(n > 0, np.abs(x - center), 0.0)
+        above, equal = ranks(score, score, 0)
+        theta = np.array([[[theta_value(seed, name, int(step), j) for j in range(k)] for step in row] for name, row in zip(series, t)])
+        first = np.broadcast_to(n == 0, x.shape)
+        p = (above + theta * (1.0 + equal)) / (n + 1.0)
+        return {"c": np.ma.array(center, mask=first)[None], "s": np.ma.array(score)[None], "p": np.ma.array(p, mask=first)[None]}
+
+    return per_series(features, kernel, "c array<double>, s array<double>, p array<double>")
+
+
 def joint_scores(features: DataFrame, metric: str = "mahalanobis") -> DataFrame:
     """``series_id, t, s``: distance of each step's vector from the steps before; 0 at the first."""
     if metric not in METRICS:
@@ -370,4 +392,4 @@ def joint_scores(features: DataFrame, metric: str = "mahalanobis") -> DataFrame:
     return per_series(features, lambda names, t, x, _: {"s": np.ma.array(distances(x, x, 0, metric)[None])}, "s double")
 
 
-__all__ = ["DetectorConfig", "Ewma", "Holt", "Forecaster", "detect", "detect_many", "detections", "joint_scores", "distances", "ranks", "replace", "trace"]
+__all__ = ["DetectorConfig", "Ewma", "Holt", "Forecaster", "detect", "detect_many", "detections", "joint_scores", "scores", "distances", "ranks", "replace", "trace"]

@@ -200,6 +200,16 @@ def test_window_expressions(spark):
         pool.append(r.s)
 
 
+def test_scores_of_both_forms_agree(spark):
+    stacks = {"a": shifted(0, 40), "b": shifted(1, 25)}
+    got = {(r.series_id, r.t): r for r in detector.scores(feature_frame(spark, stacks)).collect()}
+    for name, x in stacks.items():
+        for r in windows.conformal_pvalues(windows.nonconformity(windows.centroids(long(spark, x, name)))).collect():
+            mine = got[name, r.t]
+            assert mine.s[r.k] == pytest.approx(r.s, abs=1e-12)
+            assert (mine.c[r.k], mine.p[r.k]) == ((None, None) if r.t == 0 else (pytest.approx(r.c), pytest.approx(r.p)))
+
+
 def test_forecasts(spark):
     assert Ewma(0.5).predict_multi(np.array([[1.0], [2], [3]]), 1)[0] == pytest.approx(17 / 7)
     assert Holt().predict_multi(np.array([[1.0], [2], [4]]), 2)[0] == pytest.approx(5.36)
