@@ -38,6 +38,11 @@ def p6_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packed.withColumnsRenamed({"item_id": "doc_id", "size": "n_tokens"})
 
 
+def p6_placed(spark: SparkSession, folder: str) -> DataFrame:
+    """Which texts are in containers of which kind: each in every kind."""
+    return p6_pack(spark, folder).select("container", "doc_id").distinct()
+
+
 def _mixture(spark: SparkSession, folder: str) -> Mixture:
     return mix(_sizes(spark, folder), "doc_id", "source", "size", table(spark, folder, "source_targets"))
 
@@ -62,7 +67,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_restored(spark, folder).select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_runs, p6_pack, p7_mix, p7_shares, p8_found, p8_restored)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_runs, p6_pack, p6_placed, p7_mix, p7_shares, p8_found, p8_restored)}
 
 _RUNS = f"""
     WITH seen AS (SELECT reading_id, "user.id" AS u, "remote.user.id.if.known" AS r, "time" AS t FROM proximity WHERE "time" >= TIMESTAMP '{DAY0} 00:00:00'),
@@ -77,4 +82,5 @@ _RUNS = f"""
 SQL: dict[str, str] = {
     "p2_found": _RUNS + " SELECT user_id, first_reading_id, last_reading_id FROM runs WHERE n_events >= 2",
     "p2_runs": _RUNS + " SELECT * FROM runs",
+    "p6_placed": "SELECT container, doc_id FROM documents CROSS JOIN pack_capacities WHERE text IS NOT NULL",
 }

@@ -19,7 +19,8 @@ def test_query(spark, name):
     got = QUERIES[name](spark, str(FOLDER))
     if name in SQL:
         con = duckdb.connect()
-        con.sql(f"CREATE VIEW proximity AS SELECT * FROM read_parquet('{FOLDER}/proximity.parquet')")
+        for table in ("proximity", "documents", "pack_capacities"):
+            con.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{FOLDER}/{table}.parquet')")
         want = con.sql(SQL[name])
         assert sorted(got.columns) == sorted(want.columns)
         assert sorted(map(tuple, got.select(*sorted(got.columns)).collect()), key=str) == sorted(want.select(*[f'"{c}"' for c in sorted(want.columns)]).fetchall(), key=str)
