@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -165,6 +166,18 @@ def tokenize(lines: pa.Array, width: int, block: int = BLOCK) -> dict[str, pa.Ar
     return out
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of a text column (a longer line is a slice by itself), to bound the working memory."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 @dataclass(frozen=True)
 class Field:
     """A typed column: its name, and for the trimmed text the value (null if it isn't valid) and whether NA is allowed."""
@@ -228,8 +241,9 @@ def parse_lines(lines: DataFrame, line: str, fields: tuple[Field, ...] = PROXIMI
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = tokenize(batch.column(len(kept)), width)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *tokens.values()], names=[*kept, *tokens])
+            for part in slices(batch, len(kept)):
+                tokens = tokenize(part.column(len(kept)), width)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *tokens.values()], names=[*kept, *tokens])
 
     tokens = source.mapInArrow(run, schema)
     text = [F.btrim(F.col(r), F.lit(" \t")) for r in raw]

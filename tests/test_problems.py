@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from driftloom.operators.grid import GridSpec, impute, regular_grid
 from driftloom.operators.sessions import SessionSpec, sessionize
 from driftloom.operators.skew import fragment_replicate_join, per_key_results, plan_shards
-from driftloom.sources.dsv import parse_lines, split_lines, states_before, tokenize
+from driftloom.sources.dsv import parse_lines, slices, split_lines, states_before, tokenize
 
 LOG = "reading_id bigint, `user.id` int, `remote.user.id.if.known` int, time timestamp_ntz, prob2 float, wave int, entity string, at string, n int, day int, period int, task_id int"
 USER, PEER = "`user.id`", "`remote.user.id.if.known`"
@@ -163,6 +163,13 @@ def test_tokenizer_blocks_and_csv_module():
     for i, line in enumerate(sound):
         fields = next(csv.reader([line.replace(' "q" ', '"q"')]))
         assert [whole["f0"][i].as_py().strip(), whole["f1"][i].as_py().strip()] == [f.strip() for f in fields]
+    middle = tokenize(pa.array(lines).slice(5, 50), 2)
+    assert all(middle[k].equals(whole[k].slice(5, 50)) for k in whole)
+    batch = pa.RecordBatch.from_arrays([pa.array([*lines[:20], None, "x" * 500, "", "y"])], names=["line"])
+    for most in (1, 30, 10_000):
+        parts = list(slices(batch, 0, most))
+        assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+        assert all(p.num_rows == 1 or sum(len(x or "") for x in p.column(0).to_pylist()) <= most for p in parts)
     assert len(states_before(np.zeros(0, dtype=np.uint8))) == 0
     assert tokenize(pa.array([], pa.string()), 2)["f0"].to_pylist() == []
 
