@@ -246,13 +246,16 @@ def parse_lines(lines: DataFrame, line: str, fields: tuple[Field, ...] = PROXIMI
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *tokens.values()], names=[*kept, *tokens])
 
     tokens = source.mapInArrow(run, schema)
-    text = [F.btrim(F.col(r), F.lit(" \t")) for r in raw]
-    values = [f.parse(t) for f, t in zip(fields, text)]
-    faults = [
-        F.when(v.isNull() & ~(F.lit(f.nullable) & (t == "NA")), F.lit(f"invalid {f.name}")) for f, t, v in zip(fields, text, values)
-    ]
-    reason = F.coalesce(F.col("problem"), *faults)
-    typed = tokens.select(*kept, *[v.alias(f"v{i}") for i, v in enumerate(values)], reason.alias("reason"), "offset")
+    # Each step's results are columns, so that the next steps don't compute them again.
+    rest = [*kept, "problem", "offset"]
+    trimmed = tokens.select(*rest, *[F.btrim(F.col(r), F.lit(" \t")).alias(f"t{i}") for i, r in enumerate(raw)])
+    parsed = trimmed.select(
+        *rest,
+        *[f.parse(F.col(f"t{i}")).alias(f"v{i}") for i, f in enumerate(fields)],
+        *[(F.lit(f.nullable) & (F.col(f"t{i}") == "NA")).alias(f"na{i}") for i, f in enumerate(fields)],
+    )
+    faults = [F.when(F.col(f"v{i}").isNull() & ~F.col(f"na{i}"), F.lit(f"invalid {f.name}")) for i, f in enumerate(fields)]
+    typed = parsed.withColumn("reason", F.coalesce(F.col("problem"), *faults))
     return typed.select(
         *[F.col(k).alias(c.strip("`")) for c, k in zip(carry, kept)],
         *[F.when(F.col("reason").isNull(), F.col(f"v{i}")).alias(f.name) for i, f in enumerate(fields)],
