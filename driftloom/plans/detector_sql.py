@@ -18,8 +18,8 @@ def lse(x: str) -> str:
     return f"(list_max({x}) + ln(list_sum(list_transform({x}, lambda v: exp(v - list_max({x}))))))"
 
 
-def detector_sql(source: str, startup: int, window: int, threshold: float, cooldown: int, alpha: float = 0.5, seed: int = 0, final: str = "trace") -> str:
-    """The trace of a detector with both streams.
+def detector_sql(source: str, startup: int, window: int, threshold: float, cooldown: int, alpha: float = 0.5, seed: int = 0, final: str = "trace", ahead: bool = True) -> str:
+    """The trace of a detector with both streams, or without that of forecasts (``ahead``).
 
     ``source`` is SQL giving ``series_id, t, k, x`` with t from 0 without gaps.
     ``final`` chooses the result: ``trace`` or ``alarms``.
@@ -53,7 +53,7 @@ def detector_sql(source: str, startup: int, window: int, threshold: float, coold
             pa, ph, CASE WHEN fired THEN t ELSE last END, sa, sh, fired, fired_by
         FROM (SELECT *, ready AND (sa >= lam OR coalesce(sh >= lam, false)) AS fired,
                 CASE WHEN ready AND sa >= lam THEN 'traditional' WHEN ready AND coalesce(sh >= lam, false) THEN 'horizon' END AS fired_by
-            FROM (SELECT *, {lse("pa")} AS sa, CASE WHEN t >= {first} THEN {lse("ph")} END AS sh, t - last > {cooldown} AS ready, ln({threshold}::DOUBLE) AS lam
+            FROM (SELECT *, {lse("pa")} AS sa, CASE WHEN {str(ahead).lower()} AND t >= {first} THEN {lse("ph")} END AS sh, t - last > {cooldown} AS ready, ln({threshold}::DOUBLE) AS lam
                 FROM (SELECT f.series_id, b.t::INT AS t, f.last, {add("f.a", "b.lg")} AS pa,
                         CASE WHEN b.t >= {first} THEN {add("f.h", "b.lgh")} ELSE f.h END AS ph
                     FROM fold f JOIN bets b ON b.series_id = f.series_id AND b.t = f.t + 1)))

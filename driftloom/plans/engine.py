@@ -257,12 +257,14 @@ def trials(spark: SparkSession, folder: str) -> DataFrame:
 
 def sweep_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Means and deviations per detector."""
-    return metrics.summarise(_trials(spark, folder), ["detector"])
+    found = metrics.summarise(_trials(spark, folder), ["detector"])
+    return found.select(*[c if c in ("detector", "n_trials") else F.round(c, 9).alias(c) for c in found.columns])
 
 
 def sweep_ranking(spark: SparkSession, folder: str) -> DataFrame:
     """Detectors from best to worst."""
-    return metrics.ranking(_trials(spark, folder), ["detector"])
+    found = metrics.ranking(_trials(spark, folder), ["detector"])
+    return found.select("detector", *[F.round(c, 9).alias(c) for c in ("tpr", "fpr", "add")], "place")
 
 
 def sweep_pivot(spark: SparkSession, folder: str) -> DataFrame:
@@ -426,6 +428,7 @@ def _chart_sql(kind: str) -> str:
         UNION ALL SELECT series_id, t, CASE WHEN hit THEN {zeros} ELSE up END, CASE WHEN hit THEN {zeros} ELSE down END, sc, hit
         FROM (SELECT *, list_max(sc) >= 5.0 AS hit FROM (SELECT *, list_transform(list_zip(up, down), lambda q: greatest(q[1], q[2])) AS sc
             FROM (SELECT s.series_id, s.t, s.m, {up} AS up, {down} AS down FROM fold f JOIN st s ON s.series_id = f.series_id AND s.t = f.t + 1)))),"""
+    assert kind == "ewma"
     z = "list_transform(list_zip(f.z, s.x, s.m), lambda q: 0.3 * q[2] + 0.7 * CASE WHEN f.t = 9 THEN q[3] ELSE q[1] END)"
     factor = "sqrt(0.3::DOUBLE / 1.7::DOUBLE * (1.0::DOUBLE - pow(0.7::DOUBLE, 2.0 * (t - 9))))"
     score = f"list_transform(list_zip(z, m, sd), lambda q: CASE WHEN q[3] > 0 THEN abs(q[1] - q[2]) / (q[3] * {factor}) ELSE 0 END)"
@@ -454,8 +457,30 @@ _DISTANCE = f"""
         ELSE sqrt(list_dot_product(d, d)) END FROM w UNION ALL
     SELECT series_id, t, 'mahalanobis', CASE WHEN t < 2 THEN sqrt(d[1] * d[1] + d[2] * d[2])
         ELSE sqrt(greatest(0, (s2 * d[1] * d[1] - 2 * ab * d[1] * d[2] + s1 * d[2] * d[2]) / (s1 * s2 - ab * ab))) END FROM q)"""
+_HITS = " UNION ALL ".join(
+    [f"SELECT '{k}' AS detector, series_id, t FROM ({_chart_sql(k)} none_ AS (SELECT 1) SELECT series_id, t FROM fold WHERE fired)" for k in ("cusum", "ewma")]
+    + [
+        f"SELECT '{name}' AS detector, series_id, t FROM ({detector_sql(_MATRIX_X, 10, 5, 5.0, 5, final='alarms', ahead=ahead)})"
+        for name, ahead in (("martingale", False), ("horizon", True))
+    ]
+)
+_TRIALS = f"""
+    WITH al AS MATERIALIZED ({_HITS}), kinds AS (SELECT unnest(['cusum', 'ewma', 'martingale', 'horizon']) AS detector),
+    units AS (SELECT detector, series_id, max(t) + 1 AS steps FROM feature_matrix, kinds GROUP BY 1, 2), tr AS (SELECT series_id, count(*) AS n FROM change_points GROUP BY 1),
+    hit AS (SELECT detector, c.series_id, c.cp, min(al.t) AS t FROM change_points c JOIN al ON al.series_id = c.series_id AND al.t BETWEEN c.cp AND c.cp + {DELTA} GROUP BY 1, 2, 3),
+    tp AS (SELECT detector, series_id, count(*) AS n, avg(t - cp) AS d FROM hit GROUP BY 1, 2),
+    fp AS (SELECT detector, series_id, count(*) AS n FROM al WHERE NOT EXISTS (SELECT 1 FROM change_points c WHERE c.series_id = al.series_id AND al.t BETWEEN c.cp AND c.cp + {DELTA}) GROUP BY 1, 2),
+    nd AS (SELECT detector, series_id, count(*) AS n FROM al GROUP BY 1, 2),
+    trial AS (SELECT detector, series_id, coalesce(tp.n, 0) / tr.n::DOUBLE AS tpr, coalesce(fp.n, 0) / (steps - coalesce(tr.n, 0) * {DELTA + 1})::DOUBLE AS fpr, tp.d AS add,
+        coalesce(nd.n, 0) AS n_detections FROM units LEFT JOIN tp USING (detector, series_id) LEFT JOIN fp USING (detector, series_id) LEFT JOIN nd USING (detector, series_id)
+        LEFT JOIN tr USING (series_id)),
+    means AS (SELECT detector, count(*) AS n_trials, {", ".join(f"round(avg({m}), 9) AS {m}_mean, round(CASE WHEN count({m}) > 0 THEN coalesce(stddev_samp({m}), 0) END, 9) AS {m}_std" for m in ("tpr", "fpr", "add"))},
+        round(avg(n_detections), 9) AS n_detections_mean FROM trial GROUP BY 1)"""
 
 SQL: dict[str, str] = {
+    "sweep_summary": _TRIALS + " SELECT * FROM means",
+    "sweep_ranking": _TRIALS + """ SELECT detector, tpr_mean AS tpr, fpr_mean AS fpr, add_mean AS add,
+        row_number() OVER (ORDER BY tpr_mean DESC NULLS LAST, add_mean NULLS LAST, detector)::INT AS place FROM means""",
     "proximity_edges": _NODES.format(_CONTACTS.format("0.3")) + " SELECT 'proximity' AS series_id, t, u, v FROM edges_",
     "proximity_days": _DAYS + " SELECT t, n, m, 2.0 * m / n AS mean_degree, 2.0 * m / (n::DOUBLE * (n - 1)) AS density FROM per_day",
     "proximity_labels": _DAYS + " SELECT t, m FROM per_day WHERE t IN (23, 68, 97, 173, 234)",
