@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftloom.operators.graphs import clustering, counts
+from driftloom.session import cut
 from driftloom.sources.tables import table
 
 N_NATIONS = 25
@@ -23,6 +24,7 @@ def trade_graphs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     sold = items.join(sellers, "l_suppkey").groupBy("l_orderkey", "b").agg(F.count(F.lit(1)).alias("w"))
     pairs = orders.join(buyers, "o_custkey").join(sold, F.col("o_orderkey") == F.col("l_orderkey")).filter("a <> b")
     pairs = pairs.groupBy(month.cast("int").alias("t"), F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.sum("w").alias("w"))
+    pairs = cut(pairs)  # at most a row per month and pair of nations; snapshots, edges and features all start from it
     of_month = W.partitionBy("t")
     kept = pairs.withColumns({"all": F.sum("w").over(of_month), "pairs": F.count(F.lit(1)).over(of_month)}).filter("w * pairs >= all")
     edges = kept.select(F.lit("trade").alias("series_id"), "t", "u", "v")
