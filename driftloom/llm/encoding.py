@@ -8,7 +8,7 @@ single-byte encoding have no such structure; there every byte is decoded.
 
 Well-formedness alone mistakes some sound words for garbled ones and says
 nothing about single bytes. So each candidate is weighed by how usual it is: the
-number of documents of the whole corpus that hold each of its character pairs,
+number of distinct texts of the whole corpus that hold each of its character pairs,
 against the same of the stretch as it stands. The counts are kept in a hashed
 table of fixed size, the only thing that is sent to all tasks.
 
@@ -44,6 +44,7 @@ UTF8_RUN = re.compile(
 )
 EUC_RUN = re.compile(rb"(?:[\xa1-\xfe][\xa1-\xfe]|\x8e[\xa1-\xdf]){2,}")
 SJIS_RUN = re.compile(rb"(?:[\x81-\x9f\xe0-\xef][\x40-\x7e\x80-\xfc]|[\xa1-\xdf]){2,}")
+HIGH = re.compile(rb"[\x80-\xff]+")
 RUNS = {"euc-jp": EUC_RUN, "gbk": EUC_RUN, "cp932": SJIS_RUN}
 
 BITS = 20
@@ -95,6 +96,83 @@ def _raw(chunk: str) -> dict[bytes, str]:
     return out
 
 
+#: UTF-8's forms of more than one byte, by ranges of bytes.
+_TAIL = (0x80, 0xBF)
+FORMS = (
+    ((0xC2, 0xDF), _TAIL), ((0xE0, 0xE0), (0xA0, 0xBF), _TAIL), ((0xE1, 0xEC), _TAIL, _TAIL), ((0xED, 0xED), (0x80, 0x9F), _TAIL), ((0xEE, 0xEF), _TAIL, _TAIL),
+    ((0xF0, 0xF0), (0x90, 0xBF), _TAIL, _TAIL), ((0xF1, 0xF3), _TAIL, _TAIL, _TAIL), ((0xF4, 0xF4), (0x80, 0x8F), _TAIL, _TAIL),
+)
+
+
+def _covered(name: str) -> re.Pattern:
+    """Chunks all of whose characters beyond ASCII but punctuation are well-formed UTF-8 in a single-byte encoding, or lie at lost bytes."""
+
+    def one_of(low: int, high: int) -> str:
+        return "[" + "".join(re.escape(chr(c)) for c, b in sorted(ENCODE[name].items()) if low <= b <= high) + "]"
+
+    forms = "|".join("".join(one_of(*r) for r in form) for form in FORMS)
+    return re.compile(f"(?:{forms}|[\x00-\x7f{LOST}“”„‘’«»…–—]|[^\x00-\x7f]{{1,3}}{LOST})*+")
+
+
+COVERED = {name: _covered(name) for name in ENCODE}
+
+
+def covered_by(chunk: str) -> list[str]:
+    """The encodings in which the chunk as a whole is well-formed UTF-8, so that it is likely UTF-8 read in one of them."""
+    if not ADJACENT.search(chunk):
+        return []
+    names = [name for name, whole in COVERED.items() if whole.fullmatch(chunk) and UTF8_RUN.search(codecs.charmap_encode(chunk, "replace", ENCODE[name])[0])]
+    for name in MULTI_BYTE if EASTERN.search(chunk) else ():
+        raw = chunk.encode(name, "ignore")
+        high = sum(map(len, HIGH.findall(raw)))
+        # By chance a character or two may be well-formed; at lost bytes up to three more aren't.
+        if (inside := sum(map(len, UTF8_RUN.findall(raw)))) >= 6 and high - inside <= 3 * chunk.count(LOST):
+            names.append(name)
+    return names
+
+
+def as_counted(text: str, memory: dict[str, list[str]]) -> str:
+    """What of a text tells how usual characters are.
+
+    Stretches of three chunks or more that are UTF-8 read in one encoding don't, however many texts hold them (a word may be
+    well-formed by chance, such as ``только`` in cp866); if nearly all of a text is, its right reading does.
+    """
+    if not ADJACENT.search(text):
+        return text
+    chunks = SPACES.split(text)
+    wide = [i for i, chunk in enumerate(chunks) if ADJACENT.search(chunk)]
+    ways: dict[str, int] = defaultdict(int)
+    open_: dict[str, list[int]] = {}
+    likely: set[int] = set()
+    for i in [*wide, -1]:
+        names = [] if i < 0 else memory.get(chunks[i])
+        if names is None:
+            if len(memory) > 100_000:
+                memory.clear()
+            names = memory[chunks[i]] = covered_by(chunks[i])
+        for name in names:
+            ways[name] += 1
+        for name in [n for n in open_ if n not in names]:
+            stretch = open_.pop(name)
+            if len(stretch) > 2 or name in MULTI_BYTE and sum(len(chunks[j]) for j in stretch) > 8:
+                likely.update(stretch)
+        for name in names:
+            open_.setdefault(name, []).append(i)
+    if not likely:
+        return text
+    way = max(ways, key=ways.__getitem__)
+    whole = len(likely) >= 0.9 * len(wide)
+    for i in likely:
+        if not whole or way not in memory.get(chunks[i], covered_by(chunks[i])):
+            chunks[i] = ""
+        elif way in ENCODE:
+            chunks[i] = along(f"utf-8 as {way}", chunks[i])
+        else:
+            chunks[i] = chunks[i].encode(way, "ignore").decode("utf-8", "ignore")
+    text = " ".join(chunks)
+    return as_counted(text, memory) if whole else text  # it may be garbled twice
+
+
 def _codes(text: str) -> np.ndarray:
     """Code points between two blanks; digits as one, line ends and tabs as blanks."""
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4").astype(np.int64)
@@ -144,14 +222,18 @@ def _groups(texts: Iterator[str], size: int = 1_000_000) -> Iterator[list[str]]:
 
 
 def pair_counts(documents: DataFrame, text: str) -> tuple[np.ndarray, int]:
-    """Documents per slot, over all documents, and their number. The table has ``2 ** BITS`` entries, whatever the corpus."""
-    rows = documents.select(F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    """Distinct texts per slot, over all documents, and their number. The table has ``2 ** BITS`` entries, whatever the corpus."""
+    texts = F.col(text)
+    # Copies count once, or many of one garbled text would make it usual. Plain ASCII texts are only counted: their hashes do.
+    key = F.when(texts.rlike(r"[^\x00-\x7f]"), texts).otherwise(F.md5(texts.cast("binary")))
+    rows = documents.filter(texts.isNotNull()).select(key.alias("text")).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = np.zeros(1 << BITS, dtype=np.int64), 0
+        memory: dict[str, list[str]] = {}
         for batch in batches:
             seen += batch.num_rows
-            for group in _groups(t for t in batch.column(0).to_pylist() if not t.isascii()):
+            for group in _groups(as_counted(t, memory) for t in batch.column(0).to_pylist() if not t.isascii()):
                 table += np.bincount(features(group), minlength=1 << BITS)
         used = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(table[used], seen))], names=["slot", "n"])
@@ -219,7 +301,7 @@ class Restorer:
             self.pairs.clear()
         out: list[tuple[str, str, float]] = []
         mean, least = self.weigh(chunk)
-        if least < self.rare:
+        if least < self.rare or covered_by(chunk):
             found: dict[str, str] = {}
             raws = _raw(chunk)
             spans = utf8_spans(chunk, raws) if ADJACENT.search(chunk) else {}

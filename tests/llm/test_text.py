@@ -262,3 +262,20 @@ def test_pair_counts(spark):
     assert (np.bincount(features(many), minlength=1 << 20) == apart).all()
     restorer = Restorer(counts, total)
     assert restorer.examine("nothing here") == (False, True, "nothing here", "", 0)
+
+
+def test_many_copies_of_a_garbled_text_are_found(spark):
+    clean = corpus()
+    copy = garble(SENTENCES[0], "utf-8", "cp1252")
+    copies = [garble(SENTENCES[4], "cp1251", "koi8-r")] * 100
+    rows = [*clean, *[copy] * 200, *copies]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    found = {r.doc_id: r.restored for r in restore(df, "doc_id", "text").collect()}
+    assert set(found) == set(range(len(clean), len(rows)))
+    assert all(found[i] == (SENTENCES[0] if i < len(clean) + 200 else SENTENCES[4]) for i in found)
+    # A source of different texts that was wholly decoded wrongly.
+    source = [f"{garble(t, 'utf-8', 'cp1252')} {i}" for i, t in enumerate(clean[:60] * 5)]
+    df = spark.createDataFrame(list(enumerate([*clean[60:], *source])), "doc_id int, text string")
+    found = {r.doc_id: r.restored for r in restore(df, "doc_id", "text").collect()}
+    assert set(found) == set(range(540, 840))
+    assert sum(found[540 + i] == f"{t} {i}" for i, t in enumerate(clean[:60] * 5)) >= 270
