@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import codecs
 import re
+from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,7 @@ BITS = 20
 SPACES = re.compile(r"[ \t\r\n]+")
 ONE_DIGIT = dict.fromkeys(range(48, 58), 48)
 CONTROLS = re.compile("[\x80-\x9f]")
+ASCII = re.compile(r"[\x00-\x7f]")
 WIDE = re.compile(r"[^\x00-\x7f]")
 ADJACENT = re.compile(r"[^\x00-\x7f]{2}")
 EASTERN = re.compile("[\u2e80-\uffff]")
@@ -317,6 +320,10 @@ class Restorer:
                 found |= front
             for d, h in (*other_spans(chunk, raws).items(), *foreign_bytes(chunk, raws).items(), *self.part_of(chunk).items()):
                 found.setdefault(d, h)
+            wide = wide_spans(chunk, self.inner)
+            for d, (h, _, _) in wide.items():
+                found.setdefault(d, h)
+            spans = wide | spans
             lost, controls = chunk.count(LOST), len(CONTROLS.findall(chunk))
             for d, h in found.items():
                 # No right reading has more controls or lost characters than the wrong one.
@@ -490,6 +497,90 @@ def other_spans(chunk: str, raws: dict[bytes, str]) -> dict[str, str]:
     return out
 
 
+class _Encoder(dict):
+    """Character to its bytes in a multibyte encoding; where it has none, a byte that no automaton takes."""
+
+    def __init__(self, name: str) -> None:
+        self.name = name
+
+    def __missing__(self, char: str) -> bytes:
+        try:
+            self[char] = char.encode(self.name)
+        except UnicodeEncodeError:
+            self[char] = b"\xff"
+        return self[char]
+
+
+ENCODERS = {name: _Encoder(name) for name in MULTI_BYTE}
+
+
+def viewed(chunk: str) -> Iterator[tuple[str, bytes, list[int]]]:
+    """For each multibyte encoding the chunk's bytes, and where each character begins (and the last ends)."""
+    for name, encoder in ENCODERS.items():
+        parts = list(map(encoder.__getitem__, chunk))
+        raw = b"".join(parts)
+        if not raw.isascii():
+            yield name, raw, [0, *accumulate(map(len, parts))]
+
+
+def _wide_span(raw: bytes, starts: list[int], first: int, run: re.Pattern, true: str) -> tuple[str, int]:
+    """The text of the span that begins at a byte, and the number of the character where it ends, which is where a character does."""
+    m = run.match(raw, first)
+    if m is None:
+        return "", 0
+    try:
+        text = m.group().decode(true)
+    except UnicodeDecodeError as e:
+        text = m.group()[: e.start].decode(true)
+    last = first + len(text.encode(true))
+    while text and starts[bisect_left(starts, last)] != last:
+        last -= len(text[-1].encode(true))
+        text = text[:-1]
+    return text, bisect_left(starts, last)
+
+
+def _splice_wide(chunk: str, raw: bytes, starts: list[int], run: re.Pattern, true: str, judge: Callable[[str], float]) -> tuple[str, str, str] | None:
+    """As ``_splice``, where a character has several bytes: the chunk with its spans decoded, the spans before and after.
+
+    A span begins and ends where characters do and takes two or more of them, as one may be well-formed by chance. After a
+    replacement character the first byte may have lost its partner: the better reading counts. Up to three bytes between a
+    span and a replacement character are lost with it.
+    """
+    parts, before, after = [], [], []
+    end = at = 0
+    while m := run.search(raw, at):
+        begin = bisect_left(starts, m.start())
+        first = starts[begin]
+        if first >= m.end():
+            at = m.end()
+            continue
+        text, stop = _wide_span(raw, starts, first, run, true)
+        if begin and chunk[begin - 1] == LOST:
+            other = _wide_span(raw, starts, first + 1, run, true)
+            if other[0] and (not text or judge(other[0]) > judge(text)):
+                text, stop = other
+        if stop - begin < 2 or not text or text.isascii():
+            at = starts[begin + 1]
+            continue
+        parts += [chunk[end:begin], text]
+        before.append(chunk[begin:stop])
+        after.append(text)
+        rest = chunk.find(LOST, stop, stop + 4)
+        end = rest if rest > 0 and starts[rest] - starts[stop] < 4 and not ASCII.search(chunk, stop, rest) else stop
+        at = starts[end]
+    return ("".join(parts) + chunk[end:], "\0".join(before), "\0".join(after)) if parts else None
+
+
+def wide_spans(chunk: str, judge: Callable[[str], float]) -> dict[str, tuple[str, str, str]]:
+    """What the chunk becomes if its spans were read as a multibyte encoding: how, and its spans before and after."""
+    out: dict[str, tuple[str, str, str]] = {}
+    for name, raw, starts in viewed(chunk) if EASTERN.search(chunk) else ():
+        for true, run in RUNS.items():
+            if true != name and (new := _splice_wide(chunk, raw, starts, run, true, judge)) is not None and new[0] != chunk:
+                out.setdefault(new[0], (f"{true} as {name}", *new[1:]))
+    return out
+
+
 def foreign_bytes(chunk: str, raws: dict[bytes, str]) -> dict[str, str]:
     """One single-byte encoding read as another."""
     out: dict[str, str] = {}

@@ -279,3 +279,18 @@ def test_many_copies_of_a_garbled_text_are_found(spark):
     found = {r.doc_id: r.restored for r in restore(df, "doc_id", "text").collect()}
     assert set(found) == set(range(540, 840))
     assert sum(found[540 + i] == f"{t} {i}" for i, t in enumerate(clean[:60] * 5)) >= 270
+
+
+def test_east_asian_read_as_another_multibyte_encoding(spark):
+    clean = corpus()
+    japanese = "密度が下がった。"
+    ways = [("euc-jp", "cp932"), ("cp932", "gbk"), ("euc-jp", "gbk")]
+    bad = [(japanese.encode(t).decode(w), japanese) for t, w in ways] + [(SENTENCES[9].encode("cp932").decode("gbk"), SENTENCES[9])]
+    lossy = SENTENCES[9].encode("euc-jp").decode("cp932", "replace")
+    df = spark.createDataFrame(list(enumerate([*clean, *(g for g, _ in bad), lossy])), "doc_id int, text string")
+    found = {r.doc_id: r for r in restore(df, "doc_id", "text").collect()}
+    assert set(found) == set(range(len(clean), len(clean) + 5))
+    assert all("\ufffd" not in g for g, _ in bad)
+    assert [found[len(clean) + i].restored for i in range(4)] == [s for _, s in bad]
+    last = found[len(clean) + 4]
+    assert not last.whole and "密度が下がった" in last.restored
