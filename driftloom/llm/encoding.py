@@ -323,7 +323,7 @@ class Restorer:
             wide = wide_spans(chunk, self.inner)
             for d, (h, _, _) in wide.items():
                 found.setdefault(d, h)
-            spans = wide | spans
+            behind = set()
             lost, controls = chunk.count(LOST), len(CONTROLS.findall(chunk))
             for d, h in found.items():
                 # No right reading has more controls or lost characters than the wrong one.
@@ -336,12 +336,19 @@ class Restorer:
                         gain = max(self.weigh(d)[0] - mean, local - LOCAL_EXTRA)
                     else:
                         gain = self.weigh(d)[0] - mean
+                    if d in wide and d not in spans:
+                        # Sound text beside the spans mustn't drown their gain; a reading of the whole comes first where there is one.
+                        least_gain = LEAST_GAIN_SPAN if h.startswith("utf-8") else LEAST_GAIN_BYTES
+                        if gain <= least_gain:
+                            local = self.inner(wide[d][2]) - self.inner(wide[d][1]) - LOCAL_EXTRA if len(wide[d][1].replace("\0", "")) > 2 else gain
+                            gain = max(gain, min(local, least_gain + 0.1))
+                            behind.add(d)
                     if d in spans and len(spans[d][2].replace("\0", "")) > 2:
                         # Where bytes are lost between the spans, what lies in the spans must speak for itself.
                         gain = max(gain, self.inner(spans[d][2]) - self.inner(spans[d][1]) - LOCAL_EXTRA)
                     if gain > 0:
                         out.append((h, d, gain))
-            out.sort(key=lambda x: -x[2])
+            out.sort(key=lambda x: (x[1] in behind, -x[2]))
             del out[24:]
         self.known[chunk] = out
         return out
@@ -512,19 +519,37 @@ class _Encoder(dict):
 
 
 ENCODERS = {name: _Encoder(name) for name in MULTI_BYTE}
+#: Characters that cp932 has twice, by the bytes they aren't encoded to.
+TWICE: dict[str, bytes] = {}
+for _raw_bytes in (bytes([a, b]) for a in range(0xED, 0xFD) for b in range(0x40, 0xFD)):
+    try:
+        _char = _raw_bytes.decode("cp932")
+    except UnicodeDecodeError:
+        continue
+    if len(_char) == 1 and _char.encode("cp932") != _raw_bytes:
+        TWICE[_char] = _raw_bytes
+SECOND = _Encoder("cp932")
+SECOND.update(TWICE)
+WIDE_RUNS = {"utf-8": UTF8_RUN} | RUNS
 
 
 def viewed(chunk: str) -> Iterator[tuple[str, bytes, list[int]]]:
     """For each multibyte encoding the chunk's bytes, and where each character begins (and the last ends)."""
-    for name, encoder in ENCODERS.items():
+    encoders = list(ENCODERS.items())
+    if not TWICE.keys().isdisjoint(chunk):
+        encoders.append(("cp932", SECOND))
+    for name, encoder in encoders:
         parts = list(map(encoder.__getitem__, chunk))
         raw = b"".join(parts)
         if not raw.isascii():
             yield name, raw, [0, *accumulate(map(len, parts))]
 
 
-def _wide_span(raw: bytes, starts: list[int], first: int, run: re.Pattern, true: str) -> tuple[str, int]:
-    """The text of the span that begins at a byte, and the number of the character where it ends, which is where a character does."""
+def _wide_span(chunk: str, raw: bytes, starts: list[int], first: int, run: re.Pattern, true: str) -> tuple[str, int]:
+    """The text of the span that begins at a byte, and the number of the character where it ends, which is where a character does.
+
+    Up to three bytes between a span and a replacement character are lost with it.
+    """
     m = run.match(raw, first)
     if m is None:
         return "", 0
@@ -533,6 +558,10 @@ def _wide_span(raw: bytes, starts: list[int], first: int, run: re.Pattern, true:
     except UnicodeDecodeError as e:
         text = m.group()[: e.start].decode(true)
     last = first + len(text.encode(true))
+    after = bisect_left(starts, last)
+    lost = chunk.find(LOST, after, after + 4)
+    if text and lost > 0 and starts[lost] - last < 4 and not ASCII.search(chunk, after, lost):
+        return text, lost
     while text and starts[bisect_left(starts, last)] != last:
         last -= len(text[-1].encode(true))
         text = text[:-1]
@@ -543,8 +572,7 @@ def _splice_wide(chunk: str, raw: bytes, starts: list[int], run: re.Pattern, tru
     """As ``_splice``, where a character has several bytes: the chunk with its spans decoded, the spans before and after.
 
     A span begins and ends where characters do and takes two or more of them, as one may be well-formed by chance. After a
-    replacement character the first byte may have lost its partner: the better reading counts. Up to three bytes between a
-    span and a replacement character are lost with it.
+    replacement character the first byte may have lost its partner: the better reading counts.
     """
     parts, before, after = [], [], []
     end = at = 0
@@ -554,9 +582,9 @@ def _splice_wide(chunk: str, raw: bytes, starts: list[int], run: re.Pattern, tru
         if first >= m.end():
             at = m.end()
             continue
-        text, stop = _wide_span(raw, starts, first, run, true)
+        text, stop = _wide_span(chunk, raw, starts, first, run, true)
         if begin and chunk[begin - 1] == LOST:
-            other = _wide_span(raw, starts, first + 1, run, true)
+            other = _wide_span(chunk, raw, starts, first + 1, run, true)
             if other[0] and (not text or judge(other[0]) > judge(text)):
                 text, stop = other
         if stop - begin < 2 or not text or text.isascii():
@@ -565,8 +593,7 @@ def _splice_wide(chunk: str, raw: bytes, starts: list[int], run: re.Pattern, tru
         parts += [chunk[end:begin], text]
         before.append(chunk[begin:stop])
         after.append(text)
-        rest = chunk.find(LOST, stop, stop + 4)
-        end = rest if rest > 0 and starts[rest] - starts[stop] < 4 and not ASCII.search(chunk, stop, rest) else stop
+        end = stop
         at = starts[end]
     return ("".join(parts) + chunk[end:], "\0".join(before), "\0".join(after)) if parts else None
 
@@ -575,7 +602,7 @@ def wide_spans(chunk: str, judge: Callable[[str], float]) -> dict[str, tuple[str
     """What the chunk becomes if its spans were read as a multibyte encoding: how, and its spans before and after."""
     out: dict[str, tuple[str, str, str]] = {}
     for name, raw, starts in viewed(chunk) if EASTERN.search(chunk) else ():
-        for true, run in RUNS.items():
+        for true, run in WIDE_RUNS.items():
             if true != name and (new := _splice_wide(chunk, raw, starts, run, true, judge)) is not None and new[0] != chunk:
                 out.setdefault(new[0], (f"{true} as {name}", *new[1:]))
     return out

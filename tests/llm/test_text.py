@@ -294,3 +294,13 @@ def test_east_asian_read_as_another_multibyte_encoding(spark):
     assert [found[len(clean) + i].restored for i in range(4)] == [s for _, s in bad]
     last = found[len(clean) + 4]
     assert not last.whole and "密度が下がった" in last.restored
+
+
+def test_garbled_stretch_beside_sound_east_asian_text(spark):
+    clean = corpus()
+    sound = "閾値の検出器は長い空白を示し、"
+    pairs = [(sound + "密度".encode("utf-8").decode("gbk"), sound + "密度"), ("密度。" + "密度".encode("utf-8").decode("gbk"), "密度。密度"), ("検出器は" + "é".encode("utf-8").decode("cp932"), "検出器はé")]
+    pairs += [(sound + "密度が下がった".encode("euc-jp").decode("cp932"), sound + "密度が下がった")]
+    df = spark.createDataFrame(list(enumerate([*clean, "検出器は長い é", *(g for g, _ in pairs)])), "doc_id int, text string")
+    found = {r.doc_id: r.restored for r in restore(df, "doc_id", "text").collect()}
+    assert found == {len(clean) + 1 + i: s for i, (_, s) in enumerate(pairs)}
