@@ -40,7 +40,8 @@ class GridSpec:
     window: int = 14
     rank: int = 3
     tolerance: float = 1e-4
-    max_iterations: int = 100
+    #: Only a safeguard for series that don't settle; these are marked.
+    max_iterations: int = 100_000
 
     def __post_init__(self) -> None:
         if not self.keys:
@@ -53,10 +54,12 @@ def regular_grid(readings: DataFrame, spec: GridSpec) -> DataFrame:
     """One row per key and period from the first to the last period with a reading.
 
     Returns ``key_0.., period, filled, n_readings, readings_est, value,
-    value_filled``. ``period`` counts from ``origin``. ``n_readings`` is what was
+    value_filled, converged``. ``period`` counts from ``origin``. ``n_readings`` is what was
     seen (0 in a filled period), ``readings_est`` that number or, where
     ``filled``, its imputed estimate; ``value`` is the period's mean or, where
-    ``value_filled``, its imputed estimate.
+    ``value_filled``, its imputed estimate. ``converged`` is the same in all rows of a key: whether both
+    estimates stood still within the tolerance (true if nothing was to be
+    estimated).
 
     Defined cases: readings without a time or before ``origin`` aren't on the
     grid; a null key is a key of its own; a period whose values are all null (or
@@ -89,6 +92,7 @@ def regular_grid(readings: DataFrame, spec: GridSpec) -> DataFrame:
             T.StructField("readings_est", T.DoubleType()),
             T.StructField("value", T.DoubleType()),
             T.StructField("value_filled", T.BooleanType()),
+            T.StructField("converged", T.BooleanType()),
         ]
     )
 
@@ -121,8 +125,10 @@ def _densify(batch: pa.RecordBatch, names: list[str], spec: GridSpec) -> pa.Reco
     n_all[place], v_all[place] = counts, values
     filled, unvalued = np.isnan(n_all), np.isnan(v_all)
     # Counts are skewed and mustn't turn negative: they are imputed on a log scale.
-    n_est = np.maximum(np.expm1(impute(np.log1p(n_all), spans, spec.window, spec.rank, spec.tolerance, spec.max_iterations)), 0.0)
-    v_est = impute(v_all, spans, spec.window, spec.rank, spec.tolerance, spec.max_iterations)
+    how = (spec.window, spec.rank, spec.tolerance, spec.max_iterations)
+    n_est, n_settled = impute_marked(np.log1p(n_all), spans, *how)
+    n_est = np.maximum(np.expm1(n_est), 0.0)
+    v_est, v_settled = impute_marked(v_all, spans, *how)
     owner = pa.array(np.repeat(np.arange(batch.num_rows), spans))
     columns = [batch.column(batch.schema.get_field_index(k)).take(owner) for k in names]
     columns += [
@@ -132,8 +138,10 @@ def _densify(batch: pa.RecordBatch, names: list[str], spec: GridSpec) -> pa.Reco
         pa.array(np.where(filled, n_est, n_all)),
         pa.array(v_est, mask=np.isnan(v_est)),
         pa.array(unvalued),
+        pa.array(np.repeat(n_settled & v_settled, spans)),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=[*names, "period", "filled", "n_readings", "readings_est", "value", "value_filled"])
+    made = ["period", "filled", "n_readings", "readings_est", "value", "value_filled", "converged"]
+    return pa.RecordBatch.from_arrays(columns, names=[*names, *made])
 
 
 def impute(flat: np.ndarray, spans: np.ndarray, window: int, rank: int, tolerance: float, max_iterations: int) -> np.ndarray:
@@ -141,7 +149,13 @@ def impute(flat: np.ndarray, spans: np.ndarray, window: int, rank: int, toleranc
 
     A series without a value stays NaN. Known values are returned unchanged.
     """
+    return impute_marked(flat, spans, window, rank, tolerance, max_iterations)[0]
+
+
+def impute_marked(flat: np.ndarray, spans: np.ndarray, window: int, rank: int, tolerance: float, max_iterations: int) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`impute`, and for each series whether its estimates stood still."""
     out = flat.copy()
+    settled = np.ones(len(spans), dtype=bool)
     ends = np.cumsum(spans)
     lags = np.minimum(window, spans // 2)
     gaps = np.add.reduceat(np.isnan(flat), ends - spans) if len(spans) else np.zeros(0)
@@ -165,14 +179,16 @@ def impute(flat: np.ndarray, spans: np.ndarray, window: int, rank: int, toleranc
             solvable = np.flatnonzero((n_known >= 3) & (spread > 1e-12)) if lag >= 2 else np.zeros(0, dtype=int)
             if len(solvable):
                 z = np.where(inside, (x - mean[:, None]) / np.where(spread > 1e-12, spread, 1.0)[:, None], 0.0)
-                z[solvable] = _iterate(z[solvable], missing[solvable], spans[group][solvable], int(lag), rank, tolerance, max_iterations)
+                z[solvable], settled[group[solvable]] = _iterate(z[solvable], missing[solvable], spans[group][solvable], int(lag), rank, tolerance, max_iterations)
                 x[solvable] = np.where(missing[solvable], z[solvable] * spread[solvable, None] + mean[solvable, None], x[solvable])
             out[index[missing]] = x[missing]
-    return out
+    return out, settled
 
 
-def _iterate(z: np.ndarray, missing: np.ndarray, spans: np.ndarray, lag: int, rank: int, tolerance: float, max_iterations: int) -> np.ndarray:
-    """The SSA iteration over a stack of standardised, zero-padded series."""
+def _iterate(
+    z: np.ndarray, missing: np.ndarray, spans: np.ndarray, lag: int, rank: int, tolerance: float, max_iterations: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The SSA iteration over a stack of standardised, zero-padded series, and which of them settled."""
     width = z.shape[1]
     rows = width - lag + 1
     valid = np.arange(rows)[None, :] < (spans - lag + 1)[:, None]
@@ -180,19 +196,29 @@ def _iterate(z: np.ndarray, missing: np.ndarray, spans: np.ndarray, lag: int, ra
     cover = np.minimum.reduce([place + 1 + 0 * spans[:, None], np.full((len(z), width), lag), spans[:, None] - place, 0 * place + (spans - lag + 1)[:, None]])
     cover = np.maximum(cover, 1)
     active = np.arange(len(z))
+    current, gaps, inside, weight = z, missing, valid[:, :, None].astype(float), 1.0 / cover
     for _ in range(max_iterations):
-        current = z[active]
-        hankel = np.lib.stride_tricks.sliding_window_view(current, lag, axis=1) * valid[active][:, :, None]
+        hankel = np.lib.stride_tricks.sliding_window_view(current, lag, axis=1) * inside
         _, vectors = np.linalg.eigh(hankel.transpose(0, 2, 1) @ hankel)
         lead = vectors[:, :, -min(rank, lag) :]
         low = (hankel @ lead) @ lead.transpose(0, 2, 1)
         smooth = np.zeros_like(current)
         for j in range(lag):
-            smooth[:, j : j + rows] += low[:, :, j]
-        smooth /= cover[active]
-        moved = np.where(missing[active], smooth - current, 0.0)
-        z[active] = current + moved
-        active = active[np.abs(moved).max(axis=1) > tolerance]
-        if not len(active):
-            break
-    return z
+            smooth[:, j : j + low.shape[1]] += low[:, :, j]
+        moved = np.where(gaps, smooth * weight - current, 0.0)
+        current = current + moved
+        moving = np.abs(moved).max(axis=1) > tolerance
+        if not moving.all():
+            z[active[~moving], : current.shape[1]] = current[~moving]
+            active = active[moving]
+            if not len(active):
+                break
+            # What is left is often few and short.
+            longest = int(spans[active].max())
+            current, gaps, weight = (x[moving, :longest] for x in (current, gaps, weight))
+            inside = inside[moving, : longest - lag + 1]
+    else:
+        z[active, : current.shape[1]] = current
+    settled = np.ones(len(z), dtype=bool)
+    settled[active] = False
+    return z, settled

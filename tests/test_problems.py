@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.operators.grid import GridSpec, impute, regular_grid
+from driftloom.operators.grid import GridSpec, impute, impute_marked, regular_grid
 from driftloom.operators.sessions import SessionSpec, sessionize
 from driftloom.operators.skew import fragment_replicate_join, per_key_results, plan_shards
 from driftloom.sources.dsv import parse_lines, slices, split_lines, states_before, tokenize
@@ -225,3 +225,26 @@ def test_fragment_replicate_join(spark):
     assert len(spread) > 1 and max(r["count"] for r in spread) < 2.5 * min(r["count"] for r in spread)
     with pytest.raises(ValueError):
         fragment_replicate_join(left, right, "k", ["id"], plan, "outer")
+
+
+def test_imputation_goes_on_until_it_stands_still():
+    rng = np.random.default_rng(0)
+    spans = np.full(40, 60)
+    flat = rng.normal(size=60 * 40)
+    flat[rng.random(len(flat)) < 0.5] = np.nan
+    spec = GridSpec(keys=("u",), time="t", value="v", origin="2008-09-19")
+    out, settled = impute_marked(flat, spans, spec.window, spec.rank, spec.tolerance, spec.max_iterations)
+    early, marked = impute_marked(flat, spans, spec.window, spec.rank, spec.tolerance, 100)
+    assert settled.all() and not marked.all()
+    same = np.repeat(marked, spans)
+    assert out[same] == pytest.approx(early[same]) and np.abs(out - early)[~same].max() > 1e-3
+
+
+def test_grid_marks_series_that_settled(spark):
+    rows = [(u, datetime(2008, 9, 19) + timedelta(days=d), float((d * 7 + u) % 5)) for u in (1, 2) for d in range(40) if u == 2 or d not in (5, 6, 17, 18, 30)]
+    df = spark.createDataFrame(rows, "u int, t timestamp_ntz, v double")
+    how = {"keys": ("u",), "time": "t", "value": "v", "origin": "2008-09-19"}
+    whole = regular_grid(df, GridSpec(**how)).select("key_0", "converged").distinct().collect()
+    assert {(r.key_0, r.converged) for r in whole} == {(1, True), (2, True)}
+    short = regular_grid(df, GridSpec(**how, max_iterations=1)).select("key_0", "converged").distinct().collect()
+    assert {(r.key_0, r.converged) for r in short} == {(1, False), (2, True)}
