@@ -59,7 +59,8 @@ ADJACENT = re.compile(r"[^\x00-\x7f]{2}")
 EASTERN = re.compile("[\u2e80-\uffff]")
 LOST = "�"
 #: A lone replacement character in quotes is spoken of, not suffered.
-SPOKEN_OF = re.compile("[“”„\"‘’'«»`]" + LOST + "+[“”„\"‘’'«»`]")
+QUOTE_MARKS_ONLY = "“”„\"‘’'«»`"
+SPOKEN_OF = re.compile(f"[{QUOTE_MARKS_ONLY}]{LOST}+[{QUOTE_MARKS_ONLY}]")
 QUOTE_MARKS = "“”„‘’«»\"'.,;:!?()[]"
 #: Mean gain in log document frequency per character pair that a candidate needs.
 LEAST_GAIN_SPAN = 0.4
@@ -91,6 +92,18 @@ for _name, _chars in DECODE.items():
     ENCODE[_name] = {b: b for b in range(128, 160)} | {ord(c): b for b, c in reversed(list(enumerate(_chars)))}
 
 
+#: A replacement character that was read again in a wrong encoding; in iso8859-5 it looks like letters that may well meet.
+_AGAIN = "|".join(
+    sorted({re.escape("".join(DECODE[name][b] for b in LOST.encode())) for name in SINGLE_BYTE if name != "iso8859-5"} | {"锟斤拷", "占쏙옙", "嚙踝蕭"})
+)
+LOST_AGAIN = re.compile(f"(?P<spoken>[{QUOTE_MARKS_ONLY}](?:{_AGAIN})+[{QUOTE_MARKS_ONLY}])|(?:{_AGAIN})")
+
+
+def as_lost(text: str) -> str:
+    """The text with replacement characters that were read wrongly as such, unless they are spoken of."""
+    return LOST_AGAIN.sub(lambda m: m.group("spoken") or LOST, text)
+
+
 def _raw(chunk: str) -> dict[bytes, str]:
     """The chunk's bytes in each encoding, one per character, ``?`` where it has none; with the first encoding that gives them."""
     out: dict[bytes, str] = {}
@@ -377,6 +390,7 @@ class Restorer:
 
     def examine(self, text: str) -> tuple[bool, bool, str, str, int]:
         """(found, whole, restored text, how, stretches): ``whole`` if nothing of the text is lost."""
+        text = as_lost(text)
         lossy = LOST in SPOKEN_OF.sub("", text)
         chunks = []
         votes: dict[str, float] = defaultdict(float)
@@ -420,7 +434,7 @@ class Restorer:
         for at, chunk, new in edits:
             parts += [text[end:at], new]
             end = at + len(chunk)
-        restored = "".join(parts) + text[end:]
+        restored = as_lost("".join(parts) + text[end:])
         return True, LOST not in SPOKEN_OF.sub("", restored), restored, max(hows, key=hows.__getitem__, default=""), len(edits)
 
     def strong(self, text: str, at: int, chunk: str, how: str, new: str, gain: float) -> bool:

@@ -304,3 +304,12 @@ def test_garbled_stretch_beside_sound_east_asian_text(spark):
     df = spark.createDataFrame(list(enumerate([*clean, "検出器は長い é", *(g for g, _ in pairs)])), "doc_id int, text string")
     found = {r.doc_id: r.restored for r in restore(df, "doc_id", "text").collect()}
     assert found == {len(clean) + 1 + i: s for i, (_, s) in enumerate(pairs)}
+
+
+def test_lost_characters_read_again():
+    restorer = Restorer(np.zeros(1 << 20, dtype=np.int64), 100)
+    for text in ("Le tï¿½lï¿½phone", "Узел пїЅ молчит", "密度锟斤拷下"):
+        found, whole, restored, *_ = restorer.examine(text)
+        assert found and not whole and "�" in restored
+    assert restorer.examine("Le tï¿½lï¿½phone")[2] == "Le t�l�phone"
+    assert not restorer.examine("Old rows carry “ï¿½” for every letter")[0]
