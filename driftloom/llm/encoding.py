@@ -67,8 +67,6 @@ LEAST_GAIN_SPAN = 0.4
 LEAST_GAIN_BYTES = 2.0
 #: The gain over the changed pairs alone must be higher by this.
 LOCAL_EXTRA = 1.5
-#: A pair of more than this log count is known from several documents.
-KNOWN = 1.5
 #: Within so many characters of a stretch its correct form makes it a quotation.
 QUOTE_REACH = 24
 
@@ -324,10 +322,6 @@ class Restorer:
             front = {d: how for d, (how, _, _) in spans.items()}
             found |= front
             for _ in range(2):  # garbled twice, garbled three times
-                if len(front) > 1:
-                    # If all pairs of the likeliest reading are known, the way back leads through it or ends there.
-                    best = max(front, key=lambda x: self.weigh(x)[0])
-                    front = {best: front[best]} if self.weigh(best)[1] > KNOWN else front
                 again = {d: f"{how}+{h}" for x, how in front.items() if ADJACENT.search(x) for d, (h, _, _) in utf8_spans(x, _raw(x)).items()}
                 front = {d: how for d, how in again.items() if d not in found and d != chunk}
                 found |= front
@@ -362,7 +356,6 @@ class Restorer:
                     if gain > 0:
                         out.append((h, d, gain))
             out.sort(key=lambda x: (x[1] in behind, -x[2]))
-            del out[24:]
         self.known[chunk] = out
         return out
 

@@ -313,3 +313,10 @@ def test_lost_characters_read_again():
         assert found and not whole and "�" in restored
     assert restorer.examine("Le tï¿½lï¿½phone")[2] == "Le t�l�phone"
     assert not restorer.examine("Old rows carry “ï¿½” for every letter")[0]
+
+
+def test_all_readings_are_kept():
+    restorer = Restorer(np.full(1 << 20, 1000), 1_000_000)
+    chunk = "§"
+    restorer.pairs |= {a + b: -1.0 for a, b in zip(" " + chunk, chunk + " ")}
+    assert len(restorer.candidates(chunk)) > 24
