@@ -332,7 +332,11 @@ def _folder(spark: SparkSession) -> str:
 
 
 def stream_contacts(spark: SparkSession, folder: str) -> DataFrame:
-    """The contact pairs of each day, from the proximity log read as a stream."""
+    """The contact pairs of each day that the watermark has closed, from the proximity log read as a stream.
+
+    The last day is never closed, so it doesn't come out. The lateness is an hour: readings that arrive later are kept only
+    because the log is read in one batch; read in several, it would lose them.
+    """
     schema = table(spark, folder, "proximity").schema
     # As a pattern the path may be a file as well as a folder.
     log = spark.readStream.schema(schema).parquet(f"{folder}/proximity.parque[t]").filter(F.col("time") >= F.lit("2008-09-19").cast("timestamp_ntz"))
