@@ -5,13 +5,15 @@ from __future__ import annotations
 import csv
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.operators.grid import GridSpec, impute, impute_marked, regular_grid
+from driftloom.operators.grid import GridSpec, Levels, _iterate, impute_marked, regular_grid
 from driftloom.operators.sessions import SessionSpec, sessionize
 from driftloom.operators.skew import fragment_replicate_join, per_key_results, plan_shards
 from driftloom.sources.dsv import parse_lines, slices, split_lines, states_before, tokenize
@@ -90,28 +92,87 @@ def test_grid_days(spark):
     assert regular_grid(df.limit(0), spec).count() == 0
 
 
+NEUTRAL = Levels(0.0, 0.0, 1.0)
+HOW = (14, (0.02, 0.1, 0.35), 0.004, 1e-4, 12)
+
+
+def impute(flat, spans, levels=NEUTRAL, how=HOW):
+    return impute_marked(flat, np.array(spans), levels, *how)[0]
+
+
 def test_imputation_restores_a_rhythm():
     t = np.arange(120)
     truth = 3 + np.sin(2 * np.pi * t / 7) + 0.01 * t
     x = truth.copy()
     x[40:47] = x[80] = x[90:95] = np.nan
     gap = np.isnan(x)
-    filled = impute(x, np.array([120]), 14, 4, 1e-6, 500)
+    filled = impute(x, [120])
     assert (filled[~gap] == truth[~gap]).all()
     assert np.abs(filled[gap] - truth[gap]).max() < 0.15 < np.abs(truth[gap] - np.nanmean(x)).max()
 
 
 def test_imputation_of_short_and_constant_series():
     flat = np.array([1.0, np.nan, 1.0, np.nan, np.nan, 2.0, np.nan, 4.0, 5.0, 5.0, np.nan, 5.0, 5.0, 5.0])
-    spans = np.array([3, 1, 1, 3, 6])
-    out = impute(flat, spans, 14, 3, 1e-4, 50)
+    out = impute(flat, [3, 1, 1, 3, 6])
     assert out[1] == 1.0 and np.isnan(out[3]) and np.isnan(out[4]) and out[6] == 3.0 and out[10] == pytest.approx(5.0)
     # Batches don't change a series' result.
     long = np.concatenate([np.sin(np.arange(50)), np.cos(np.arange(31))])
     long[[10, 11, 60]] = np.nan
-    both = impute(long, np.array([50, 31]), 10, 3, 1e-6, 100)
-    assert both[:50] == pytest.approx(impute(long[:50], np.array([50]), 10, 3, 1e-6, 100))
-    assert both[50:] == pytest.approx(impute(long[50:], np.array([31]), 10, 3, 1e-6, 100))
+    both = impute(long, [50, 31])
+    assert both[:50] == pytest.approx(impute(long[:50], [50]), abs=1e-3)
+    assert both[50:] == pytest.approx(impute(long[50:], [31]), abs=1e-3)
+
+
+def test_imputation_settles_from_anywhere():
+    rng = np.random.default_rng(0)
+    b, span, lag = 30, 60, 14
+    z = rng.normal(size=(b, span))
+    missing = rng.random((b, span)) < 0.5
+    spans, cuts = np.full(b, span), np.full(b, 3.0)
+    near, used, settled = _iterate(np.where(missing, 0.0, z), missing, spans, lag, cuts, 0.02, 1e-6)
+    far, _, also = _iterate(np.where(missing, 50.0, z), missing, spans, lag, cuts, 0.02, 1e-6)
+    assert settled.all() and also.all() and used.max() < 1000
+    assert near == pytest.approx(far, abs=1e-3)
+
+
+def _daily(folder):
+    con = duckdb.connect()
+    rows = con.sql(f"""SELECT "user.id" AS u, wave, date_diff('day', DATE '2008-09-19', CAST("time" AS DATE)) AS d, ln(1 + count(*)) AS n, avg(prob2) AS v
+        FROM '{folder}/proximity.parquet' WHERE "time" >= TIMESTAMP '2008-09-19' GROUP BY 1, 2, 3 ORDER BY 1, 2, 3""").df()
+    out = []
+    for _, g in rows.groupby(["u", "wave"], dropna=False):
+        at = (g.d - g.d.min()).to_numpy()
+        x = np.full((2, at.max() + 1), np.nan)
+        x[0, at], x[1, at] = g.n, g.v
+        out.append(x)
+    return out
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="needs the generated tables")
+@pytest.mark.parametrize("which", [0, 1])
+def test_imputation_beats_the_mean_on_hidden_days(which):
+    """A tenth of the known days of every series of five or more is hidden."""
+    rng = np.random.default_rng(1)
+    series = [x[which].copy() for x in _daily("/root/testdata/sf0.1")]
+    truth = np.concatenate(series)
+    for x in series:
+        known = np.flatnonzero(~np.isnan(x))
+        if len(known) >= 5:
+            x[rng.choice(known, max(1, len(known) // 10), replace=False)] = np.nan
+    seen = [x[~np.isnan(x)] for x in series]
+    n, m = np.array([len(x) for x in seen]), np.array([x.mean() if len(x) else 0.0 for x in seen])
+    within = sum(((x - x.mean()) ** 2).sum() for x in seen if len(x)) / (n.sum() - (n > 0).sum())
+    mu = (n * m).sum() / n.sum()
+    between = ((n * (m - mu) ** 2).sum() - ((n > 0).sum() - 1) * within) / (n.sum() - (n**2).sum() / n.sum())
+    flat, spans = np.concatenate(series), np.array([len(x) for x in series])
+    out, _, settled = impute_marked(flat, spans, Levels(mu, within, max(between, 0.0)), *HOW)
+    hidden = np.isnan(flat) & ~np.isnan(truth)
+    error = lambda x: np.sqrt(np.mean((x[hidden] - truth[hidden]) ** 2))
+    assert settled.all() and hidden.sum() > 1000
+    assert error(out) < 0.995 * error(np.repeat(m, spans))
+    filled = np.isnan(flat) & ~np.isnan(out)
+    assert (out[filled] <= np.repeat([x.max() if len(x) else np.inf for x in seen], spans)[filled]).all()
+    assert (out[filled] >= np.repeat([x.min() if len(x) else -np.inf for x in seen], spans)[filled]).all()
 
 
 GOOD = [
@@ -227,24 +288,29 @@ def test_fragment_replicate_join(spark):
         fragment_replicate_join(left, right, "k", ["id"], plan, "outer")
 
 
-def test_imputation_goes_on_until_it_stands_still():
-    rng = np.random.default_rng(0)
-    spans = np.full(40, 60)
-    flat = rng.normal(size=60 * 40)
-    flat[rng.random(len(flat)) < 0.5] = np.nan
-    spec = GridSpec(keys=("u",), time="t", value="v", origin="2008-09-19")
-    out, settled = impute_marked(flat, spans, spec.window, spec.rank, spec.tolerance, spec.max_iterations)
-    early, marked = impute_marked(flat, spans, spec.window, spec.rank, spec.tolerance, 100)
-    assert settled.all() and not marked.all()
-    same = np.repeat(marked, spans)
-    assert out[same] == pytest.approx(early[same]) and np.abs(out - early)[~same].max() > 1e-3
+def test_grid_marks_long_gaps_and_cuts_long_series(spark):
+    days = [d for d in range(60) if d % 9] + [3000, 3001, 3003] + list(range(90_000, 90_020, 2))
+    rows = [(1, START + timedelta(days=d), 2.0 + d % 7) for d in days] + [(2, START, float("inf")), (2, START + timedelta(days=2), float("nan"))]
+    df = spark.createDataFrame(rows, "u int, t timestamp_ntz, v double")
+    how = {"keys": ("u",), "time": "t", "value": "v", "origin": "2008-09-19"}
+    for extra in ({"longest_gap": 100}, {"longest_gap": 100, "longest_piece": 20}, {"longest_gap": 5000, "longest_piece": 7}):
+        got = regular_grid(df, GridSpec(**how, **extra)).collect()
+        mine = sorted((r for r in got if r.key_0 == 1), key=lambda r: r.period)
+        assert [r.period for r in mine] == list(range(min(days), max(days) + 1))
+        assert [r.period for r in mine if not r.filled] == days and all(r.converged for r in mine)
+        longest = extra["longest_gap"]
+        gaps = {d for a, b in zip(days, days[1:]) if b - a > longest + 1 for d in range(a + 1, b)}
+        assert all((r.readings_est is None) == (r.period in gaps) == (r.value is None) for r in mine)
+        assert all(2.0 <= r.value <= 8.0 for r in mine if r.value is not None)
+        other = sorted((r for r in got if r.key_0 == 2), key=lambda r: r.period)
+        assert [(r.filled, r.n_readings, r.value, r.value_filled) for r in other] == [(False, 1, None, True), (True, 0, None, True), (False, 1, None, True)]
+    with pytest.raises(ValueError):
+        GridSpec(**how, ridge=0.0)
 
 
 def test_grid_marks_series_that_settled(spark):
-    rows = [(u, datetime(2008, 9, 19) + timedelta(days=d), float((d * 7 + u) % 5)) for u in (1, 2) for d in range(40) if u == 2 or d not in (5, 6, 17, 18, 30)]
+    rows = [(u, START + timedelta(days=d), float((d * 7 + u) % 5)) for u in (1, 2) for d in range(40) if u == 2 or d not in (5, 6, 17, 18, 30)]
     df = spark.createDataFrame(rows, "u int, t timestamp_ntz, v double")
-    how = {"keys": ("u",), "time": "t", "value": "v", "origin": "2008-09-19"}
-    whole = regular_grid(df, GridSpec(**how)).select("key_0", "converged").distinct().collect()
-    assert {(r.key_0, r.converged) for r in whole} == {(1, True), (2, True)}
-    short = regular_grid(df, GridSpec(**how, max_iterations=1)).select("key_0", "converged").distinct().collect()
-    assert {(r.key_0, r.converged) for r in short} == {(1, False), (2, True)}
+    got = regular_grid(df, GridSpec(keys=("u",), time="t", value="v", origin="2008-09-19")).collect()
+    assert {(r.key_0, r.converged, r.iterations > 0) for r in got} == {(1, True, True), (2, True, False)}
+    assert all(abs(r.value - (r.period * 7 + 1) % 5) < 0.8 for r in got if r.key_0 == 1 and r.value_filled)
