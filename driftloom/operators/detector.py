@@ -11,7 +11,7 @@ wealth is folded over time.
 
 from __future__ import annotations
 
-import bisect
+import math
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from typing import Protocol
@@ -155,7 +155,8 @@ def detect_many(features: DataFrame, configs: Mapping[str, DetectorConfig], ahea
     named = dict(configs)
 
     def kernel(series: list, t: np.ndarray, x: np.ndarray, guess: np.ndarray | None) -> dict:
-        traces = [trace(series, x, c, guess) for c in named.values()]
+        made: dict = {}
+        traces = [trace(series, x, c, guess, made) for c in named.values()]
         out = {"config": np.broadcast_to(np.array(list(named), dtype=object)[:, None, None], (len(named), *t.shape))}
         return out | {key: np.ma.stack([tr[key] for tr in traces]) for key in traces[0]}
 
@@ -196,39 +197,74 @@ def distances(x: np.ndarray, points: np.ndarray, past: int, metric: str) -> np.n
     return np.where(n[None, :] >= 1, out, 0.0)
 
 
+#: Steps of a block within which scores are compared one by one.
+RANK_BLOCK = 64
+
+
 def ranks(pool: np.ndarray, points: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """How many of ``pool[:, start:t]`` are above and equal to ``points[:, t]``, for all t; arrays (B, T, ...)."""
-    steps = pool.shape[1]
-    above, equal = np.zeros(points.shape), np.zeros(points.shape)
-    if steps <= 4096:
-        for t in range(start + 1, steps):
-            past, now = pool[:, start:t], points[:, t : t + 1]
-            above[:, t], equal[:, t] = (past > now).sum(axis=1), (past == now).sum(axis=1)
-        return above, equal
-    # Long series: one sorted list per series and feature instead of a scan per step.
-    flat_pool, flat = pool.reshape(pool.shape[0], steps, -1), points.reshape(points.shape[0], steps, -1)
-    for b in range(flat.shape[0]):
-        for k in range(flat.shape[2]):
-            seen: list[float] = []
-            for t in range(start, steps):
-                lo, hi = bisect.bisect_left(seen, flat[b, t, k]), bisect.bisect_right(seen, flat[b, t, k])
-                above.reshape(flat.shape)[b, t, k], equal.reshape(flat.shape)[b, t, k] = len(seen) - hi, hi - lo
-                bisect.insort(seen, flat_pool[b, t, k])
-    return above, equal
-
-
-def _thetas(series: list, cfg: DetectorConfig, steps: int, k: int) -> np.ndarray:
-    """Tie-breaking numbers (B, T, K) or, in joint mode, (B, T, K + 1)."""
+    """How many of ``pool[:, start:t]`` are above and equal to ``points[:, t]``, for all t; arrays (B, T, ...).
+
+    NaN compares with nothing. Steps are compared with each other within blocks;
+    then blocks are joined two by two, each later half being placed in the sorted
+    earlier half: the same counts in T log T steps whatever the length.
+    """
+    shape = points.shape
+    b, steps = shape[:2]
+    above, equal = np.zeros((b, steps, math.prod(shape[2:]))), np.zeros((b, steps, math.prod(shape[2:])))
+    late = np.maximum(steps - start, 0)
+    if not late or not above.size:
+        return above.reshape(shape), equal.reshape(shape)
+    # Series last and padded to whole blocks; a padded or undefined score is below everything.
+    size = RANK_BLOCK * 2 ** max(0, math.ceil(math.log2(late / RANK_BLOCK)))
+    line = lambda x: np.moveaxis(x.reshape(b, steps, -1)[:, start:], 1, 2).reshape(-1, late)
+    seen, now = np.full((above.size // steps, size), -np.inf), np.full((above.size // steps, size), np.nan)
+    seen[:, :late], now[:, :late] = line(pool), line(points)
+    seen[np.isnan(seen)] = -np.inf
+    gt, ge = np.zeros(seen.shape, dtype=np.int64), np.zeros(seen.shape, dtype=np.int64)
+    blocks = (len(seen), size // RANK_BLOCK, RANK_BLOCK)
+    s, p, in_gt, in_ge = (x.reshape(blocks) for x in (seen, now, gt, ge))
+    for j in range(RANK_BLOCK - 1):
+        in_gt[:, :, j + 1 :] += s[:, :, j, None] > p[:, :, j + 1 :]
+        in_ge[:, :, j + 1 :] += s[:, :, j, None] >= p[:, :, j + 1 :]
+    half = RANK_BLOCK
+    while half < size:
+        s, p, in_gt, in_ge = (x.reshape(-1, 2, half) for x in (seen, now, gt, ge))
+        early, later = s[:, 0], p[:, 1]
+        defined = ~np.isnan(later)
+        in_gt[:, 1] += np.where(defined, half - _placed(early, later, True), 0)
+        in_ge[:, 1] += np.where(defined, half - _placed(early, later, False), 0)
+        half *= 2
+    back = lambda x: np.moveaxis(x[:, :late].reshape(b, -1, late), 2, 1)
+    above[:, start:], equal[:, start:] = back(gt), back(ge - gt)
+    # What is undefined isn't equal to minus infinity.
+    lowest = np.isneginf(points.reshape(above.shape))
+    if lowest.any():
+        undefined = np.isnan(pool.reshape(above.shape))
+        undefined[:, :start] = False
+        equal -= np.where(lowest, np.cumsum(undefined, axis=1) - undefined, 0)
+    return above.reshape(shape), equal.reshape(shape)
+
+
+def _placed(early: np.ndarray, later: np.ndarray, ties: bool) -> np.ndarray:
+    """How many of a row of ``early`` are below each of the same row of ``later``, or with ``ties`` not above it."""
+    half = early.shape[1]
+    order = np.argsort(np.concatenate([early, later] if ties else [later, early], axis=1), axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.cumsum((order < half) == ties, axis=1), axis=1)
+    return place[:, half:] if ties else place[:, :half]
+
+
+def _thetas(series: list, cfg: DetectorConfig, steps: int, k: int, made: dict) -> np.ndarray:
+    """Tie-breaking numbers (B, T, K) or, in joint mode, (B, T, K + 1); hashed ones are computed once for all configurations of a stack."""
     wide = k + (cfg.detection_mode == "joint")
-    out = np.zeros((len(series), steps, wide))
-    for b, name in enumerate(series):
-        if cfg.rng == "pcg64":
-            draws = max(0, steps - cfg.startup_period)
-            out[b, steps - draws :] = np.random.default_rng(cfg.rng_seed).uniform(size=(draws, wide))
-        else:
-            for t in range(cfg.startup_period, steps):
-                out[b, t] = [theta_value(cfg.rng_seed, name, t, j) for j in range(wide)]
-    return out
+    if cfg.rng == "pcg64":
+        out = np.zeros((len(series), steps, wide))
+        draws = max(0, steps - cfg.startup_period)
+        out[:, steps - draws :] = np.random.default_rng(cfg.rng_seed).uniform(size=(draws, wide))
+        return out
+    if cfg.rng_seed not in made:
+        made[cfg.rng_seed] = np.array([[[theta_value(cfg.rng_seed, name, t, j) for j in range(k + 1)] for t in range(steps)] for name in series])
+    return made[cfg.rng_seed].reshape(len(series), steps, k + 1)[:, :, :wide]
 
 
 def _forecasts(x: np.ndarray, cfg: DetectorConfig, horizon: int, guess: np.ndarray | None) -> np.ndarray:
@@ -257,8 +293,8 @@ def _lse(values: np.ndarray, axis: int) -> np.ndarray:
         return (np.log(np.exp(values - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
 
 
-def trace(series: list, x: np.ndarray, cfg: DetectorConfig, guess: np.ndarray | None = None) -> dict:
-    """The detector's trace of a stack of series (B, T, K)."""
+def trace(series: list, x: np.ndarray, cfg: DetectorConfig, guess: np.ndarray | None = None, made: dict | None = None) -> dict:
+    """The detector's trace of a stack of series (B, T, K); ``made`` keeps numbers that several configurations share."""
     b, steps, k = x.shape
     s0, w = cfg.startup_period, cfg.history_size
     joint = cfg.detection_mode == "joint"
@@ -274,7 +310,7 @@ def trace(series: list, x: np.ndarray, cfg: DetectorConfig, guess: np.ndarray |
     with np.errstate(invalid="ignore"):
         score = np.abs(x - sums[:, :steps] / np.where(np.arange(steps) > 0, np.arange(steps), np.nan)[None, :, None])
     center = sums[:, 1:] / np.arange(1, steps + 1)[None, :, None]
-    theta = _thetas(series, cfg, steps, k)
+    theta = _thetas(series, cfg, steps, k, {} if made is None else made)
     above, equal = ranks(score, score, s0)
     empty = (n == 0)[None, :, None]
     p = np.where(empty, 1.0, (above + theta[:, :, :k] * (1.0 + equal)) / (n[None, :, None] + 1.0))

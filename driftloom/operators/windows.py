@@ -2,17 +2,26 @@
 
 Every function takes a long table ``series_id, t, k, x`` (one row per series,
 step and feature) and adds columns to it. One exchange on (series_id, k) serves
-them all. A step without a past gives null.
+them all; only ranks among all earlier scores leave the window form, for arrays.
+A step without a past gives null.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftloom.functions.betting import LOG_FLOOR, Bet, default, log_bet
 from driftloom.functions.theta import theta
+from driftloom.operators.detector import ranks
+from driftloom.operators.series import STACK
 
 
 def _series() -> W:
@@ -38,27 +47,59 @@ def nonconformity(rows: DataFrame) -> DataFrame:
     return rows.withColumn("s", F.coalesce(F.abs(F.col("x") - F.avg("x").over(_before())), F.lit(0.0)))
 
 
+def _with_ranks(rows: DataFrame, point: str) -> DataFrame:
+    """``rows`` with ``_above, _equal, _before``: how many of the scores ``s`` before are above and equal to ``point``, and how many there are.
+
+    Each (series, feature) is gathered once, as arrays of its steps; ranks of
+    series of one length are computed together, in T log T.
+    """
+    rest = [c for c in rows.columns if c not in ("series_id", "k")]
+    steps = F.array_sort(F.collect_list(F.struct("t", *[c for c in rest if c != "t"])))
+    series = rows.groupBy("series_id", "k").agg(steps.alias("steps"))
+    kinds = {f.name: f for f in rows.schema.fields}
+    names = ["t", *[c for c in rest if c != "t"]]
+    schema = T.StructType([kinds[c] for c in ("series_id", "k", *names)] + [T.StructField(c, T.LongType()) for c in ("_above", "_equal", "_before")])
+    at_s, at_point = names.index("s"), names.index(point)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lengths = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            starts = np.cumsum(lengths) - lengths
+            columns = pc.list_flatten(batch.column(2)).flatten()
+            s, now = (columns[i].to_numpy(zero_copy_only=False).astype(np.float64) for i in (at_s, at_point))
+            above, equal = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
+            for length in np.unique(lengths):
+                alike = np.flatnonzero(lengths == length)
+                most = max(1, STACK // max(int(length), 1))
+                for low in range(0, len(alike), most):
+                    place = starts[alike[low : low + most]][:, None] + np.arange(length)[None, :]
+                    above[place], equal[place] = ranks(s[place], now[place], 0)
+            owner = pa.array(np.repeat(np.arange(batch.num_rows), lengths))
+            before = pa.array(np.arange(len(s)) - np.repeat(starts, lengths))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(owner), batch.column(1).take(owner), *columns, pa.array(above), pa.array(equal), before],
+                names=["series_id", "k", *names, "_above", "_equal", "_before"],
+            )
+
+    return series.mapInArrow(run, schema)
+
+
 def conformal_pvalues(rows: DataFrame, seed: int = 0) -> DataFrame:
     """``p``: smoothed rank of ``s`` among the scores before; null at the first step.
 
-    p = (number above + theta * (1 + number equal)) / (number before + 1). The
-    scores before are gathered per step, so this form suits series of up to a
-    few thousand steps; the detector's kernel has no such limit.
+    p = (number above + theta * (1 + number equal)) / (number before + 1).
     """
-    pool = F.collect_list("s").over(_before())
-    n = F.size(pool)
-    s = F.col("s")
-    above = F.aggregate(pool, F.lit(0), lambda a, v: a + (v > s).cast("int"))
-    equal = F.aggregate(pool, F.lit(0), lambda a, v: a + (v == s).cast("int"))
-    p = (above + theta(seed, F.col("series_id"), F.col("t"), F.col("k")) * (1 + equal)) / (n + 1)
-    return rows.withColumn("p", F.when(n > 0, p))
+    ranked = _with_ranks(rows, "s")
+    p = (F.col("_above") + theta(seed, F.col("series_id"), F.col("t"), F.col("k")) * (1 + F.col("_equal"))) / (F.col("_before") + 1)
+    return ranked.withColumn("p", F.when(F.col("_before") > 0, p)).drop("_above", "_equal", "_before")
 
 
 def predictive_pvalues(rows: DataFrame, score: str = "s_ahead") -> DataFrame:
     """``p_ahead``: rank of a forecast's score among the observed scores before, without smoothing; 1 at the first step."""
-    pool = F.collect_list("s").over(_before())
-    at_least = F.aggregate(pool, F.lit(0), lambda a, v: a + (v >= F.col(score)).cast("int"))
-    return rows.withColumn("p_ahead", (at_least + 1) / (F.size(pool) + 1))
+    ranked = _with_ranks(rows, score)
+    return ranked.withColumn("p_ahead", (F.col("_above") + F.col("_equal") + 1) / (F.col("_before") + 1)).drop("_above", "_equal", "_before")
 
 
 def ewma_forecast(rows: DataFrame, alpha: float = 0.5, window: int = 20) -> DataFrame:

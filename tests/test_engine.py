@@ -268,7 +268,7 @@ GOLDEN = [
 
 
 def test_golden_trace(monkeypatch):
-    monkeypatch.setattr(detector, "_thetas", lambda series, cfg, steps, k: np.full((len(series), steps, k), 0.5))
+    monkeypatch.setattr(detector, "_thetas", lambda series, cfg, steps, k, made: np.full((len(series), steps, k), 0.5))
     base = {"startup_period": 4, "history_size": 3, "cooldown": 0}
     out = trace(["a"], X, DetectorConfig(threshold=1e300, **base))
     for t, p, ph, lt, lh in GOLDEN:
@@ -443,11 +443,38 @@ def test_custom_forecaster_and_false_alarms(spark):
     assert not np.ma.is_masked(out["logm_hrzn"][0, -1])
 
 
-def test_ranks_of_long_series():
-    x = np.random.default_rng(0).integers(0, 50, (1, 4200, 1)).astype(float)
-    above, equal = ranks(x, x, 3)
-    for t in (3, 4, 100, 4199):
-        assert above[0, t, 0] == (x[0, 3:t, 0] > x[0, t, 0]).sum() and equal[0, t, 0] == (x[0, 3:t, 0] == x[0, t, 0]).sum()
+def ranks_reference(pool, points, start):
+    above, equal = np.zeros(points.shape), np.zeros(points.shape)
+    for t in range(start + 1, pool.shape[1]):
+        past, now = pool[:, start:t], points[:, t : t + 1]
+        above[:, t], equal[:, t] = (past > now).sum(axis=1), (past == now).sum(axis=1)
+    return above, equal
+
+
+@pytest.mark.parametrize("steps", [0, 1, 64, 65, 200, 1000, 4096, 4097])
+@pytest.mark.parametrize("start", [0, 3, 70])
+def test_ranks(steps, start):
+    """Ties, undefined and infinite scores, on either side of every block's end."""
+    rng = np.random.default_rng(steps + start)
+    for shape in ((2, steps), (1, steps, 3)):
+        pool, points = rng.integers(0, 50, shape).astype(float), rng.integers(0, 50, shape).astype(float)
+        for x in (pool, points):
+            for odd in (np.nan, np.inf, -np.inf):
+                x[rng.random(shape) < 0.03] = odd
+        for now in (points, pool):
+            got, want = ranks(pool, now, start), ranks_reference(pool, now, start)
+            assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def test_trace_does_not_depend_on_the_length():
+    """With start-up 0 the first score is undefined; it counts as a step and equals nothing, however long the series."""
+    x = np.round(np.random.default_rng(5).normal(size=(1, 4097, 2)), 1)
+    cfg = DetectorConfig(startup_period=0, history_size=3, enable_horizon=True)
+    whole, part = trace(["a"], x, cfg), trace(["a"], x[:, :4096], cfg)
+    for key in ("p", "p_h", "logm_trad", "logm_hrzn", "fired"):
+        assert np.ma.allequal(whole[key][:, :4096], part[key])
+    early = trace(["a"], x[:, :50], cfg)
+    assert np.ma.allequal(whole["p"][:, :50], early["p"])
 
 
 def test_distances():
