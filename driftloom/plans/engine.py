@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,7 @@ from driftloom.operators.series import clean_features
 from driftloom.plans.detector_sql import default_bet, detector_sql, lse
 from driftloom.functions.theta import theta_sql
 from driftloom.plans.views import KINDS, event_features, trade_features, trade_graphs
-from driftloom.session import cut, shared_folder
+from driftloom.session import cut, own_folder
 from driftloom.sources.generators import SCENARIOS, generate
 from driftloom.sources.proximity import contact_graphs, labelled_days
 from driftloom.sources.tables import PEER, USER, table
@@ -328,7 +327,7 @@ def synthetic_grid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    return own_folder(spark, "stream")
 
 
 def stream_contacts(spark: SparkSession, folder: str) -> DataFrame:

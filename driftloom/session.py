@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import math
+import re
 import tempfile
 import uuid
 import zipfile
@@ -30,19 +31,49 @@ def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g") -> Spa
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, named by ``spark.checkpoint.dir``.
+    """The folder all executors share, named by ``spark.checkpoint.dir`` or set as the context's checkpoint folder.
 
-    Only a session that names none (as in tests) gets a temporary one.
+    Only a local session that names none (as in tests) gets a temporary one; on
+    a cluster that is an error, as executors wouldn't see each other's files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="driftloom-"))
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="driftloom-")
+        context.setCheckpointDir(folder)
+        _leave_nothing(spark, folder)
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def _leave_nothing(spark: SparkSession, folder: str) -> None:
+    """Have a folder removed when the session's JVM ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+def own_folder(spark: SparkSession, kind: str) -> str:
+    """A new name in the shared folder for files that are removed when the session's JVM ends."""
+    folder = f"{shared_folder(spark)}/driftloom-{kind}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).mkdirs(path)
+    _leave_nothing(spark, folder)
+    return folder
+
+
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """The rows of ``df``, written once as a table in the shared folder and read from there: columns are pruned, and parts told apart by ``by``."""
+    spark = df.sparkSession
+    folder = f"{own_folder(spark, 'table')}/rows"
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df``, written once to the shared folder and detached from their lineage."""
     spark = df.sparkSession
@@ -76,7 +107,7 @@ def ship(spark: SparkSession) -> None:
         for source in sorted(package.rglob("*.py")):
             file.write(source, source.relative_to(package.parent))
     hadoop = context._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(f"{shared_folder(spark)}/driftloom-{uuid.uuid4().hex}/driftloom.zip")
+    path = hadoop.Path(f"{own_folder(spark, 'package')}/driftloom.zip")
     out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
     out.write(bytearray(buffer.getvalue()))
     out.close()
