@@ -18,3 +18,9 @@ def micros(time: Column) -> Column:
 def seconds_between(start: Column, end: Column) -> Column:
     """``end - start`` in seconds, as a double."""
     return (micros(end) - micros(start)) / F.lit(float(MICROS_PER_SECOND))
+
+
+def instant(at: Column) -> Column:
+    """The wall-clock time of so many microseconds after 1970-01-01 00:00:00."""
+    seconds = (at / F.lit(MICROS_PER_SECOND)).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)

@@ -1,18 +1,10 @@
 """Sessions: stretches of activity of an entity separated by silence.
 
-A plain window per entity would put all events of a busy entity into one task.
-The same lag / flag / cumulative sum is therefore computed twice:
-
-1. per (entity, chunk of time) over the events; the chunks of one entity lie in
-   different tasks, and each yields its *pieces*, already aggregated;
-2. per entity over the pieces. Two pieces of an entity are either more than
-   the gap apart or in different chunks, so an entity has at most
-   ``span / gap + span / chunk`` of them, however many events it has.
-
-Only the events' few columns and the pieces are shuffled, once each. A chunk
-that holds more events than a task should have is cut into equal slices of time
-beforehand; chunks are counted first, with map-side combining, and the list of
-heavy ones is short by arithmetic: each has more than ``events_per_chunk``.
+The lag between an event and the one before flags the gaps, and the cumulative
+sum of the flags numbers the sessions. A plain window per entity would put all
+events of a busy entity into one task, so this runs over a range-partitioned,
+sorted stream (:mod:`driftloom.operators.stretches`): the events are shuffled
+once, by ranges of equal size, and only sessions at the ranges' edges meet again.
 """
 
 from __future__ import annotations
@@ -20,31 +12,25 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftloom.functions.times import micros
+from driftloom.functions.times import instant, micros
+from driftloom.operators.stretches import stretches
 
 
 @dataclass(frozen=True)
 class SessionSpec:
-    """Column names and thresholds of :func:`sessionize`."""
+    """Column names and threshold of :func:`sessionize`."""
 
     entity: str
     time: str
     id: str
     peer: str | None = None
     gap_seconds: int = 1800
-    chunk_seconds: int = 86_400
-    events_per_chunk: int = 2_000_000
 
     def __post_init__(self) -> None:
-        if self.events_per_chunk < 1:
-            raise ValueError("events_per_chunk must be positive")
         if self.gap_seconds < 0:
             raise ValueError("gap_seconds must not be negative")
-        if self.chunk_seconds < 1:
-            raise ValueError("chunk_seconds must be positive")
 
 
 def sessionize(events: DataFrame, spec: SessionSpec) -> DataFrame:
@@ -56,94 +42,23 @@ def sessionize(events: DataFrame, spec: SessionSpec) -> DataFrame:
     before exceeds ``gap_seconds`` (a silence of exactly the gap doesn't split).
 
     Defined cases: events without a time have no place in the order and belong
-    to no session; a null entity is an entity of its own; null peers aren't
-    counted among the distinct peers; repeated rows count as events each; events
-    of equal time and id are interchangeable; an empty table yields no row;
-    other columns of ``events``, whatever their names, are ignored.
+    to no session; a null entity is an entity of its own; null ids come first;
+    null peers aren't counted among the distinct peers (0 without a peer
+    column); repeated rows count as events each; events of equal time and id are
+    interchangeable; an empty table yields no row; other columns of ``events``,
+    whatever their names, are ignored.
     """
-    gap = spec.gap_seconds * 1_000_000
-    chunk = spec.chunk_seconds * 1_000_000
-    peer = F.col(spec.peer) if spec.peer else F.lit(None).cast("string")
-    rows = events.select(
-        F.col(spec.entity).alias("entity"),
-        F.col(spec.time).alias("time"),
-        F.col(spec.id).alias("id"),
-        peer.alias("peer"),
-    ).filter(F.col("time").isNotNull())
-    rows = rows.withColumn("at", micros(F.col("time"))).withColumn("chunk", F.floor(F.col("at") / F.lit(chunk)))
-
-    rows = _cut_heavy(rows, spec.events_per_chunk)
-    # The bounds of a slice of a chunk; whole chunks have one.
-    rows = rows.withColumn("slice", F.floor((F.col("at") - F.col("chunk") * chunk) * F.col("parts") / F.lit(chunk)).cast("int"))
-    bound = lambda k: (F.col("chunk") * chunk + F.ceil(k * F.lit(chunk) / F.col("parts"))).cast("bigint")
-    rows = rows.withColumn("lo", bound(F.col("slice"))).withColumn("hi", bound(F.col("slice") + 1)).drop("chunk", "slice", "parts")
-
-    in_chunk = W.partitionBy("entity", "lo").orderBy("at", "id")
-    before, after = F.lag("at").over(in_chunk), F.lead("at").over(in_chunk)
-    rows = rows.select(
-        "entity", "lo", "hi", "time", "at", "id", "peer",
-        (before.isNull() | (F.col("at") - before > gap)).alias("opens"),
-        (after.isNull() | (after - F.col("at") > gap)).alias("closes"),
-    )
-    rows = rows.withColumn("piece", F.sum(F.col("opens").cast("int")).over(in_chunk.rowsBetween(W.unboundedPreceding, 0)))
-
-    # Everything up to the pieces is clustered by (entity, lo) already: no further exchange.
-    by_peer = rows.groupBy("entity", "lo", "piece", "peer").agg(*_bounds(), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("n"))
-    pieces = by_peer.groupBy("entity", "lo", "piece").agg(
-        F.max("hi").alias("hi"),
-        F.min("start").alias("start"),
-        F.max("end").alias("end"),
-        F.min("from_at").alias("from_at"),
-        F.max("to_at").alias("to_at"),
-        F.max("first_id").alias("first_id"),
-        F.max("last_id").alias("last_id"),
-        F.sum("n").alias("n"),
-        F.count("peer").alias("n_peers"),
-        F.collect_set("peer").alias("peers"),
-    )
-    # Only a piece within the gap of its chunk's edge can go on in another chunk and needs its peers by name.
-    at_edge = (F.col("from_at") - F.col("lo") <= gap) | (F.col("hi") - F.col("to_at") <= gap)
-    pieces = pieces.withColumn("peers", F.when(at_edge, F.col("peers")))
-
-    in_entity = W.partitionBy("entity").orderBy("from_at")
-    before, after = F.lag("to_at").over(in_entity), F.lead("from_at").over(in_entity)
-    pieces = pieces.withColumns(
-        {
-            "opens": before.isNull() | (F.col("from_at") - before > gap),
-            "closes": after.isNull() | (after - F.col("to_at") > gap),
-        }
-    )
-    pieces = pieces.withColumn("session_no", F.sum(F.col("opens").cast("int")).over(in_entity.rowsBetween(W.unboundedPreceding, 0)))
-    joined = pieces.groupBy("entity", "session_no").agg(
-        F.min("start").alias("start"),
-        F.max("end").alias("end"),
-        ((F.max("to_at") - F.min("from_at")) / F.lit(1e6)).alias("duration_s"),
-        F.sum("n").alias("n_events"),
-        F.when(F.count(F.lit(1)) == 1, F.max("n_peers"))
-        .otherwise(F.size(F.array_distinct(F.flatten(F.collect_list("peers")))).cast("bigint"))
-        .alias("n_peers"),
-        F.max(F.when(F.col("opens"), F.col("first_id"))).alias("first_id"),
-        F.max(F.when(F.col("closes"), F.col("last_id"))).alias("last_id"),
+    peer = [F.col(spec.peer).alias("peer")] if spec.peer else []
+    rows = events.select(F.col(spec.entity).alias("entity"), micros(F.col(spec.time)).alias("at"), F.col(spec.id).alias("id"), *peer)
+    found = stretches(rows.filter(F.col("at").isNotNull()), spec.gap_seconds * 1_000_000, False, bool(peer))
+    return found.select(
+        "entity",
+        F.col("number").alias("session_no"),
+        instant(F.col("from_at")).alias("start"),
+        instant(F.col("to_at")).alias("end"),
+        ((F.col("to_at") - F.col("from_at")) / F.lit(1e6)).alias("duration_s"),
+        F.col("n").alias("n_events"),
+        F.col("n_peers") if peer else F.lit(0).cast("bigint").alias("n_peers"),
+        "first_id",
+        "last_id",
     )
-    return joined
-
-
-def _cut_heavy(rows: DataFrame, most: int) -> DataFrame:
-    """``rows`` with ``parts``: into how many slices the row's chunk is cut, one unless it holds more than ``most`` rows."""
-    loads = rows.groupBy(F.col("entity").alias("of"), F.col("chunk").alias("at_chunk")).agg(F.count(F.lit(1)).alias("n"))
-    # Fewer than (all rows / most) chunks can be as heavy as that: a list for broadcasting.
-    heavy = loads.filter(F.col("n") > most).select("of", "at_chunk", F.ceil(F.lit(4.0) * F.col("n") / F.lit(most)).alias("cuts"))
-    same = F.col("entity").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("at_chunk"))
-    joined = rows.join(F.broadcast(heavy), same, "left")
-    return joined.withColumn("parts", F.coalesce("cuts", F.lit(1))).drop("of", "at_chunk", "cuts")
-
-
-def _bounds() -> list:
-    return [
-        F.min("time").alias("start"),
-        F.max("time").alias("end"),
-        F.min("at").alias("from_at"),
-        F.max("at").alias("to_at"),
-        F.max(F.when(F.col("opens"), F.col("id"))).alias("first_id"),
-        F.max(F.when(F.col("closes"), F.col("id"))).alias("last_id"),
-    ]

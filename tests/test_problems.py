@@ -51,12 +51,22 @@ def session_reference(rows: list[tuple], gap: int) -> set:
     return out
 
 
-@pytest.mark.parametrize(("chunk", "most"), [(600, 10**6), (3600, 7), (86_400, 10**6), (86_400, 20), (1_000_000, 3)])
-def test_sessions(spark, chunk, most):
+@pytest.mark.parametrize(("partitions", "batch"), [(1, 10_000), (4, 50), (16, 7), (32, 1)])
+def test_sessions(spark, partitions, batch):
     rows = log_rows(300)
     df = spark.createDataFrame(rows, LOG).repartition(5)
-    got = {tuple(r) for r in sessionize(df, SessionSpec(USER, "time", "reading_id", PEER, 1800, chunk, most)).collect()}
+    how = {"spark.sql.shuffle.partitions": partitions, "spark.sql.adaptive.enabled": False, "spark.sql.execution.arrow.maxRecordsPerBatch": batch}
+    before = {k: spark.conf.get(k) for k in how}
+    for k, v in how.items():
+        spark.conf.set(k, v)
+    try:
+        got = {tuple(r) for r in sessionize(df, SessionSpec(USER, "time", "reading_id", PEER, 1800)).collect()}
+        without = {r.n_peers for r in sessionize(df, SessionSpec(USER, "time", "reading_id")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     assert got == session_reference(rows, 1800)
+    assert without == {0}
 
 
 def test_session_across_midnight_and_empty(spark):
