@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftloom.llm.encoding import restore
 from driftloom.llm.mixing import Mixture, mix
@@ -27,6 +28,15 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_runs(spark, folder).filter("n_events >= 2").select("user_id", "first_reading_id", "last_reading_id")
 
 
+NEAR = RunSpec(entity=USER, time="time", event="prob2", id="reading_id", gap_seconds=900, near=0.05)
+
+
+def p2_near(spark: SparkSession, folder: str) -> DataFrame:
+    """Every reading in a run of readings whose probability stays near the run's first."""
+    runs = collapse_runs(dated(table(spark, folder, "proximity")), NEAR)
+    return runs.select(F.col("entity").alias("user_id"), F.round("event", 6).alias("anchor"), "first_id", "last_id", "n_events")
+
+
 def _sizes(spark: SparkSession, folder: str) -> DataFrame:
     return with_sizes(table(spark, folder, "documents"), "text", keep=("doc_id", "source"))
 
@@ -67,7 +77,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_restored(spark, folder).select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_runs, p6_pack, p6_placed, p7_mix, p7_shares, p8_found, p8_restored)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_runs, p2_near, p6_pack, p6_placed, p7_mix, p7_shares, p8_found, p8_restored)}
 
 _RUNS = f"""
     WITH seen AS (SELECT reading_id, "user.id" AS u, "remote.user.id.if.known" AS r, "time" AS t FROM proximity WHERE "time" >= TIMESTAMP '{DAY0} 00:00:00'),
@@ -79,7 +89,18 @@ _RUNS = f"""
         arg_max(reading_id, (t, reading_id)) AS last_reading_id, min(t) AS start, max(t) AS "end",
         date_diff('microsecond', min(t), max(t)) / 1e6 AS duration_s, count(*) AS n_events FROM numbered GROUP BY u, run)"""
 
+_NEAR = f"""
+    WITH RECURSIVE seen AS MATERIALIZED (SELECT reading_id AS id, coalesce("user.id", -1) AS u, prob2::DOUBLE AS p, "time" AS t,
+        row_number() OVER (PARTITION BY "user.id" ORDER BY "time", prob2 NULLS FIRST, reading_id) AS i FROM proximity WHERE "time" >= TIMESTAMP '{DAY0} 00:00:00'),
+    fold AS (SELECT u, i, id, t, p AS anchor, 1 AS run FROM seen WHERE i = 1
+        UNION ALL SELECT u, i, id, t, CASE WHEN joins THEN anchor ELSE p END, CASE WHEN joins THEN run ELSE run + 1 END
+        FROM (SELECT s.u, s.i, s.id, s.t, s.p, f.anchor, f.run, s.t - f.t <= INTERVAL 15 MINUTE
+                AND (s.p IS NULL AND f.anchor IS NULL OR coalesce(abs(s.p - f.anchor) <= 0.05::DOUBLE, false)) AS joins
+            FROM fold f JOIN seen s ON s.u = f.u AND s.i = f.i + 1))"""
+
 SQL: dict[str, str] = {
+    "p2_near": _NEAR + """ SELECT nullif(u, -1) AS user_id, round(any_value(anchor), 6) AS anchor, arg_min(id, i) AS first_id, arg_max(id, i) AS last_id,
+        count(*) AS n_events FROM fold GROUP BY fold.u, run""",
     "p2_found": _RUNS + " SELECT user_id, first_reading_id, last_reading_id FROM runs WHERE n_events >= 2",
     "p2_runs": _RUNS + " SELECT * FROM runs",
     "p6_placed": "SELECT container, doc_id FROM documents CROSS JOIN pack_capacities WHERE text IS NOT NULL",

@@ -1,29 +1,20 @@
 """Runs of like consecutive events, collapsed by a state machine over sorted streams.
 
-Events are range-partitioned by (entity, time, event, id) and sorted within the
-partitions, so partitions are of equal size whatever the entities' sizes: a
-busy entity simply spans many of them. In each partition a state machine walks
-the stream with one open run, whose anchor is its first event; the next event
-joins it if it is of the same entity, like the anchor, and near enough in time,
-else the run is emitted. Only a partition's first and last run can be part of a
-longer one; those few (at most two per partition) meet by entity afterwards.
+The machine walks range-partitioned, sorted events with one open run, whose
+anchor is its first event; the next event joins it if it is of the same entity,
+like the anchor, and near enough in time, else the run is emitted. See
+:mod:`driftloom.operators.stretches` for how runs across partitions are found.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from driftloom.functions.times import micros
+from driftloom.functions.times import instant, micros
+from driftloom.operators.stretches import stretches
 
 
 @dataclass(frozen=True)
@@ -31,9 +22,9 @@ class RunSpec:
     """Column names and tolerances of :func:`collapse_runs`.
 
     ``like`` maps the event column to a normal form; events of equal normal form
-    are alike (unknown is like unknown). Being an equivalence, likeness to the
-    run's anchor is likeness to every event of the run, so a stream may be cut
-    anywhere. The default normal form is the event itself.
+    are alike (unknown is like unknown). The default normal form is the event
+    itself. With ``near`` the normal form is a number, and an event is like the
+    anchor if it differs from it by at most so much.
     """
 
     entity: str
@@ -42,132 +33,41 @@ class RunSpec:
     id: str
     gap_seconds: int = 900
     like: object = None
+    near: float | None = None
 
     def __post_init__(self) -> None:
         if self.gap_seconds < 0:
             raise ValueError("gap_seconds must not be negative")
+        if self.near is not None and not self.near >= 0:
+            raise ValueError("near must not be negative")
 
 
 def collapse_runs(events: DataFrame, spec: RunSpec) -> DataFrame:
     """One row per run of consecutive like events of an entity.
 
-    Returns ``entity, event`` (its normal form), ``first_id, last_id, start,
+    Returns ``entity, event`` (its anchor's normal form), ``first_id, last_id, start,
     end, duration_s, n_events``. Events of an entity are ordered by time, normal
     form (null first), id; an event joins the run before it if it is like the
     run's anchor and at most ``gap_seconds`` (inclusive) after the run's last
     event.
 
     Defined cases: an event without a time has no place in the order and is in
-    no run; a null entity is an entity of its own, null ids come first; repeated
-    rows count as events each; a single event is a run of one; an empty table
-    yields no row; other columns, whatever their names, are ignored.
+    no run; a null entity is an entity of its own, null ids come first; with
+    ``near``, null and NaN events are like each other only; repeated rows count
+    as events each; a single event is a run of one; an empty table yields no
+    row; other columns, whatever their names, are ignored.
     """
-    gap = spec.gap_seconds * 1_000_000
     event: Column = spec.like(F.col(spec.event)) if spec.like else F.col(spec.event)
-    rows = events.select(
-        F.col(spec.entity).alias("entity"), micros(F.col(spec.time)).alias("at"), event.alias("event"), F.col(spec.id).alias("id")
-    ).filter(F.col("at").isNotNull())
-    order = ["entity", "at", "event", "id"]
-    stream = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-
-    kinds = {f.name: f.dataType for f in rows.schema.fields}
-    schema = T.StructType(
-        [
-            T.StructField("entity", kinds["entity"]),
-            T.StructField("event", kinds["event"]),
-            T.StructField("first_id", kinds["id"]),
-            T.StructField("last_id", kinds["id"]),
-            T.StructField("from_at", T.LongType()),
-            T.StructField("to_at", T.LongType()),
-            T.StructField("n", T.LongType()),
-            T.StructField("place", T.LongType()),
-            T.StructField("at_edge", T.BooleanType()),
-        ]
-    )
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId() << 33
-        emitted = 0
-        opened: pa.Table | None = None  # the open run's first event
-        latest: pa.Table | None = None  # and its last
-        count = 0
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            now = pa.Table.from_batches([batch])
-            starts = np.flatnonzero(_breaks(now, latest, gap))
-            if opened is not None and len(starts) == 0:
-                count, latest = count + now.num_rows, now.slice(now.num_rows - 1)
-                continue
-            cuts = np.append(starts[1:], now.num_rows)
-            first, last, n = now.take(starts[:-1]), now.take(cuts[:-1] - 1), (cuts - starts)[:-1]
-            if opened is not None:
-                head = now.slice(starts[0] - 1, 1) if starts[0] else latest
-                first, last = pa.concat_tables([opened, first]), pa.concat_tables([head, last])
-                n = np.append(count + starts[0], n)
-            if len(n):
-                yield _emit(first, last, n, part, emitted, emitted == 0)
-                emitted += len(n)
-            opened, latest = now.slice(starts[-1], 1), now.slice(now.num_rows - 1)
-            count = int(now.num_rows - starts[-1])
-        if opened is not None:
-            out = _emit(opened, latest, np.array([count]), part, emitted, True)
-            yield out
-
-    runs = stream.mapInArrow(walk, schema)
-    # Inner runs are whole: each gets a lane of its own and is spread at random. Edge runs meet by entity.
-    runs = runs.withColumn("lane", F.when(F.col("at_edge"), F.lit(-1)).otherwise(F.col("place")))
-    lane = W.partitionBy("entity", "lane").orderBy("place")
-    before = {c: F.lag(c).over(lane) for c in ("event", "to_at", "place")}
-    # A partition's own first and last run have others between them, or a break.
-    elsewhere = F.shiftright(before["place"], 33) < F.shiftright(F.col("place"), 33)
-    joins = before["place"].isNotNull() & elsewhere & before["event"].eqNullSafe(F.col("event")) & (F.col("from_at") - before["to_at"] <= gap)
-    runs = runs.withColumn("opens", ~joins)
-    runs = runs.withColumns({"run": F.sum(F.col("opens").cast("int")).over(lane), "closes": F.coalesce(F.lead("opens").over(lane), F.lit(True))})
-    whole = runs.groupBy("entity", "lane", "run").agg(
-        F.max(F.when(F.col("opens"), F.col("event"))).alias("event"),
-        F.max(F.when(F.col("opens"), F.col("first_id"))).alias("first_id"),
-        F.max(F.when(F.col("closes"), F.col("last_id"))).alias("last_id"),
-        F.min("from_at").alias("from_at"),
-        F.max("to_at").alias("to_at"),
-        F.sum("n").alias("n_events"),
-    )
-    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
-    instant = lambda c: epoch + F.make_dt_interval(secs=(F.col(c) / F.lit(1_000_000)).cast("decimal(18,6)"))
-    return whole.select(
+    event = event.cast("double") if spec.near is not None else event
+    rows = events.select(F.col(spec.entity).alias("entity"), micros(F.col(spec.time)).alias("at"), event.alias("event"), F.col(spec.id).alias("id"))
+    found = stretches(rows.filter(F.col("at").isNotNull()), spec.gap_seconds * 1_000_000, True, False, spec.near)
+    return found.select(
         "entity",
         "event",
         "first_id",
         "last_id",
-        instant("from_at").alias("start"),
-        instant("to_at").alias("end"),
+        instant(F.col("from_at")).alias("start"),
+        instant(F.col("to_at")).alias("end"),
         ((F.col("to_at") - F.col("from_at")) / F.lit(1e6)).alias("duration_s"),
-        "n_events",
+        F.col("n").alias("n_events"),
     )
-
-
-def _breaks(now: pa.Table, latest: pa.Table | None, gap: int) -> np.ndarray:
-    """Whether each event of ``now`` opens a run, given the event before the first."""
-    joined = pa.concat_tables([latest, now]) if latest is not None else now
-    m = joined.num_rows
-    opens = np.ones(m, dtype=bool)
-    if m > 1:
-        at = joined.column("at").to_numpy()
-        opens[1:] = np.diff(at) > gap
-        for name in ("entity", "event"):
-            column = joined.column(name).combine_chunks()
-            a, b = column.slice(0, m - 1), column.slice(1)
-            differs = pc.fill_null(pc.not_equal(a, b), pc.xor(pc.is_null(a), pc.is_null(b)))
-            opens[1:] |= differs.to_numpy(zero_copy_only=False)
-    return opens[1:] if latest is not None else opens
-
-
-def _emit(first: pa.Table, last: pa.Table, n: np.ndarray, part: int, emitted: int, edge_first: bool) -> pa.RecordBatch:
-    edge = np.zeros(len(n), dtype=bool)
-    edge[0] = edge_first
-    columns = [
-        first.column("entity"), first.column("event"), first.column("id"), last.column("id"), first.column("at"), last.column("at"),
-        pa.array(n.astype(np.int64)), pa.array(part + emitted + np.arange(len(n))), pa.array(edge),
-    ]
-    table = pa.table(columns, names=["entity", "event", "first_id", "last_id", "from_at", "to_at", "n", "place", "at_edge"])
-    return table.combine_chunks().to_batches()[0]

@@ -64,6 +64,44 @@ def test_runs(spark, peers, partitions, batch):
     assert got == runs_reference(rows)
 
 
+def near_reference(rows: list[tuple], near: float) -> list:
+    low = lambda v: (v is not None, v or 0)
+    out = []
+    for user in {r[1] for r in rows}:
+        anchor, latest, run = None, None, []
+        for r in sorted((r for r in rows if r[1] == user and r[3] is not None), key=lambda r: (r[3], low(r[2]), r[0])):
+            alike = r[2] is anchor if r[2] is None or anchor is None else abs(r[2] - anchor) <= near
+            if not run or not alike or (r[3] - latest).total_seconds() > 900:
+                out.append(run := [])
+                anchor = r[2]
+            run.append((user, anchor, r[0]))
+            latest = r[3]
+    return sorted(((g[0][0], g[0][1], g[0][2], g[-1][2], len(g)) for g in out), key=str)
+
+
+@pytest.mark.parametrize(("jump", "partitions", "batch"), [(3, 4, 10_000), (1, 16, 7), (1, 32, 1), (2, 1, 50)])
+def test_runs_near_their_anchor(spark, jump, partitions, batch):
+    """Slow drift without gaps, so that where runs end depends on where the first of them began, partitions earlier."""
+    rng = random.Random(jump)
+    rows, x = [], 0
+    for i in range(500):
+        x += rng.choice([0, 1, jump])
+        rows.append((i, 7 if i % 5 else rng.choice([1, None]), None if rng.random() < 0.02 else x, START + timedelta(seconds=30 * i), "", 0, "", "", 0))
+    df = spark.createDataFrame(rows + rows[:20], LOG).repartition(6)
+    how = {"spark.sql.shuffle.partitions": partitions, "spark.sql.adaptive.enabled": False, "spark.sql.execution.arrow.maxRecordsPerBatch": batch}
+    before = {k: spark.conf.get(k) for k in how}
+    for k, v in how.items():
+        spark.conf.set(k, v)
+    try:
+        got = collapse_runs(df, RunSpec("u", "time", "r", "reading_id", near=4)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(((r.entity, r.event, r.first_id, r.last_id, r.n_events) for r in got), key=str) == [
+        (a, None if b is None else float(b), *rest) for a, b, *rest in near_reference(rows + rows[:20], 4)
+    ]
+
+
 def test_near_runs_and_empty(spark):
     rows = [(i, 1, p, START + timedelta(seconds=i), "", 0, "", "", 0) for i, p in enumerate([10, 11, 19, 20, 10])]
     df = spark.createDataFrame(rows, LOG)
@@ -72,6 +110,9 @@ def test_near_runs_and_empty(spark):
     assert collapse_runs(df.limit(0), RunSpec("u", "time", "r", "reading_id")).count() == 0
     with pytest.raises(ValueError):
         RunSpec("u", "time", "r", "reading_id", gap_seconds=-1)
+    with pytest.raises(ValueError):
+        RunSpec("u", "time", "r", "reading_id", near=-1.0)
+    assert collapse_runs(df.limit(0), RunSpec("u", "time", "r", "reading_id", near=1.0)).count() == 0
 
 
 def test_sizes(spark):
