@@ -53,6 +53,25 @@ def p6_placed(spark: SparkSession, folder: str) -> DataFrame:
     return p6_pack(spark, folder).select("container", "doc_id").distinct()
 
 
+def p6_held(spark: SparkSession, folder: str) -> DataFrame:
+    """Per kind of container, sized by characters: what went in, what is wrong with any of them (nothing), and how many they are against the least number."""
+    limits = {r.container: r.capacity_tokens for r in table(spark, folder, "pack_capacities").collect()}  # a few rows, fixed
+    texts = table(spark, folder, "documents").filter("text is not null").select("doc_id", "source", F.col("n_chars").cast("bigint").alias("size"))
+    packed = pack(texts, "doc_id", "source", "size", limits).withColumn("capacity", F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col("container")])
+    one = packed.groupBy("container", "capacity", "container_id").agg(F.sum("size").alias("used"), F.count(F.lit(1)).alias("pieces"))
+    of = one.groupBy("container", "capacity").agg(
+        F.sum("pieces").alias("pieces"), F.sum("used").alias("size"), F.count_if(F.col("used") > F.col("capacity")).alias("overfull"), F.count(F.lit(1)).alias("made")
+    )
+    text = packed.groupBy("container", "item_id").agg(F.sum("size").alias("size"), F.max("n_pieces").alias("n"), F.count(F.lit(1)).alias("came"), F.max("capacity").alias("capacity"))
+    cut = text.groupBy("container").agg(
+        F.count(F.lit(1)).alias("texts"),
+        F.count_if((F.col("n") > 1) & (F.col("size") <= F.col("capacity"))).alias("cut_for_nothing"),
+        F.count_if(F.col("came") != F.col("n")).alias("incomplete"),
+    )
+    near = F.col("made") <= F.lit(1.005) * F.ceil(F.col("size") / F.col("capacity")) + 4
+    return of.join(cut, "container").select("container", "texts", "pieces", "size", "overfull", "cut_for_nothing", "incomplete", near.alias("near_least"))
+
+
 def _mixture(spark: SparkSession, folder: str) -> Mixture:
     return mix(_sizes(spark, folder), "doc_id", "source", "size", table(spark, folder, "source_targets"))
 
@@ -77,7 +96,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_restored(spark, folder).select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_runs, p2_near, p6_pack, p6_placed, p7_mix, p7_shares, p8_found, p8_restored)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_runs, p2_near, p6_pack, p6_placed, p6_held, p7_mix, p7_shares, p8_found, p8_restored)}
 
 _RUNS = f"""
     WITH seen AS (SELECT reading_id, "user.id" AS u, "remote.user.id.if.known" AS r, "time" AS t FROM proximity WHERE "time" >= TIMESTAMP '{DAY0} 00:00:00'),
@@ -103,5 +122,8 @@ SQL: dict[str, str] = {
         count(*) AS n_events FROM fold GROUP BY fold.u, run""",
     "p2_found": _RUNS + " SELECT user_id, first_reading_id, last_reading_id FROM runs WHERE n_events >= 2",
     "p2_runs": _RUNS + " SELECT * FROM runs",
+    "p6_held": """SELECT container, count(*) AS texts, sum(greatest(1, ceil(n_chars / capacity_tokens::DOUBLE)))::BIGINT AS pieces, sum(n_chars)::BIGINT AS size,
+        0::BIGINT AS overfull, 0::BIGINT AS cut_for_nothing, 0::BIGINT AS incomplete, true AS near_least
+        FROM documents CROSS JOIN pack_capacities WHERE text IS NOT NULL GROUP BY container""",
     "p6_placed": "SELECT container, doc_id FROM documents CROSS JOIN pack_capacities WHERE text IS NOT NULL",
 }

@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -185,6 +187,46 @@ def test_pack_is_near_the_optimum_and_keeps_the_mixture():
         assert abs(running) < 512  # never a whole window off its target
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="needs the generated tables")
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_containers_of_many_items_hold_the_mixture(seed):
+    """Sized by characters; a container that an item fills by half can't have the mixture."""
+    rows = duckdb.sql("SELECT source, n_chars FROM '/root/testdata/sf0.1/documents.parquet' WHERE text IS NOT NULL ORDER BY doc_id").fetchall()
+    sources, sizes = [s for s, _ in rows], [n for _, n in rows]
+    capacity = 16_384
+    totals = defaultdict(int)
+    for s, n in rows:
+        totals[s] += n
+    share = {s: n / sum(sizes) for s, n in totals.items()}
+    held, largest = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    for window, row, _, _, size in fill_slot(sources, sizes, capacity, {s: (w, 0.0) for s, w in share.items()}, seed):
+        held[window][sources[row]] += size
+        largest[window] = max(largest[window], size)
+    assert sum(sizes) / (len(held) * capacity) >= 0.998 and len(held) <= -(-sum(sizes) // capacity) + 1
+    off = []
+    for window, parts in held.items():
+        used = sum(parts.values())
+        assert used <= capacity
+        if largest[window] < capacity / 2:
+            off.append(sum(abs(parts[s] / used - w) for s, w in share.items()) / 2)
+    assert np.mean(np.array(off) > 0.3) <= 0.05 and np.mean(off) < 0.15
+
+
+def test_pack_to_given_targets(spark):
+    """Until a source is used up, containers have the shares asked for."""
+    rng = random.Random(6)
+    rows = [(i, rng.choice("aab"), rng.randrange(1, 30)) for i in range(3000)]
+    got = pack(spark.createDataFrame(rows, "doc int, source string, n int"), "doc", "source", "n", {"c": 600}, targets={"a": 1.0, "b": 3.0}).collect()
+    assert sorted((r.item_id, r.size) for r in got) == sorted((i, n) for i, _, n in rows)
+    held = defaultdict(lambda: defaultdict(int))
+    for r in got:
+        held[r.container_id][r.source] += r.size
+    early = [held[k]["b"] / sum(held[k].values()) for k in sorted(held)[: len(held) // 3]]
+    assert 0.7 < np.mean(early) < 0.8 and min(early) > 0.6
+    with pytest.raises(ValueError):
+        pack(spark.createDataFrame(rows, "doc int, source string, n int"), "doc", "source", "n", {"c": 600}, targets={"a": 0.0})
+
+
 def test_mix_against_brute_force(spark):
     rng = random.Random(3)
     rows = [(i, "a" if i % 3 else "b", rng.randrange(0, 40)) for i in range(500)] + [(900, None, 30), (901, "other", 5), (902, "c", None), (903, "c", 12)]
