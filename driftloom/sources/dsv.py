@@ -77,7 +77,8 @@ def tokenize(lines: pa.Array, width: int, block: int = BLOCK) -> dict[str, pa.Ar
     """Fields of each line.
 
     Returns ``f0..f{width-1}`` (null unless the line is sound and has ``width``
-    fields), ``n_fields``, ``problem`` (null or a reason) and ``offset`` (byte
+    fields), ``at0..at{width-1}`` (the byte offsets where they begin),
+    ``n_fields``, ``problem`` (null or a reason) and ``offset`` (byte
     offset of the problem in its line, null if there is none).
     """
     count = len(lines)
@@ -160,6 +161,10 @@ def tokenize(lines: pa.Array, width: int, block: int = BLOCK) -> dict[str, pa.Ar
         mask = np.packbits(sound, bitorder="little").tobytes()
         array = pa.Array.from_buffers(pa.large_string(), count, [pa.py_buffer(mask), pa.py_buffer(at.tobytes()), pa.py_buffer(text[take].tobytes())])
         out[f"f{k}"] = array.cast(pa.string())
+    begins = np.zeros((count, width), dtype=np.int64)
+    begins[sound] = left - starts[sound][:, None]
+    for k in range(width):
+        out[f"at{k}"] = pa.array(begins[:, k], mask=~sound)
     out["n_fields"] = pa.array(n_fields.astype(np.int32))
     out["problem"] = pa.array(problem.tolist(), type=pa.string())
     out["offset"] = pa.array(offset, mask=offset < 0)
@@ -217,12 +222,13 @@ def parse_lines(lines: DataFrame, line: str, fields: tuple[Field, ...] = PROXIMI
 
     Returns the ``carry`` columns, the typed fields (null where a line isn't
     valid), ``reason`` (null for a valid line) and ``reason_offset``: the byte
-    offset in the line for a fault of the record's structure, else the index of
-    the field at fault is told by ``reason`` and the offset is null.
+    offset in the line of the fault (for a record of too few fields its end, for
+    an invalid value the beginning of its field, right after the comma before).
 
     A record is comma-separated; fields may be quoted, a quote inside is written
     twice; blanks (spaces, tabs) around a field and one carriage return ending
-    the line carry no meaning; ``NA`` is the only mark of a missing value.
+    the line carry no meaning; ``NA`` is the only mark of a missing value. Line
+    breaks in quotes are content, see :func:`~driftloom.sources.records.read_records`.
 
     Defined cases: a null line has reason ``null line``; an empty line has one
     field and so reason ``column count``; lines of any length are read whole;
@@ -235,6 +241,7 @@ def parse_lines(lines: DataFrame, line: str, fields: tuple[Field, ...] = PROXIMI
     schema = T.StructType(
         [source.schema[k] for k in kept]
         + [T.StructField(r, T.StringType()) for r in raw]
+        + [T.StructField(f"at{i}", T.LongType()) for i in range(len(fields))]
         + [T.StructField("n_fields", T.IntegerType()), T.StructField("problem", T.StringType()), T.StructField("offset", T.LongType())]
     )
     width = len(fields)
@@ -247,7 +254,7 @@ def parse_lines(lines: DataFrame, line: str, fields: tuple[Field, ...] = PROXIMI
 
     tokens = source.mapInArrow(run, schema)
     # Each step's results are columns, so that the next steps don't compute them again.
-    rest = [*kept, "problem", "offset"]
+    rest = [*kept, "problem", "offset", *[f"at{i}" for i in range(len(fields))]]
     trimmed = tokens.select(*rest, *[F.btrim(F.col(r), F.lit(" \t")).alias(f"t{i}") for i, r in enumerate(raw)])
     parsed = trimmed.select(
         *rest,
@@ -255,7 +262,8 @@ def parse_lines(lines: DataFrame, line: str, fields: tuple[Field, ...] = PROXIMI
         *[(F.lit(f.nullable) & (F.col(f"t{i}") == "NA")).alias(f"na{i}") for i, f in enumerate(fields)],
     )
     faults = [F.when(F.col(f"v{i}").isNull() & ~F.col(f"na{i}"), F.lit(f"invalid {f.name}")) for i, f in enumerate(fields)]
-    typed = parsed.withColumn("reason", F.coalesce(F.col("problem"), *faults))
+    places = [F.when(fault.isNotNull(), F.col(f"at{i}")) for i, fault in enumerate(faults)]
+    typed = parsed.withColumn("reason", F.coalesce(F.col("problem"), *faults)).withColumn("offset", F.coalesce("offset", *places))
     return typed.select(
         *[F.col(k).alias(c.strip("`")) for c, k in zip(carry, kept)],
         *[F.when(F.col("reason").isNull(), F.col(f"v{i}")).alias(f.name) for i, f in enumerate(fields)],

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from driftloom.operators.grid import GridSpec, Levels, _iterate, impute_marked, regular_grid
 from driftloom.operators.sessions import SessionSpec, sessionize
 from driftloom.operators.skew import fragment_replicate_join, per_key_results, plan_shards
-from driftloom.sources.dsv import parse_lines, slices, split_lines, states_before, tokenize
+from driftloom.sources.dsv import PROXIMITY_FIELDS, QUOTED, Field, parse_lines, slices, split_lines, states_before, tokenize
+from driftloom.sources.records import ACROSS, CLASSES, read_records
 
 LOG = "reading_id bigint, `user.id` int, `remote.user.id.if.known` int, time timestamp_ntz, prob2 float, wave int, entity string, at string, n int, day int, period int, task_id int"
 USER, PEER = "`user.id`", "`remote.user.id.if.known`"
@@ -218,11 +219,45 @@ def test_lines(spark):
     }
     offsets = {BAD[i][1]: got[i + len(GOOD)].reason_offset for i in (4, 5, 6)}
     assert offsets == {"unterminated quote": 4, "quote in a bare field": 3, "text after a closing quote": 5}
+    # An invalid value's fault begins with its field.
+    for i, (line, reason) in enumerate(BAD, len(GOOD)):
+        if reason.startswith("invalid"):
+            field = [f.name for f in PROXIMITY_FIELDS].index(reason.removeprefix("invalid "))
+            assert got[i].reason_offset == len(",".join(line.split(",")[:field]).encode()) + (field > 0), line
+    assert all((r.reason is None) == (r.reason_offset is None) for r in got.values())
     good, bad = split_lines(parsed)
     assert good.count() == len(GOOD) and bad.count() == len(BAD) and bad.columns == ["line_id", "reason", "reason_offset"]
     assert parse_lines(df.limit(0), "raw_line").count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 17, 10_000])
+def test_records_of_files(spark, tmp_path, chunk):
+    """Against a plain walk, with line breaks in quotes, wherever the chunks are cut."""
+    rng = random.Random(chunk)
+    texts = {"a.csv": "h1,h2\n1,\"x\ny\"\n\n2,é\r\n3,\"\"\"\n\"\nlast", "empty.csv": "", "b.csv": "only", "c.csv": "h\n" + "".join(rng.choice('ab," \n\n') for _ in range(300)) + "\n"}
+    if chunk == 1:
+        texts["c.csv"] = texts["c.csv"][:60]
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    got = read_records(spark, str(tmp_path), header=False, chunk_bytes=chunk).collect()
+    want = set()
+    for name, text in texts.items():
+        state, start, data = 0, 0, text.encode()
+        for at, c in enumerate(data):
+            if c == 10 and state != QUOTED:
+                want.add((name, start, data[start:at].decode()))
+                start, state = at + 1, 0
+            else:
+                state = int(ACROSS[CLASSES[c], state])
+        if start < len(data):
+            want.add((name, start, data[start:].decode()))
+    assert {(r.file_name.rsplit("/", 1)[-1], r.byte_offset, r.raw_line) for r in got} == want and len(got) == len(want)
+    rest = read_records(spark, str(tmp_path), chunk_bytes=chunk).collect()
+    assert len(rest) == len(want) - 3 and all(r.byte_offset > 0 for r in rest)
+    parsed = parse_lines(read_records(spark, str(tmp_path), chunk_bytes=chunk), "raw_line", (Field("k", PROXIMITY_FIELDS[0].parse, False), Field("s", lambda c: c, True)))
+    assert {(r.k, r.s) for r in parsed.filter("reason is null").collect()} >= {(1, "x\ny"), (2, "é"), (3, '"\n')}
+
+
 def test_tokenizer_blocks_and_csv_module():
     rng = random.Random(5)
     sound = ['"a ""b"" c",d', "a b,c", '"x,y",""', ' "q" , z ']
