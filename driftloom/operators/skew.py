@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.session import cut, width
+from driftloom.session import cut, width, written
 
 
 @dataclass(frozen=True)
@@ -37,12 +37,14 @@ class ShardPlan:
         return F.pmod(F.xxhash64(key), F.lit(self.n_tasks)).cast("int")
 
     def fragment(self, df: DataFrame, key: str, by: list[str]) -> DataFrame:
-        """``df`` with ``task_id``: a heavy key's rows are dealt to its shards by the hash of the columns ``by``."""
+        """``df`` with ``task_id``: a heavy key's rows are dealt to its shards by the hash of the columns ``by``, those of a null key to all tasks."""
+        anywhere = F.pmod(F.xxhash64(*[F.col(c) for c in by], F.lit(2)), F.lit(self.n_tasks)).cast("int")
+        light = F.when(F.col(key).isNull(), anywhere).otherwise(self._light(F.col(key)))
         if not self.heavy:
-            return df.withColumn("task_id", self._light(F.col(key)))
+            return df.withColumn("task_id", light)
         deal = F.pmod(F.xxhash64(*[F.col(c) for c in by], F.lit(1)), F.size("plan_tasks")).cast("int")
         joined = df.join(F.broadcast(self._table(df)), F.col(key).eqNullSafe(F.col("plan_key")), "left")
-        task = F.coalesce(F.get("plan_tasks", deal), self._light(F.col(key)))
+        task = F.coalesce(F.get("plan_tasks", deal), light)
         return joined.withColumn("task_id", task).drop("plan_key", "plan_tasks")
 
     def replicate(self, df: DataFrame, key: str) -> DataFrame:
@@ -105,7 +107,7 @@ def per_key_results(log: DataFrame, ends: tuple[str, str], time: str, value: str
     the other column), ``first_time``, ``last_time`` and ``mean_value``.
 
     Rows are combined per pair of ends on the map side before the first
-    exchange. The pairs are the fragmented side, dealt to a heavy key's shards
+    exchange, and the pairs are written once. They are the fragmented side, dealt to a heavy key's shards
     by partner, so a key's distinct partners add up over its shards; the table
     of loads per key is the matching side, replicated to those shards. The last
     step combines at most one row per key and task.
@@ -123,20 +125,16 @@ def per_key_results(log: DataFrame, ends: tuple[str, str], time: str, value: str
         F.col(a).alias("a"), F.col(b).alias("b"), F.col(time).alias("t"), F.when(~F.isnan(number), number).alias("v")
     )
     fields = [F.lit(x.strip("`")) for x in ends]
-    loads = (
-        rows.select(F.inline(F.array(F.struct(fields[0].alias("field"), F.col("a").alias("key_id")), F.struct(fields[1].alias("field"), F.col("b").alias("key_id")))))
-        .filter(F.col("key_id").isNotNull())
-        .groupBy("field", "key_id")
-        .agg(F.count(F.lit(1)).alias("load"))
-        .select(F.struct("field", "key_id").alias("place"), "load")
+    # The log is read once: a row per pair of ends is written, and all else is computed from these.
+    pairs = written(
+        rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"), F.sum("v").alias("s"), F.count("v").alias("nv"))
     )
+    ends_of = F.array(*[F.struct(F.struct(f.alias("field"), F.col(c).alias("key_id")).alias("place"), F.col("n")) for f, c in zip(fields, "ab")])
+    loads = pairs.select(F.inline(ends_of)).filter(F.col("place.key_id").isNotNull()).groupBy("place").agg(F.sum("n").alias("load"))
     loads = cut(loads)  # one row per key; read by the plan, the totals and the join
     plan = plan_shards(loads, "place", "load", n_tasks)
     totals = dict(loads.groupBy("place.field").agg(F.sum("load")).collect())  # two rows
 
-    pairs = rows.groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"), F.sum("v").alias("s"), F.count("v").alias("nv")
-    )
     kept = [F.col(c) for c in ("n", "lo", "hi", "s", "nv")]
     sides = F.array(
         F.struct(F.struct(fields[0].alias("field"), F.col("a").alias("key_id")).alias("place"), F.col("b").alias("partner"), *kept),

@@ -134,6 +134,17 @@ def test_imputation_of_short_and_constant_series():
     assert both[50:] == pytest.approx(impute(long[50:], [31]), abs=1e-3)
 
 
+def test_null_keys_of_a_left_join_are_spread(spark):
+    left = spark.createDataFrame([(i, None if i % 3 else 1) for i in range(3000)], "id int, k int")
+    right = spark.createDataFrame([(1, "one"), (None, "none")], "k int, name string")
+    for loads in ([(1, 1000)], [(1, 1000), (2, 900)], []):
+        plan = plan_shards(spark.createDataFrame(loads, "k int, load bigint"), "k", "load", 8)
+        joined = fragment_replicate_join(left, right, "k", ["id"], plan, "left")
+        assert {(r.id, r.name) for r in joined.collect()} == {(i, None if i % 3 else "one") for i in range(3000)}
+        tasks = plan.fragment(left.filter("k is null"), "k", ["id"]).groupBy("task_id").count().collect()
+        assert len(tasks) == 8 and max(r["count"] for r in tasks) < 2 * min(r["count"] for r in tasks)
+
+
 def test_imputation_settles_from_anywhere():
     rng = np.random.default_rng(0)
     b, span, lag = 30, 60, 14
