@@ -4,7 +4,8 @@ Candidates for a garbled stretch come from its bytes: its characters are mapped
 back to the bytes of a legacy encoding, an automaton over bytes finds the maximal
 well-formed multibyte spans among them (UTF-8, EUC, Shift-JIS), and those spans
 only are decoded; stretches garbled twice go through it again. Bytes of a
-single-byte encoding have no such structure; there every byte is decoded.
+single-byte encoding have no such structure; there every byte is decoded, which
+is a way of its own (``bytes``, as opposed to ``spans``), told apart in the result.
 
 Well-formedness alone mistakes some sound words for garbled ones and says
 nothing about single bytes. So each candidate is weighed by how usual it is: the
@@ -28,10 +29,14 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Ways to find a text: well-formed multibyte spans, all bytes of one single-byte encoding read as another, lost bytes.
+WAYS = ("spans", "bytes", "lost")
+
 # Python's names of the encodings considered.
 SINGLE_BYTE = (
     "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "iso8859-1", "iso8859-2", "iso8859-5", "iso8859-7",
@@ -67,6 +72,8 @@ LEAST_GAIN_SPAN = 0.4
 LEAST_GAIN_BYTES = 2.0
 #: The gain over the changed pairs alone must be higher by this.
 LOCAL_EXTRA = 1.5
+#: Up to so many decodings one after another every reading is followed.
+FOLLOWED = 3
 #: Within so many characters of a stretch its correct form makes it a quotation.
 QUOTE_REACH = 24
 
@@ -102,11 +109,26 @@ def as_lost(text: str) -> str:
     return LOST_AGAIN.sub(lambda m: m.group("spoken") or LOST, text)
 
 
+class _Bytes(dict):
+    """Character to its byte in each encoding, ``?`` where it has none."""
+
+    def __missing__(self, char: str) -> tuple[int, ...]:
+        code = ord(char)
+        self[char] = tuple(table.get(code, 63) for table in ENCODE.values())
+        return self[char]
+
+
+BYTES = _Bytes()
+NAMES = tuple(ENCODE)
+
+
 def _raw(chunk: str) -> dict[bytes, str]:
     """The chunk's bytes in each encoding, one per character, ``?`` where it has none; with the first encoding that gives them."""
+    if len(BYTES) > 100_000:
+        BYTES.clear()
     out: dict[bytes, str] = {}
-    for name, table in ENCODE.items():
-        out.setdefault(codecs.charmap_encode(chunk, "replace", table)[0], name)
+    for raw, name in zip(zip(*map(BYTES.__getitem__, chunk)), NAMES):
+        out.setdefault(bytes(raw), name)
     return out
 
 
@@ -262,21 +284,38 @@ def pair_counts(documents: DataFrame, text: str) -> tuple[np.ndarray, int]:
 class Restorer:
     """Finds and undoes wrong decoding, given the corpus' counts."""
 
-    def __init__(self, counts: np.ndarray, documents: int) -> None:
-        self.usual = memoryview(np.log(counts + 0.5).astype(np.float64))
+    def __init__(self, counts: np.ndarray, documents: int, ways: tuple[str, ...] = WAYS) -> None:
+        self.ways = ways
+        self.log_counts = np.log(counts + 0.5).astype(np.float64)
+        self.usual = memoryview(self.log_counts)
         self.rare = float(np.log(max(4.0, 0.02 * documents)))
         # Memories of what was computed, cleared when they grow large.
         self.known: dict[str, list] = {}
         self.pairs: dict[str, float] = {}
 
-    def changed(self, chunk: str, new: str) -> float:
-        """Mean gain over the pairs that differ between two strings of equal length."""
-        a, b = f" {chunk} ".translate(ONE_DIGIT), f" {new} ".translate(ONE_DIGIT)
-        total, n = 0.0, 0
-        for x, y in zip(map(str.__add__, a, a[1:]), map(str.__add__, b, b[1:])):
-            if x != y:
-                total, n = total + self.pair(y) - self.pair(x), n + 1
-        return total / max(n, 1)
+    def weigh_all(self, chunk: str, others: list[str]) -> tuple[list[float], list[float]]:
+        """For each of the other strings the mean log count of its pairs, and if it is as long as the chunk the mean gain over the pairs that differ."""
+        rows = [chunk, *others]
+        sizes = np.array([len(x) for x in rows]) + 2
+        ends = np.cumsum(sizes)
+        codes = np.frombuffer("".join(f" {x} " for x in rows).encode("utf-32-le", "replace"), dtype="<u4").astype(np.int64)
+        codes = np.where((codes >= 48) & (codes <= 57), 48, codes)
+        first, second = codes[:-1], codes[1:]
+        wide = (first > 127) | (second > 127)
+        value = np.where(wide, self.log_counts[_slot(first, second)], self.rare)
+        own = f" {chunk} ".translate(ONE_DIGIT)
+        value[: sizes[0] - 1] = [self.pair(p) for p in map(str.__add__, own, own[1:])]
+        # Pairs of two strings' ends aren't wide, as both are blanks.
+        starts = ends - sizes
+        n = np.add.reduceat(wide, starts)
+        total = np.add.reduceat(np.where(wide, value, 0.0), starts)
+        mean = np.where(n > 0, total / np.maximum(n, 1), 99.0)
+        local = np.zeros(len(rows))
+        alike = np.flatnonzero(sizes == sizes[0])
+        at = starts[alike][:, None] + np.arange(sizes[0] - 1)[None, :]
+        differs = (first[at] != first[at[:1]]) | (second[at] != second[at[:1]])
+        local[alike] = np.where(differs, value[at] - value[at[:1]], 0.0).sum(axis=1) / np.maximum(differs.sum(axis=1), 1)
+        return mean[1:].tolist(), local[1:].tolist()
 
     def inner(self, text: str) -> float:
         """Mean over the pairs within the stretches of a text (NUL between them), without their surroundings."""
@@ -321,40 +360,48 @@ class Restorer:
             spans = utf8_spans(chunk, raws) if ADJACENT.search(chunk) else {}
             front = {d: how for d, (how, _, _) in spans.items()}
             found |= front
-            for _ in range(2):  # garbled twice, garbled three times
+            depth = 1
+            while front:  # garbled twice, three times, ..: each decoding shortens the text
+                if depth >= FOLLOWED:
+                    # The readings multiply with each decoding; beyond three the likeliest is followed.
+                    some = [d for d in front if ADJACENT.search(d)]
+                    means, _ = self.weigh_all(chunk, some)
+                    front = {d: front[d] for d in some if d == some[int(np.argmax(means))]}
+                depth += 1
                 again = {d: f"{how}+{h}" for x, how in front.items() if ADJACENT.search(x) for d, (h, _, _) in utf8_spans(x, _raw(x)).items()}
                 front = {d: how for d, how in again.items() if d not in found and d != chunk}
                 found |= front
-            for d, h in (*other_spans(chunk, raws).items(), *foreign_bytes(chunk, raws).items(), *self.part_of(chunk).items()):
+            for d, h in other_spans(chunk, raws).items():
                 found.setdefault(d, h)
+            if "bytes" in self.ways:
+                for d, h in (*foreign_bytes(chunk, raws).items(), *self.part_of(chunk).items()):
+                    found.setdefault(d, h)
             wide = wide_spans(chunk, self.inner)
             for d, (h, _, _) in wide.items():
                 found.setdefault(d, h)
             behind = set()
             lost, controls = chunk.count(LOST), len(CONTROLS.findall(chunk))
-            for d, h in found.items():
-                # No right reading has more controls or lost characters than the wrong one.
-                if d.count(LOST) <= lost and len(CONTROLS.findall(d)) <= controls:
-                    if len(d) == len(chunk):
-                        # Sound letters beside the garbled ones must not drown the gain of these.
-                        local = self.changed(chunk, d)
-                        if local <= 0:
-                            continue  # nor can the mean have gained
-                        gain = max(self.weigh(d)[0] - mean, local - LOCAL_EXTRA)
-                    else:
-                        gain = self.weigh(d)[0] - mean
-                    if d in wide and d not in spans:
-                        # Sound text beside the spans mustn't drown their gain; a reading of the whole comes first where there is one.
-                        least_gain = LEAST_GAIN_SPAN if h.startswith("utf-8") else LEAST_GAIN_BYTES
-                        if gain <= least_gain:
-                            local = self.inner(wide[d][2]) - self.inner(wide[d][1]) - LOCAL_EXTRA if len(wide[d][1].replace("\0", "")) > 2 else gain
-                            gain = max(gain, min(local, least_gain + 0.1))
-                            behind.add(d)
-                    if d in spans and len(spans[d][2].replace("\0", "")) > 2:
-                        # Where bytes are lost between the spans, what lies in the spans must speak for itself.
-                        gain = max(gain, self.inner(spans[d][2]) - self.inner(spans[d][1]) - LOCAL_EXTRA)
-                    if gain > 0:
-                        out.append((h, d, gain))
+            # No right reading has more controls or lost characters than the wrong one.
+            kept = [(d, h) for d, h in found.items() if d.count(LOST) <= lost and len(CONTROLS.findall(d)) <= controls]
+            for (d, h), new_mean, local in zip(kept, *self.weigh_all(chunk, [d for d, _ in kept])) if kept else ():
+                gain = new_mean - mean
+                if len(d) == len(chunk):
+                    # Sound letters beside the garbled ones must not drown the gain of these.
+                    if local <= 0:
+                        continue  # nor can the mean have gained
+                    gain = max(gain, local - LOCAL_EXTRA)
+                if d in wide and d not in spans:
+                    # Sound text beside the spans mustn't drown their gain; a reading of the whole comes first where there is one.
+                    least_gain = LEAST_GAIN_SPAN if h.startswith("utf-8") else LEAST_GAIN_BYTES
+                    if gain <= least_gain:
+                        local = self.inner(wide[d][2]) - self.inner(wide[d][1]) - LOCAL_EXTRA if len(wide[d][1].replace("\0", "")) > 2 else gain
+                        gain = max(gain, min(local, least_gain + 0.1))
+                        behind.add(d)
+                if d in spans and len(spans[d][2].replace("\0", "")) > 2:
+                    # Where bytes are lost between the spans, what lies in the spans must speak for itself.
+                    gain = max(gain, self.inner(spans[d][2]) - self.inner(spans[d][1]) - LOCAL_EXTRA)
+                if gain > 0:
+                    out.append((h, d, gain))
             out.sort(key=lambda x: (x[1] in behind, -x[2]))
         self.known[chunk] = out
         return out
@@ -384,7 +431,7 @@ class Restorer:
     def examine(self, text: str) -> tuple[bool, bool, str, str, int]:
         """(found, whole, restored text, how, stretches): ``whole`` if nothing of the text is lost."""
         text = as_lost(text)
-        lossy = LOST in SPOKEN_OF.sub("", text)
+        lossy = "lost" in self.ways and LOST in SPOKEN_OF.sub("", text)
         chunks = []
         votes: dict[str, float] = defaultdict(float)
         end = 0
@@ -468,6 +515,8 @@ def utf8_spans(chunk: str, raws: dict[bytes, str]) -> dict[str, tuple[str, str,
     """What the chunk becomes if UTF-8 was read as a single-byte encoding: how, and its spans before and after."""
     out: dict[str, tuple[str, str, str]] = {}
     for raw, name in raws.items():
+        if not UTF8_RUN.search(raw):
+            continue
         new = _splice(chunk, raw, UTF8_RUN, "utf-8")
         if new is not None and new not in out:
             places = [m.span() for m in UTF8_RUN.finditer(raw)]
@@ -630,12 +679,34 @@ def foreign_bytes(chunk: str, raws: dict[bytes, str]) -> dict[str, str]:
     return out
 
 
-def restore(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+#: The restorer that this worker used last, with what it remembers, and the broadcast it was made of.
+_LAST: list = []
+
+
+def _restorer(shared: Broadcast, ways: tuple[str, ...]) -> Restorer:
+    if not _LAST or _LAST[0] is not shared or _LAST[1].ways != ways:
+        _LAST[:] = [shared, Restorer(*shared.value, ways)]
+    return _LAST[1]
+
+
+def way_of(how: str) -> str:
+    """The way that ``how`` belongs to."""
+    return "lost" if not how else "spans" if how.split(" as ")[0] in ("utf-8", *RUNS) else "bytes"
+
+
+def restore_spans(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """As :func:`restore`, by maximal well-formed multibyte spans only, which are all that is decoded."""
+    return restore(documents, doc_id, text, ("spans",))
+
+
+def restore(documents: DataFrame, doc_id: str, text: str, ways: tuple[str, ...] = WAYS) -> DataFrame:
     """The documents with wrongly decoded text.
 
     Returns ``doc_id, restored, whole`` (whether nothing is left that can't be
-    restored), ``how`` (true and wrong encoding of most stretches; empty if only
-    replacement characters gave the text away), ``stretches``.
+    restored), ``way`` (of :data:`WAYS`: the one of most stretches, ``lost`` if
+    only replacement characters gave the text away), ``how`` (true and wrong
+    encoding of most stretches, empty for ``lost``), ``stretches``. Only the
+    ``ways`` asked for are tried.
 
     Defined cases: null, empty and pure ASCII texts are never found; texts of any
     length are examined whole; repeated texts are each found; quoted garbled
@@ -644,6 +715,8 @@ def restore(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     unusual spellings are not; an empty table yields no row; other columns,
     whatever their names, are ignored.
     """
+    if not ways or set(ways) - set(WAYS):
+        raise ValueError(f"ways must be some of {WAYS}")
     counts, total = pair_counts(documents, text)
     shared = documents.sparkSession.sparkContext.broadcast((counts, total))
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").rlike(r"[^\x00-\x7f]"))
@@ -652,15 +725,15 @@ def restore(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
             rows.schema["doc_id"],
             T.StructField("restored", T.StringType()),
             T.StructField("whole", T.BooleanType()),
+            T.StructField("way", T.StringType()),
             T.StructField("how", T.StringType()),
             T.StructField("stretches", T.IntegerType()),
         ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = None
+        restorer = _restorer(shared, ways)
         for batch in batches:
-            restorer = restorer or Restorer(*shared.value)
             seen = [restorer.examine(t) for t in batch.column(1).to_pylist()]
             hit = [i for i, x in enumerate(seen) if x[0]]
             yield pa.RecordBatch.from_arrays(
@@ -668,10 +741,11 @@ def restore(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
                     batch.column(0).take(pa.array(hit, pa.int64())),
                     pa.array([seen[i][2] for i in hit], pa.string()),
                     pa.array([seen[i][1] for i in hit], pa.bool_()),
+                    pa.array([way_of(seen[i][3]) for i in hit], pa.string()),
                     pa.array([seen[i][3] for i in hit], pa.string()),
                     pa.array([seen[i][4] for i in hit], pa.int32()),
                 ],
-                names=["doc_id", "restored", "whole", "how", "stretches"],
+                names=["doc_id", "restored", "whole", "way", "how", "stretches"],
             )
 
     return rows.mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm.encoding import restore
+from driftloom.llm.encoding import restore, restore_spans
 from driftloom.llm.mixing import Mixture, mix
 from driftloom.llm.packing import pack
 from driftloom.llm.runs import RunSpec, collapse_runs
@@ -91,12 +91,17 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return restore(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Those that well-formed multibyte spans alone tell, with only the spans decoded."""
+    return restore_spans(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """The same by their ids."""
     return p8_restored(spark, folder).select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_runs, p2_near, p6_pack, p6_placed, p6_held, p7_mix, p7_shares, p8_found, p8_restored)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_runs, p2_near, p6_pack, p6_placed, p6_held, p7_mix, p7_shares, p8_found, p8_spans, p8_restored)}
 
 _RUNS = f"""
     WITH seen AS (SELECT reading_id, "user.id" AS u, "remote.user.id.if.known" AS r, "time" AS t FROM proximity WHERE "time" >= TIMESTAMP '{DAY0} 00:00:00'),

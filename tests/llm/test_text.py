@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.llm.encoding import DECODE, Restorer, features, pair_counts, restore
+from driftloom.llm.encoding import DECODE, Restorer, features, pair_counts, restore, restore_spans
 from driftloom.llm.mixing import mix
 from driftloom.llm.packing import fill_slot, pack
 from driftloom.llm.runs import RunSpec, collapse_runs
@@ -334,6 +334,72 @@ def test_sound_and_lossy_texts(spark):
     assert again == found
 
 
+LANGUAGES = ("en", "en", "en", "en", "de", "fr", "es", "pt", "pl", "ru", "cs", "el", "ja")
+#: How texts get garbled: read as the second what was written in the first (and again).
+GARBLED = {
+    "en": [], "de": [("utf-8", "cp1252"), ("utf-8", "iso8859-1"), ("utf-8", "cp1252", "utf-8", "cp1252"), ("cp1252", "cp1251"), ("cp1252", "cp437")],
+    "fr": [("utf-8", "cp1252"), ("utf-8", "mac_roman"), ("cp1252", "cp850")], "es": [("utf-8", "cp1252"), ("utf-8", "cp850"), ("iso8859-1", "mac_roman")],
+    "pt": [("utf-8", "iso8859-1"), ("utf-8", "cp437")], "pl": [("utf-8", "cp1250"), ("cp1250", "cp1252"), ("iso8859-2", "cp1252")],
+    "ru": [("utf-8", "cp1251"), ("utf-8", "cp1252"), ("cp1251", "iso8859-1"), ("koi8-r", "cp1251"), ("cp866", "cp1251")], "cs": [("utf-8", "cp1250"), ("cp1250", "cp1252")],
+    "el": [("utf-8", "cp1253"), ("utf-8", "cp1252"), ("cp1253", "cp1252")], "ja": [("utf-8", "cp1252"), ("cp932", "cp1252"), ("euc-jp", "iso8859-1"), ("utf-8", "cp932")],
+}
+
+
+def readable(data: bytes, name: str) -> str | None:
+    """The bytes as characters of an encoding, what cp1252 and others leave undefined as controls; null if some can't be read."""
+    if name in DECODE:
+        return "".join(DECODE[name][b] for b in data)
+    try:
+        return data.decode(name)
+    except UnicodeDecodeError:
+        return None
+
+
+def names_texts(spark, n: int, seed: int) -> list[tuple[int, str, str | None]]:
+    """Texts made of the names of countries and languages that the JVM knows: (id, text, right text if it is garbled)."""
+    locale = spark._jvm.java.util.Locale
+    countries, tongues = list(locale.getISOCountries()), list(locale.getISOLanguages())
+    words = {}
+    for code in sorted(set(LANGUAGES)):
+        of = locale.forLanguageTag(code)
+        words[code] = [locale("", c).getDisplayCountry(of) for c in countries] + [locale(t).getDisplayLanguage(of) for t in tongues]
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        code = rng.choice(LANGUAGES)
+        text = ", ".join(rng.choice(words[code]) for _ in range(rng.choice([3, 12, 40])))
+        right = None
+        if GARBLED[code] and rng.random() < 0.12:
+            steps = rng.choice(GARBLED[code])
+            whole = rng.random() < 0.6
+            head, tail = ("", text) if whole else (text[: len(text) // 2], text[len(text) // 2 :])
+            wrong: str | None = tail
+            for true, seen in zip(steps[::2], steps[1::2]):
+                try:
+                    wrong = readable(wrong.encode(true), seen) if wrong is not None else None
+                except UnicodeEncodeError:
+                    wrong = None
+            if wrong is not None and wrong != tail:
+                right, text = text, head + wrong
+        out.append((i, text, right))
+    return out
+
+
+def test_texts_of_another_origin(spark):
+    """Recall, precision and exact restorations on garbles planted in texts that no threshold was set on."""
+    rows = names_texts(spark, 4000, 7)
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in restore(df, "doc_id", "text").collect()}
+    planted = {i: right for i, _, right in rows if right is not None}
+    hit = planted.keys() & got.keys()
+    exact = sum(got[i].restored == planted[i] for i in hit)
+    spans = {r.doc_id for r in restore_spans(df, "doc_id", "text").collect()}
+    print(f"planted {len(planted)}, found {len(got)}, both {len(hit)}, exact {exact}, by spans alone {len(planted.keys() & spans)} and {len(spans - planted.keys())} false")
+    assert len(planted) > 250
+    assert len(hit) >= 0.9 * len(planted) and len(hit) >= 0.95 * len(got) and exact >= 0.8 * len(planted)
+    assert len(spans - planted.keys()) <= 0.02 * len(spans)
+
+
 def test_pair_counts(spark):
     texts = ["é é", "aé", "ascii", "É", None]
     counts, total = pair_counts(spark.createDataFrame([(t,) for t in texts], "text string"), "text")
