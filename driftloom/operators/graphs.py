@@ -72,6 +72,13 @@ def clustering(snapshots: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def counted(snapshots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``series_id, t, x``: mean degree, mean clustering and density of every snapshot, by joins only, so for graphs of any size."""
+    e = canonical_edges(edges)
+    both = counts(snapshots, e).join(clustering(snapshots, e), KEY)
+    return both.select(*KEY, F.array("mean_degree", "mean_clustering", "density").alias("x"))
+
+
 @dataclass(frozen=True)
 class Feature:
     """A named feature of a stack of adjacency matrices of one size; ``fn`` gets (B, n, n) and shared results, and returns (B,)."""
@@ -154,7 +161,7 @@ def mean_eigenvector(a: np.ndarray, shared: dict) -> np.ndarray:
     """Mean entry of the leading eigenvector (of length 1, of non-negative sum). Not unique if its eigenvalue is multiple."""
     if a.shape[1] == 0:
         return _zero(a)
-    _, vectors = np.linalg.eigh(a.astype(np.float64))
+    _, vectors = _adjacency(a, shared)
     return np.where(a.any(axis=(1, 2)), np.abs(vectors[:, :, -1].sum(axis=1)) / a.shape[1], 0.0)
 
 
@@ -172,6 +179,47 @@ def density(a: np.ndarray, shared: dict) -> np.ndarray:
     return a.sum(axis=(1, 2)) / (n * (n - 1.0)) if n >= 2 else _zero(a)
 
 
+def _adjacency(a: np.ndarray, shared: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues of the adjacency matrices, ascending, and their vectors."""
+    if "adjacency" not in shared:
+        shared["adjacency"] = np.linalg.eigh(a.astype(np.float64))
+    return shared["adjacency"]
+
+
+def laplacian_sum(a: np.ndarray, shared: dict) -> np.ndarray:
+    """Sum of the Laplacian's eigenvalues: twice the edges."""
+    return _laplacian(a, shared).sum(axis=1)
+
+
+def laplacian_squares(a: np.ndarray, shared: dict) -> np.ndarray:
+    """Sum of their squares: degrees and their squares."""
+    return (_laplacian(a, shared) ** 2).sum(axis=1)
+
+
+def connected(a: np.ndarray, shared: dict) -> np.ndarray:
+    """Whether the second eigenvalue is above 0, as it is for connected graphs only (a single node is connected)."""
+    return (_laplacian(a, shared)[:, 1] > 1e-9).astype(np.float64) if a.shape[1] >= 2 else np.ones(len(a))
+
+
+def adjacency_squares(a: np.ndarray, shared: dict) -> np.ndarray:
+    """Sum of the squares of the adjacency matrix' eigenvalues: twice the edges."""
+    return (_adjacency(a, shared)[0] ** 2).sum(axis=1)
+
+
+def adjacency_cubes(a: np.ndarray, shared: dict) -> np.ndarray:
+    """Sum of their cubes: six times the triangles."""
+    return (_adjacency(a, shared)[0] ** 3).sum(axis=1)
+
+
+def leading_residual(a: np.ndarray, shared: dict) -> np.ndarray:
+    """How far the leading vector is from being an eigenvector of length 1."""
+    if a.shape[1] == 0:
+        return _zero(a)
+    values, vectors = _adjacency(a, shared)
+    v = vectors[:, :, -1]
+    return np.abs((a @ v[:, :, None])[:, :, 0] - values[:, -1:] * v).max(axis=1) + np.abs((v**2).sum(axis=1) - 1.0)
+
+
 def triangle_count(a: np.ndarray, shared: dict) -> np.ndarray:
     """Triangles per node on average; an example of a feature of one's own."""
     x = a.astype(np.float32)

@@ -12,10 +12,10 @@ from driftloom.functions import betting
 from driftloom.functions.attribution import driver, shares
 from driftloom.operators import graphs, metrics, windows
 from driftloom.operators.charts import Cusum, EwmaChart, control_chart
-from driftloom.operators.detector import DetectorConfig, detect, detect_many, detections, joint_scores
+from driftloom.operators.detector import METRICS, DetectorConfig, Holt, detect, detect_many, detections, joint_scores
 from driftloom.operators.graph_forecast import GraphForecast, forecast_edges, forecast_features
 from driftloom.operators.series import clean_features
-from driftloom.plans.detector_sql import default_bet, detector_sql, lse
+from driftloom.plans.detector_sql import default_bet, detector_sql, distance_sql, lse, spread_sql
 from driftloom.functions.theta import theta_sql
 from driftloom.plans.views import KINDS, event_features, trade_features, trade_graphs
 from driftloom.session import cut, own_folder
@@ -27,6 +27,7 @@ from driftloom.streaming.online import daily_contacts_stream, detect_stream, run
 TRADE = DetectorConfig(threshold=8.0, startup_period=12, history_size=6, cooldown=6)
 EVENTS = DetectorConfig(threshold=8.0)
 SHIFT_AT = 360
+LONG = DetectorConfig(threshold=20.0, startup_period=0, history_size=6)
 MATRIX = DetectorConfig(threshold=5.0, startup_period=10, history_size=5, horizon=3, cooldown=5)
 DELTA = 4
 FORECAST = GraphForecast(alpha=0.5, window=5)
@@ -44,12 +45,13 @@ def _matrix_long(spark: SparkSession, folder: str) -> DataFrame:
     return windows.to_long(_matrix(spark, folder))
 
 
-def _rounded(trace: DataFrame) -> DataFrame:
-    top = lambda c: F.round(F.array_max(c), 6)
-    return trace.select(
-        "series_id", "t", F.round("logm_trad", 6).alias("logm_trad"), F.round("logm_hrzn", 6).alias("logm_hrzn"),
-        top("logm_pf").alias("top_trad"), top("logm_pf_h").alias("top_hrzn"), "fired", "fired_by",
-    )
+def _rounded(trace: DataFrame, k: int, with_p: bool = True) -> DataFrame:
+    """A trace over ``k`` features with a column per feature."""
+    at = lambda c, i, digits: F.round(F.get(c, F.lit(i)), digits)
+    each = [at(c, i, 6).alias(f"{n}_{i}") for i in range(k) for c, n in (("logm_pf", "logm"), ("logm_pf_h", "logmh"))]
+    if with_p:
+        each += [at(c, i, 9).alias(f"{c.replace('_', '')}_{i}") for i in range(k) for c in ("p", "p_h")]
+    return trace.select("series_id", "t", F.round("logm_trad", 6).alias("logm_trad"), F.round("logm_hrzn", 6).alias("logm_hrzn"), *each, "fired", "fired_by")
 
 
 # Sources
@@ -67,9 +69,30 @@ def proximity_days(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def proximity_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """The study's labelled days and the density around them."""
-    days = proximity_days(spark, folder)
-    return labelled_days(spark).select(F.col("cp").alias("t")).join(days.select("t", "m"), "t")
+    """The study's labelled days and the contacts on them."""
+    labels = table(spark, folder, "event_labels").select(F.col("day").alias("t"), "label")
+    return labels.join(proximity_days(spark, folder).select("t", "m"), "t", "left")
+
+
+REAL = DetectorConfig(threshold=20.0, normalize_features=True)
+SIMPLE = ("mean_degree", "mean_clustering", "density")
+
+
+def _few(names: tuple[str, ...]) -> tuple[graphs.Feature, ...]:
+    return tuple(f for f in graphs.DEFAULT if f.name in names)
+
+
+def proximity_run(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole run over the log: daily graphs of all users, eight features, normalised, detector with threshold 20."""
+    g = contact_graphs(table(spark, folder, "proximity"))
+    found = detect(graphs.extract(g.snapshots, g.edges), REAL)
+    return found.select("t", F.round("logm_trad", 6).alias("logm_trad"), F.round("logm_hrzn", 6).alias("logm_hrzn"), "fired", "fired_by")
+
+
+def proximity_trace(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over the features that counting gives."""
+    g = contact_graphs(table(spark, folder, "proximity"))
+    return _rounded(detect(_grained(graphs.counted(g.snapshots, g.edges)), REAL), 3)
 
 
 def trade_edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -111,6 +134,13 @@ def graph_features(spark: SparkSession, folder: str) -> DataFrame:
     return _features(spark, folder, graphs.names())
 
 
+def graph_spectrum(spark: SparkSession, folder: str) -> DataFrame:
+    """What the spectra must give: sums of powers of eigenvalues, whether the second is above 0, and how far the leading vector is from being one."""
+    chosen = tuple(graphs.Feature(f.__name__, f) for f in (graphs.laplacian_sum, graphs.laplacian_squares, graphs.connected, graphs.adjacency_squares, graphs.adjacency_cubes, graphs.leading_residual))
+    x = graphs.extract(*_graph_tables(spark, folder), chosen)
+    return x.select("series_id", "t", *[(F.round(F.col("x")[i], 6) + 0.0).alias(f.name) for i, f in enumerate(chosen)])
+
+
 def graph_custom(spark: SparkSession, folder: str) -> DataFrame:
     """A feature of one's own: triangles per node."""
     return _features(spark, folder, ["triangle_count"])
@@ -167,14 +197,15 @@ def martingales(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def joint_distances(spark: SparkSession, folder: str) -> DataFrame:
-    """Distances from the centroid under all four metrics; the Mahalanobis distance of the first two features."""
+    """Distances from the centroid under all four metrics."""
     x = _matrix(spark, folder)
     out = None
-    for metric in ("euclidean", "chebyshev", "cosine", "mahalanobis"):
-        part = joint_scores(x if metric != "mahalanobis" else x.withColumn("x", F.slice("x", 1, 2)), metric)
-        part = part.withColumn("metric", F.lit(metric))
+    for metric in METRICS:
+        part = joint_scores(x, metric).withColumn("metric", F.lit(metric))
         out = part if out is None else out.unionByName(part)
-    return out.select("series_id", "t", "metric", F.when(F.col("metric") == "mahalanobis", F.round("s", 4)).otherwise(F.round("s", 8)).alias("s"))
+    # A covariance of fewer than four rows is singular but for the ridge: few digits of it are sound.
+    distance = F.when(F.col("metric") != "mahalanobis", F.round("s", 8)).when(F.col("t") < 4, F.round("s", -1)).otherwise(F.round("s", 4))
+    return out.select("series_id", "t", "metric", distance.alias("s"))
 
 
 # Detectors
@@ -182,12 +213,12 @@ def joint_distances(spark: SparkSession, folder: str) -> DataFrame:
 
 def trace_trade(spark: SparkSession, folder: str) -> DataFrame:
     """The detector's trace over the monthly trade graphs."""
-    return _rounded(detect(trade_features(spark, folder), TRADE))
+    return _rounded(detect(trade_features(spark, folder), TRADE), 2)
 
 
 def trace_events(spark: SparkSession, folder: str) -> DataFrame:
     """The detector's trace over hourly event counts that rise halfway."""
-    return _rounded(detect(event_features(spark, folder, SHIFT_AT), EVENTS))
+    return _rounded(detect(event_features(spark, folder, SHIFT_AT), EVENTS), len(KINDS))
 
 
 def alarms_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -198,24 +229,44 @@ def alarms_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def trace_matrix(spark: SparkSession, folder: str) -> DataFrame:
     """The detector's trace over the feature matrix."""
-    return _rounded(detect(_matrix(spark, folder), MATRIX))
+    return _rounded(detect(_matrix(spark, folder), MATRIX), 3)
+
+
+def trace_long(spark: SparkSession, folder: str) -> DataFrame:
+    """The detector from the first step on, over ten-minute counts: a series of more than 4,000 steps."""
+    return _rounded(detect(event_features(spark, folder, minutes=10), LONG), len(KINDS))
+
+
+#: Settings of the modes side by side: joint distances, a mixture of horizons, single streams, normalised features.
+BASE = {"threshold": 5.0, "startup_period": 10, "history_size": 5, "horizon": 3, "cooldown": 5}
+MODES: dict[str, dict] = {f"joint_{m}": {"detection_mode": "joint", "joint_distance": m} for m in METRICS} | {
+    "mixture": {"horizon_weights": (0.5, 0.3, 0.2), "forecaster": Holt()},
+    "holt": {"forecaster": Holt()},
+    "observed": {"enable_horizon": False},
+    "ahead": {"enable_traditional": False},
+    "normalised": {"normalize_features": True},
+}
 
 
 def trace_modes(spark: SparkSession, folder: str) -> DataFrame:
-    """Joint distances, a mixture of horizons, single streams and normalised features side by side."""
-    made = {f"joint_{m}": {"detection_mode": "joint", "joint_distance": m} for m in ("euclidean", "mahalanobis", "cosine", "chebyshev")}
-    made |= {"mixture": {"horizon_weights": (0.5, 0.3, 0.2)}, "observed": {"enable_horizon": False}, "ahead": {"enable_traditional": False}}
-    made |= {"normalised": {"normalize_features": True}, "pcg64": {"rng": "pcg64"}}
-    base = {"threshold": 5.0, "startup_period": 10, "history_size": 5, "horizon": 3, "cooldown": 5}
-    traces = detect_many(_matrix(spark, folder), {name: DetectorConfig(**(base | extra)) for name, extra in made.items()})
+    """The modes' traces."""
+    traces = detect_many(_matrix(spark, folder), {name: DetectorConfig(**(BASE | extra)) for name, extra in MODES.items()})
     return traces.select("config", "series_id", "t", F.round("logm_trad", 6).alias("logm_trad"), F.round("logm_hrzn", 6).alias("logm_hrzn"), "fired")
 
 
+#: Features are rounded to multiples of 1 / GRAIN where ties between scores must not depend on the order of sums.
+GRAIN = 2**20
+
+
+def _grained(features: DataFrame) -> DataFrame:
+    return features.withColumn("x", F.transform("x", lambda v: F.rint(v * GRAIN) / GRAIN))
+
+
 def trace_graph_forecast(spark: SparkSession, folder: str) -> DataFrame:
     """The detector with forecasts made of graphs instead of features."""
     snapshots, edges = _graph_tables(spark, folder)
-    few = tuple(f for f in graphs.DEFAULT if f.name in ("mean_degree", "mean_clustering", "density"))
-    return _rounded(detect(graphs.extract(snapshots, edges, few), MATRIX, ahead=forecast_features(snapshots, edges, FORECAST, few)))
+    ahead = _grained(forecast_features(snapshots, edges, FORECAST, _few(SIMPLE)))
+    return _rounded(detect(_grained(graphs.extract(snapshots, edges, _few(SIMPLE))), MATRIX, ahead=ahead), 3)
 
 
 def _alarm_rows(chart: DataFrame) -> DataFrame:
@@ -249,9 +300,8 @@ def _trials(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def trials(spark: SparkSession, folder: str) -> DataFrame:
-    """How the alarms of the cumulative sums match the true change points, per series."""
-    found = _trials(spark, folder).filter("detector = 'cusum'").drop("detector")
-    return found.select("series_id", *[F.round(c, 9).alias(c) for c in ("tpr", "fpr", "add")], "n_tp", "n_fp", "n_detections")
+    """How the alarms of four detectors match the true change points, per series."""
+    return _trials(spark, folder).select("detector", "series_id", *[F.round(c, 9).alias(c) for c in ("tpr", "fpr", "add")], "n_tp", "n_fp", "n_detections")
 
 
 def sweep_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -348,15 +398,15 @@ def stream_trace(spark: SparkSession, folder: str) -> DataFrame:
     target = _folder(spark)
     _matrix(spark, folder).select(F.col("series_id"), "t", "x").write.parquet(f"{target}/in")
     rows = spark.readStream.schema("series_id string, t int, x array<double>").parquet(f"{target}/in")
-    return _rounded(run_to_end(detect_stream(rows, MATRIX), target))
+    return _rounded(run_to_end(detect_stream(rows, MATRIX), target), 3, with_p=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        trace_trade, proximity_edges, proximity_days, proximity_labels, trade_edges, matrix_clean, graph_counts, graph_clustering, graph_paths,
-        graph_features, graph_custom, graph_forecast, conformal, forecasts, moments, bets, martingales, joint_distances, trace_events, alarms_events,
-        trace_matrix, trace_modes, trace_graph_forecast, cusum, ewma_chart, trials, sweep_summary, sweep_ranking, sweep_pivot, synthetic_features, synthetic_sweep, synthetic_grid,
+        trace_trade, proximity_edges, proximity_days, proximity_labels, proximity_run, proximity_trace, trade_edges, matrix_clean, graph_counts, graph_clustering, graph_paths,
+        graph_features, graph_spectrum, graph_custom, graph_forecast, conformal, forecasts, moments, bets, martingales, joint_distances, trace_events, alarms_events,
+        trace_matrix, trace_long, trace_modes, trace_graph_forecast, cusum, ewma_chart, trials, sweep_summary, sweep_ranking, sweep_pivot, synthetic_features, synthetic_sweep, synthetic_grid,
         stream_contacts, stream_trace,
     )
 }
@@ -386,12 +436,19 @@ _TRADE_X = f"""
     tri AS (SELECT a.t, count(*) AS n FROM trade a JOIN trade b ON a.t = b.t AND a.v = b.u JOIN trade c ON c.t = a.t AND c.u = a.u AND c.v = b.v GROUP BY 1),
     w AS (SELECT t, m.m, coalesce(tri.n, 0) AS n FROM m LEFT JOIN tri USING (t))
     SELECT 'trade' AS series_id, t, 0 AS k, m::DOUBLE AS x FROM w UNION ALL SELECT 'trade', t, 1, n::DOUBLE FROM w"""
-_EVENTS_X = f"""
-    WITH ev AS (SELECT (date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 24 + hour(ts))::INT AS t, event_type FROM events),
+
+
+def _events_x(shift_at: int | None, minutes: int = 60) -> str:
+    lift = f"CASE WHEN s.t >= {shift_at} THEN 20 ELSE 0 END" if shift_at is not None else "0"
+    return f"""
+    WITH ev AS (SELECT ((date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 1440 + hour(ts) * 60 + minute(ts)) // {minutes})::INT AS t, event_type FROM events),
     kinds AS (SELECT unnest({list(KINDS)}) AS kind, unnest(range({len(KINDS)}))::INT AS k),
     spine AS (SELECT unnest(range((SELECT max(t) + 1 FROM ev)))::INT AS t)
-    SELECT 'events' AS series_id, s.t, kinds.k, count(ev.t)::DOUBLE + CASE WHEN s.t >= {SHIFT_AT} THEN 20 ELSE 0 END AS x
+    SELECT 'events' AS series_id, s.t, kinds.k, count(ev.t)::DOUBLE + {lift} AS x
     FROM spine s CROSS JOIN kinds LEFT JOIN ev ON ev.t = s.t AND ev.event_type = kinds.kind GROUP BY s.t, kinds.k"""
+
+
+_EVENTS_X = _events_x(SHIFT_AT)
 _MATRIX_X = """
     SELECT series_id, t, k, coalesce(last_value(CASE WHEN isnan(v) THEN NULL ELSE v END IGNORE NULLS)
         OVER (PARTITION BY series_id, k ORDER BY t ROWS UNBOUNDED PRECEDING), 0.0) AS x
@@ -449,17 +506,10 @@ _CHART_ROWS = """
     FROM all_ a LEFT JOIN fold f ON a.series_id = f.series_id AND a.t = f.t"""
 _DISTANCE = f"""
     WITH xs AS ({_MATRIX_X}), cs AS (SELECT *, avg(x) {_PRIOR} AS c FROM xs),
-    w AS (SELECT series_id, t, list(x ORDER BY k) AS x, list(coalesce(c, 0) ORDER BY k) AS c, list(x - coalesce(c, 0) ORDER BY k) AS d FROM cs GROUP BY 1, 2),
-    cv AS (SELECT *, covar_samp(a, a) OVER p AS aa, covar_samp(a, b) OVER p AS ab, covar_samp(b, b) OVER p AS bb
-        FROM (SELECT *, x[1] AS a, x[2] AS b FROM w) WINDOW p AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    q AS (SELECT *, aa + 1e-6 AS s1, bb + 1e-6 AS s2 FROM cv)
-    SELECT series_id, t, metric, CASE WHEN t = 0 THEN 0 WHEN metric = 'mahalanobis' THEN round(s, 4) ELSE round(s, 8) END AS s FROM (
-    SELECT series_id, t, 'euclidean' AS metric, sqrt(list_sum(list_transform(d, lambda v: v * v))) AS s FROM w UNION ALL
-    SELECT series_id, t, 'chebyshev', list_max(list_transform(d, lambda v: abs(v))) FROM w UNION ALL
-    SELECT series_id, t, 'cosine', CASE WHEN list_dot_product(x, x) * list_dot_product(c, c) > 0 THEN 1 - list_dot_product(x, c) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(c, c)))
-        ELSE sqrt(list_dot_product(d, d)) END FROM w UNION ALL
-    SELECT series_id, t, 'mahalanobis', CASE WHEN t < 2 THEN sqrt(d[1] * d[1] + d[2] * d[2])
-        ELSE sqrt(greatest(0, (s2 * d[1] * d[1] - 2 * ab * d[1] * d[2] + s1 * d[2] * d[2]) / (s1 * s2 - ab * ab))) END FROM q)"""
+    w AS (SELECT series_id, t, list(x ORDER BY k) AS x, list(coalesce(c, 0) ORDER BY k) AS c0, list(x - coalesce(c, 0) ORDER BY k) AS d FROM cs GROUP BY 1, 2),
+    w1 AS (SELECT *, x[1] AS x1, x[2] AS x2, x[3] AS x3 FROM w),
+    q AS (SELECT *, {spread_sql(3, "p")} FROM w1 WINDOW p AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    """ + " UNION ALL ".join(f"SELECT series_id, t, '{m}' AS metric, round({distance_sql(m, 3, 'x', 'c0', 'd', 't')}, {'CASE WHEN t < 4 THEN -1 ELSE 4 END' if m == 'mahalanobis' else 8}) AS s FROM q" for m in METRICS)
 _HITS = " UNION ALL ".join(
     [f"SELECT '{k}' AS detector, series_id, t FROM ({_chart_sql(k)} none_ AS (SELECT 1) SELECT series_id, t FROM fold WHERE fired)" for k in ("cusum", "ewma")]
     + [
@@ -474,19 +524,59 @@ _TRIALS = f"""
     tp AS (SELECT detector, series_id, count(*) AS n, avg(t - cp) AS d FROM hit GROUP BY 1, 2),
     fp AS (SELECT detector, series_id, count(*) AS n FROM al WHERE NOT EXISTS (SELECT 1 FROM change_points c WHERE c.series_id = al.series_id AND al.t BETWEEN c.cp AND c.cp + {DELTA}) GROUP BY 1, 2),
     nd AS (SELECT detector, series_id, count(*) AS n FROM al GROUP BY 1, 2),
-    trial AS (SELECT detector, series_id, coalesce(tp.n, 0) / tr.n::DOUBLE AS tpr, coalesce(fp.n, 0) / (steps - coalesce(tr.n, 0) * {DELTA + 1})::DOUBLE AS fpr, tp.d AS add,
-        coalesce(nd.n, 0) AS n_detections FROM units LEFT JOIN tp USING (detector, series_id) LEFT JOIN fp USING (detector, series_id) LEFT JOIN nd USING (detector, series_id)
+    trial AS (SELECT detector, series_id, coalesce(tp.n, 0)::INT AS n_tp, coalesce(fp.n, 0)::INT AS n_fp, coalesce(tp.n, 0) / tr.n::DOUBLE AS tpr, coalesce(fp.n, 0) / (steps - coalesce(tr.n, 0) * {DELTA + 1})::DOUBLE AS fpr, tp.d AS add,
+        coalesce(nd.n, 0)::INT AS n_detections FROM units LEFT JOIN tp USING (detector, series_id) LEFT JOIN fp USING (detector, series_id) LEFT JOIN nd USING (detector, series_id)
         LEFT JOIN tr USING (series_id)),
     means AS (SELECT detector, count(*) AS n_trials, {", ".join(f"round(avg({m}), 9) AS {m}_mean, round(CASE WHEN count({m}) > 0 THEN coalesce(stddev_samp({m}), 0) END, 9) AS {m}_std" for m in ("tpr", "fpr", "add"))},
         round(avg(n_detections), 9) AS n_detections_mean FROM trial GROUP BY 1)"""
 
+_FORECAST_EDGES = f"""WITH {_EDGES}, w AS (SELECT series_id, t + age AS t, u, v, sum(pow(0.5::DOUBLE, age + 1)) AS weight
+            FROM e, (SELECT unnest(range(5))::INT AS age) GROUP BY 1, 2, 3, 4),
+        m AS (SELECT series_id, t, count(*) AS m FROM e GROUP BY 1, 2),
+        d AS (SELECT series_id, t, n, coalesce(m, 0) / (n * (n - 1) / 2.0::DOUBLE) AS density FROM snapshots LEFT JOIN m USING (series_id, t)),
+        k AS (SELECT series_id, t, round_even(round(avg(density) OVER (PARTITION BY series_id ORDER BY t RANGE BETWEEN 4 PRECEDING AND CURRENT ROW) * (n * (n - 1) / 2.0::DOUBLE), 9), 0)::INT AS target,
+            t - min(t) OVER (PARTITION BY series_id) AS age FROM d)
+        SELECT series_id, t, u, v FROM (SELECT series_id, t, u, v, target, row_number() OVER (PARTITION BY series_id, t ORDER BY round(weight, 12) DESC, u, v) AS place
+            FROM w JOIN k USING (series_id, t) WHERE age >= 4) WHERE place <= target"""
+
+
+def _clusters(edges: str, nodes: str) -> str:
+    """Degree, clustering and density of each snapshot of ``nodes`` (series_id, t, n) with the edges of ``edges``, as features 0, 1 and 2."""
+    return f"""WITH e AS (SELECT DISTINCT series_id, t, least(u, v) AS u, greatest(u, v) AS v FROM {edges} WHERE u <> v),
+        ends_ AS (SELECT series_id, t, u AS a, v AS b FROM e UNION ALL SELECT series_id, t, v, u FROM e),
+        deg AS (SELECT series_id, t, a, count(*) AS d FROM ends_ GROUP BY 1, 2, 3),
+        tri AS (SELECT x.series_id, x.t, x.a, count(*) / 2 AS n FROM ends_ x JOIN ends_ y ON x.series_id = y.series_id AND x.t = y.t AND x.b = y.a
+            JOIN ends_ z ON z.series_id = x.series_id AND z.t = x.t AND z.a = y.b AND z.b = x.a GROUP BY 1, 2, 3),
+        per AS (SELECT series_id, t, sum(d) / 2 AS m, sum(CASE WHEN d > 1 THEN 2.0::DOUBLE * coalesce(tri.n, 0) / (d * (d - 1)) ELSE 0 END) AS c
+            FROM deg LEFT JOIN tri USING (series_id, t, a) GROUP BY 1, 2),
+        w AS (SELECT series_id, t, n, coalesce(m, 0)::DOUBLE AS m, coalesce(c, 0) / n AS c FROM {nodes} LEFT JOIN per USING (series_id, t))
+        SELECT series_id, t, k, CASE k WHEN 0 THEN 2.0 * m / n WHEN 1 THEN c ELSE 2.0 * m / (n::DOUBLE * (n - 1)) END AS x FROM w CROSS JOIN (SELECT unnest(range(3))::INT AS k)"""
+
+
+def _graph_x(edges: str, name: str = "x", late: int = 0) -> str:
+    return f"SELECT series_id, t, k, round_even(x * {GRAIN}, 0) / {GRAIN} AS {name} FROM ({_clusters(edges, 'snapshots')}) WHERE t >= {late}"
+
+
+def _mode_sql(extra: dict) -> str:
+    holt = extra.get("forecaster")
+    return detector_sql(
+        _MATRIX_X, 10, 5, 5.0, 5, horizon=3, ahead=extra.get("enable_horizon", True), observed=extra.get("enable_traditional", True), joint=extra.get("joint_distance"),
+        weights=extra.get("horizon_weights"), holt=(holt.alpha, holt.beta) if holt else None, scaled=extra.get("normalize_features", False),
+    )
+
+
+_PROXIMITY_X = _clusters(
+    "(" + _NODES.format(_CONTACTS.format("0.0")) + " SELECT 'proximity' AS series_id, t, u, v FROM edges_)",
+    "(" + _NODES.format(_CONTACTS.format("0.0")) + " SELECT 'proximity' AS series_id, r.t::INT AS t, (SELECT count(*) FROM nodes)::INT AS n FROM range(289) r(t))",
+)
+
 SQL: dict[str, str] = {
     "sweep_summary": _TRIALS + " SELECT * FROM means",
     "sweep_ranking": _TRIALS + """ SELECT detector, tpr_mean AS tpr, fpr_mean AS fpr, add_mean AS add,
         row_number() OVER (ORDER BY tpr_mean DESC NULLS LAST, add_mean NULLS LAST, detector)::INT AS place FROM means""",
     "proximity_edges": _NODES.format(_CONTACTS.format("0.3")) + " SELECT 'proximity' AS series_id, t, u, v FROM edges_",
     "proximity_days": _DAYS + " SELECT t, n, m, 2.0 * m / n AS mean_degree, 2.0 * m / (n::DOUBLE * (n - 1)) AS density FROM per_day",
-    "proximity_labels": _DAYS + " SELECT t, m FROM per_day WHERE t IN (23, 68, 97, 173, 234)",
+    "proximity_labels": _DAYS + " SELECT day AS t, label, m FROM event_labels LEFT JOIN per_day ON day = t",
     "trade_edges": f"WITH {_TRADE} SELECT 'trade' AS series_id, t, u, v FROM trade",
     "matrix_clean": _MATRIX_X,
     "graph_counts": f"""WITH {_EDGES}, m AS (SELECT series_id, t, count(*) AS m FROM e GROUP BY 1, 2)
@@ -507,17 +597,22 @@ SQL: dict[str, str] = {
         per AS (SELECT series_id, t, sum(inner_) AS i, sum(CASE WHEN far > 0 THEN (r - 1)::DOUBLE / far * (r - 1) ELSE 0 END) AS c FROM node GROUP BY 1, 2)
         SELECT series_id, t, round(coalesce(i, 0) / (n::DOUBLE * (n - 1) * (n - 2)), 9) AS mean_betweenness,
             round(coalesce(c, 0) / (n::DOUBLE * (n - 1)), 9) AS mean_closeness FROM snapshots LEFT JOIN per USING (series_id, t)""",
+    "graph_spectrum": f"""WITH RECURSIVE {_EDGES}, ends_ AS (SELECT series_id, t, u AS a, v AS b FROM e UNION ALL SELECT series_id, t, v, u FROM e),
+        deg AS (SELECT series_id, t, a, count(*) AS d FROM ends_ GROUP BY 1, 2, 3),
+        sums AS (SELECT series_id, t, sum(d)::DOUBLE AS d1, sum(d * d)::DOUBLE AS d2, count(*) AS touched FROM deg GROUP BY 1, 2),
+        tri AS (SELECT a.series_id, a.t, count(*) AS c FROM e a JOIN e b ON a.series_id = b.series_id AND a.t = b.t AND a.v = b.u
+            JOIN e c ON c.series_id = a.series_id AND c.t = a.t AND c.u = a.u AND c.v = b.v GROUP BY 1, 2),
+        reach(series_id, t, x) USING KEY (series_id, t, x) AS (SELECT series_id, t, 0 FROM snapshots
+            UNION SELECT r.series_id, r.t, b.b FROM reach r JOIN ends_ b ON b.series_id = r.series_id AND b.t = r.t AND b.a = r.x
+            WHERE NOT EXISTS (SELECT 1 FROM recurring.reach o WHERE o.series_id = r.series_id AND o.t = r.t AND o.x = b.b)),
+        reached AS (SELECT series_id, t, count(*) AS c FROM reach GROUP BY 1, 2)
+        SELECT series_id, t, coalesce(d1, 0) AS laplacian_sum, coalesce(d1 + d2, 0) AS laplacian_squares, (reached.c = n)::INT::DOUBLE AS connected,
+            coalesce(d1, 0) AS adjacency_squares, 6.0::DOUBLE * coalesce(tri.c, 0) AS adjacency_cubes, 0.0::DOUBLE AS leading_residual
+        FROM snapshots JOIN reached USING (series_id, t) LEFT JOIN sums USING (series_id, t) LEFT JOIN tri USING (series_id, t)""",
     "graph_custom": f"""WITH {_EDGES}, tri AS (SELECT a.series_id, a.t, count(*) AS c FROM e a JOIN e b ON a.series_id = b.series_id AND a.t = b.t AND a.v = b.u
             JOIN e c ON c.series_id = a.series_id AND c.t = a.t AND c.u = a.u AND c.v = b.v GROUP BY 1, 2)
         SELECT series_id, t, round(3.0::DOUBLE * coalesce(c, 0) / n, 9) AS triangle_count FROM snapshots LEFT JOIN tri USING (series_id, t)""",
-    "graph_forecast": f"""WITH {_EDGES}, w AS (SELECT series_id, t + age AS t, u, v, sum(pow(0.5::DOUBLE, age + 1)) AS weight
-            FROM e, (SELECT unnest(range(5))::INT AS age) GROUP BY 1, 2, 3, 4),
-        m AS (SELECT series_id, t, count(*) AS m FROM e GROUP BY 1, 2),
-        d AS (SELECT series_id, t, n, coalesce(m, 0) / (n * (n - 1) / 2.0::DOUBLE) AS density FROM snapshots LEFT JOIN m USING (series_id, t)),
-        k AS (SELECT series_id, t, round_even(round(avg(density) OVER (PARTITION BY series_id ORDER BY t RANGE BETWEEN 4 PRECEDING AND CURRENT ROW) * (n * (n - 1) / 2.0::DOUBLE), 9), 0)::INT AS target,
-            t - min(t) OVER (PARTITION BY series_id) AS age FROM d)
-        SELECT series_id, t, u, v FROM (SELECT series_id, t, u, v, target, row_number() OVER (PARTITION BY series_id, t ORDER BY round(weight, 12) DESC, u, v) AS place
-            FROM w JOIN k USING (series_id, t) WHERE age >= 4) WHERE place <= target""",
+    "graph_forecast": _FORECAST_EDGES,
     "conformal": _SCORES + """,
         wt AS (SELECT unnest(range(5))::INT AS j),
         fc AS (SELECT a.series_id, a.t, a.k, sum(pow(0.5::DOUBLE, j) * b.x) / sum(pow(0.5::DOUBLE, j)) AS f FROM ss a, wt JOIN ss b
@@ -543,22 +638,24 @@ SQL: dict[str, str] = {
             round({lse("m")}, 6) AS total, (list_position(m, list_max(m)) - 1)::INT AS driver
         FROM (SELECT *, list_transform(m, lambda v: 100.0 * exp(v - {lse("m")})) AS s FROM fold)""",
     "joint_distances": _DISTANCE,
-    "trace_trade": detector_sql(_TRADE_X, 12, 6, 8.0, 6),
-    "trace_events": detector_sql(_EVENTS_X, 20, 20, 8.0, 20),
-    "alarms_events": detector_sql(_EVENTS_X, 20, 20, 8.0, 20, final="alarms"),
-    "trace_matrix": detector_sql(_MATRIX_X, 10, 5, 5.0, 5),
-    "stream_trace": detector_sql(_MATRIX_X, 10, 5, 5.0, 5),
+    "trace_trade": detector_sql(_TRADE_X, 12, 6, 8.0, 6, k=2, horizon=5),
+    "trace_events": detector_sql(_EVENTS_X, 20, 20, 8.0, 20, k=len(KINDS), horizon=5),
+    "alarms_events": detector_sql(_EVENTS_X, 20, 20, 8.0, 20, final="alarms", k=len(KINDS), horizon=5),
+    "trace_long": detector_sql(_events_x(None, 10), 0, 6, 20.0, 20, k=len(KINDS), horizon=5),
+    "trace_matrix": detector_sql(_MATRIX_X, 10, 5, 5.0, 5, horizon=3),
+    "stream_trace": detector_sql(_MATRIX_X, 10, 5, 5.0, 5, horizon=3, with_p=False),
+    "trace_modes": " UNION ALL ".join(
+        f"SELECT '{name}' AS config, series_id, t, logm_trad, logm_hrzn, fired FROM ({_mode_sql(extra)})" for name, extra in MODES.items()
+    ),
+    "trace_graph_forecast": detector_sql(_graph_x("edges"), 10, 5, 5.0, 5, horizon=3, forecasts=_graph_x(f"({_FORECAST_EDGES})", "f", late=4)),
+    "proximity_trace": "SELECT * FROM (" + detector_sql(f"SELECT series_id, t, k, round_even(x * {GRAIN}, 0) / {GRAIN} AS x FROM ({_PROXIMITY_X})", 20, 20, 20.0, 20, horizon=5, scaled=True) + ")",
     "cusum": _chart_sql("cusum") + _CHART_ROWS,
     "ewma_chart": _chart_sql("ewma") + _CHART_ROWS,
-    "trials": _chart_sql("cusum") + f"""
-        al AS (SELECT series_id, t FROM fold WHERE fired), len_ AS (SELECT series_id, max(t) + 1 AS steps FROM xs GROUP BY 1),
-        hit AS (SELECT c.series_id, c.cp, min(al.t) AS t FROM change_points c JOIN al ON al.series_id = c.series_id AND al.t BETWEEN c.cp AND c.cp + {DELTA} GROUP BY 1, 2),
-        tp AS (SELECT series_id, count(*) AS n_tp, avg(t - cp) AS d FROM hit GROUP BY 1), tr AS (SELECT series_id, count(*) AS n FROM change_points GROUP BY 1),
-        fp AS (SELECT series_id, count(*) AS n_fp FROM al WHERE NOT EXISTS (SELECT 1 FROM change_points c WHERE c.series_id = al.series_id AND al.t BETWEEN c.cp AND c.cp + {DELTA}) GROUP BY 1),
-        nd AS (SELECT series_id, count(*) AS n FROM al GROUP BY 1)
-        SELECT l.series_id, round(coalesce(n_tp, 0) / tr.n::DOUBLE, 9) AS tpr, round(coalesce(n_fp, 0) / (steps - coalesce(tr.n, 0) * {DELTA + 1})::DOUBLE, 9) AS fpr, round(d, 9) AS add,
-            coalesce(n_tp, 0)::INT AS n_tp, coalesce(n_fp, 0)::INT AS n_fp, coalesce(nd.n, 0)::INT AS n_detections
-        FROM len_ l LEFT JOIN tp USING (series_id) LEFT JOIN tr USING (series_id) LEFT JOIN fp USING (series_id) LEFT JOIN nd USING (series_id)""",
+    "trials": _TRIALS + """ SELECT detector, series_id, round(tpr, 9) AS tpr, round(fpr, 9) AS fpr, round(add, 9) AS add, n_tp, n_fp, n_detections FROM trial""",
+    "sweep_pivot": _TRIALS + """, cell AS (SELECT detector, substr(series_id, 1, 5) AS scenario, avg(tpr) AS tpr, avg(fpr) AS fpr, avg(add) AS add FROM trial GROUP BY 1, 2)
+        SELECT scenario, """ + ", ".join(
+        f"coalesce(max(CASE WHEN detector = '{d}' THEN printf('%.3f', {m}) END), '') AS {d}_{m}" for d in ("cusum", "ewma", "horizon", "martingale") for m in ("tpr", "fpr", "add")
+    ) + " FROM cell GROUP BY 1",
     "stream_contacts": """
         WITH r AS (SELECT * FROM proximity WHERE "time" >= TIMESTAMP '2008-09-19'),
         c AS (SELECT date_diff('day', DATE '2008-09-19', CAST("time" AS DATE))::INT AS day, least("user.id", "remote.user.id.if.known") AS u,

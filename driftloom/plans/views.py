@@ -43,12 +43,12 @@ def trade_features(spark: SparkSession, folder: str) -> DataFrame:
 KINDS = ("click", "error", "purchase", "signup", "view")
 
 
-def event_features(spark: SparkSession, folder: str, shift_at: int | None = None, shift: int = 20) -> DataFrame:
-    """Hourly counts per kind of event, hours without events as zeros, optionally raised by ``shift`` from hour ``shift_at`` on."""
+def event_features(spark: SparkSession, folder: str, shift_at: int | None = None, shift: int = 20, minutes: int = 60) -> DataFrame:
+    """Counts per kind of event and so many minutes, 0 where there are none, optionally raised by ``shift`` from step ``shift_at`` on."""
     events = table(spark, folder, "events").select("ts", "event_type")
     start = F.lit("2024-01-01").cast("timestamp_ntz")
-    hour = (F.datediff(F.col("ts"), start) * 24 + F.hour("ts")).cast("int").alias("t")
-    per_hour = events.groupBy(hour).agg(*[F.count(F.when(F.col("event_type") == k, 1)).cast("double").alias(k) for k in KINDS])
+    step = F.floor((F.datediff(F.col("ts"), start) * 1440 + F.hour("ts") * 60 + F.minute("ts")) / F.lit(minutes)).cast("int").alias("t")
+    per_hour = events.groupBy(step).agg(*[F.count(F.when(F.col("event_type") == k, 1)).cast("double").alias(k) for k in KINDS])
     spine = per_hour.agg(F.max("t").alias("last")).select(F.explode(F.sequence(F.lit(0), F.col("last"))).alias("t"))
     lift = F.when(F.col("t") >= shift_at, float(shift)).otherwise(0.0) if shift_at is not None else F.lit(0.0)
     dense = spine.join(per_hour, "t", "left")
