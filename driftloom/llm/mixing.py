@@ -67,7 +67,8 @@ def mix(items: DataFrame, item_id: str, source: str, size: str, targets: DataFra
     of 0; other columns, whatever their names, are ignored.
     """
     rows = items.select(F.col(item_id).alias("item_id"), F.col(source).alias("source"), F.col(size).cast("bigint").alias("size"))
-    rows = cut(rows)  # read several times, and sizes may be costly to get
+    # Read several times, and sizes may be costly to get; the number tells rows of one id apart.
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     stats = rows.groupBy("source").agg(F.count("size").alias("rows"), F.sum("size").alias("tokens"), F.max("size").alias("largest"))
     wanted = targets.select("source", F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats"))
     wanted = wanted.filter(F.col("source").isNotNull())
@@ -87,9 +88,9 @@ def mix(items: DataFrame, item_id: str, source: str, size: str, targets: DataFra
     end = _end(taken, budget)
     documents = taken.filter(F.col("virtual_finish") <= F.lit(end)) if end is not None else taken.limit(0)
 
-    per_item = documents.groupBy("source", "item_id", "size").agg(F.count(F.lit(1)).alias("uses"))
+    per_item = documents.groupBy("source", "row").agg(F.count(F.lit(1)).alias("uses"), F.sum("size").alias("size"))
     used = per_item.groupBy("source").agg(
-        F.sum(F.col("size") * F.col("uses")).alias("tokens"),
+        F.sum("size").alias("tokens"),
         F.count(F.lit(1)).alias("documents"),
         F.sum("uses").alias("uses"),
         F.max("uses").alias("most_uses"),
@@ -108,7 +109,7 @@ def mix(items: DataFrame, item_id: str, source: str, size: str, targets: DataFra
         "most_uses",
         (F.col("uses") >= F.coalesce("most", F.lit(0))).alias("exhausted"),
     )
-    return Mixture(documents.repartitionByRange("virtual_finish", "source").sortWithinPartitions("virtual_finish", "source"), shares)
+    return Mixture(documents.drop("row").repartitionByRange("virtual_finish", "source").sortWithinPartitions("virtual_finish", "source"), shares)
 
 
 def _served(queues: list[_Source], amount: float) -> float:
@@ -136,16 +137,17 @@ def _order(rows: DataFrame, queues: list[_Source], budget: int, seed: int, rows_
         plan.append((q.name, q.weight, passes, max(1, math.ceil(q.rows / rows_per_range))))
     uses = rows.join(F.broadcast(spark.createDataFrame(plan, "source string, weight double, passes int, ranges int")), "source")
     uses = uses.filter(F.col("size").isNotNull()).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
-    # 32 bits of the hash, so that a range is found without overflow; ties go on by id.
-    uses = uses.withColumn("h", F.shiftrightunsigned(F.xxhash64("item_id", "copy", F.lit(seed)), 32))
+    # 32 bits of an MD5, so that a range is found without overflow and SQL can repeat the order; ties go on by id.
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("item_id").cast("string"), F.col("copy").cast("string")))
+    uses = uses.withColumn("h", F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"))
     uses = uses.withColumn("part", F.shiftright(F.col("h") * F.col("ranges"), 32).cast("int"))
 
     per_part = uses.groupBy("source", "copy", "part").agg(F.sum("size").alias("of_part"))
     earlier = W.partitionBy("source").orderBy("copy", "part").rowsBetween(W.unboundedPreceding, -1)
     offsets = per_part.select("source", "copy", "part", F.coalesce(F.sum("of_part").over(earlier), F.lit(0)).alias("before"))
-    within = W.partitionBy("source", "copy", "part").orderBy("h", "item_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy("source", "copy", "part").orderBy("h", "item_id", "size", "row").rowsBetween(W.unboundedPreceding, 0)
     placed = uses.withColumn("running", F.sum("size").over(within)).join(offsets, ["source", "copy", "part"])
-    return placed.select("item_id", "source", "copy", "size", ((F.col("before") + F.col("running")) / F.col("weight")).alias("virtual_finish"))
+    return placed.select("item_id", "source", "copy", "size", "row", ((F.col("before") + F.col("running")) / F.col("weight")).alias("virtual_finish"))
 
 
 def _end(uses: DataFrame, budget: int) -> float | None:
@@ -158,7 +160,7 @@ def _end(uses: DataFrame, budget: int) -> float | None:
         # Bins over [low, high]; BINS + 1 rows come to the driver, whatever the data.
         step = (high - low) / BINS
         scope = uses.filter(F.col("virtual_finish").between(low, high))
-        place = F.least(F.floor((F.col("virtual_finish") - F.lit(low)) / F.lit(step)), F.lit(BINS - 1)) if step > 0 else F.lit(0)
+        place = F.least(F.floor((F.col("virtual_finish") - F.lit(low)) / F.lit(step)), F.lit(BINS - 1)) if step > 0 else (F.col("virtual_finish") > F.lit(low)).cast("int")
         bins = scope.groupBy(place.alias("bin")).agg(
             F.sum("size").alias("tokens"), F.min("virtual_finish").alias("low"), F.max("virtual_finish").alias("high")
         )
@@ -170,12 +172,5 @@ def _end(uses: DataFrame, budget: int) -> float | None:
             before, best = before + row.tokens, row.high
         if crossing is None or crossing.low == crossing.high:
             return best
-        if (crossing.low, crossing.high) == (low, high):
-            # No bin is narrower any more: doubles next to each other. Split by value.
-            inner = scope.groupBy("virtual_finish").agg(F.sum("size").alias("tokens")).orderBy("virtual_finish").limit(BINS).collect()
-            for value, tokens in inner:
-                if before + tokens > budget:
-                    break
-                before, best = before + tokens, value
-            return best
+        # The lowest and the highest value are never in one bin, so the range shrinks.
         low, high = crossing.low, crossing.high

@@ -86,6 +86,22 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).shares
 
 
+def _char_mixture(spark: SparkSession, folder: str) -> Mixture:
+    texts = table(spark, folder, "documents").filter("text is not null").select("doc_id", "source", "n_chars")
+    return mix(texts, "doc_id", "source", "n_chars", table(spark, folder, "source_targets"))
+
+
+def p7_chars(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixture of texts sized by characters."""
+    found = _char_mixture(spark, folder).documents
+    return found.select(F.col("item_id").alias("doc_id"), "source", "copy", "size", F.round("virtual_finish", 4).alias("virtual_finish"))
+
+
+def p7_char_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """What each source contributed to it."""
+    return _char_mixture(spark, folder).shares.withColumn("actual_share", F.round("actual_share", 9))
+
+
 def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     """The documents decoded with the wrong encoding, with the text restored."""
     return restore(table(spark, folder, "documents"), "doc_id", "text")
@@ -101,7 +117,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_restored(spark, folder).select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_runs, p2_near, p6_pack, p6_placed, p6_held, p7_mix, p7_shares, p8_found, p8_spans, p8_restored)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_runs, p2_near, p6_pack, p6_placed, p6_held, p7_mix, p7_shares, p7_chars, p7_char_shares, p8_found, p8_spans, p8_restored)}
 
 _RUNS = f"""
     WITH seen AS (SELECT reading_id, "user.id" AS u, "remote.user.id.if.known" AS r, "time" AS t FROM proximity WHERE "time" >= TIMESTAMP '{DAY0} 00:00:00'),
@@ -122,7 +138,23 @@ _NEAR = f"""
                 AND (s.p IS NULL AND f.anchor IS NULL OR coalesce(abs(s.p - f.anchor) <= 0.05::DOUBLE, false)) AS joins
             FROM fold f JOIN seen s ON s.u = f.u AND s.i = f.i + 1))"""
 
+_MIXTURE = """
+    WITH items AS (SELECT doc_id, source, n_chars::BIGINT AS size FROM documents WHERE text IS NOT NULL),
+    uses AS (SELECT doc_id, i.source, copy, size, target_share AS weight, substr(md5(concat_ws('|', '0', doc_id, copy)), 1, 8) AS h FROM items i JOIN source_targets s ON i.source = s.source
+        CROSS JOIN (SELECT unnest(range((SELECT max(max_repeats) FROM source_targets)))::INT AS copy) WHERE copy < max_repeats AND target_share > 0),
+    placed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY copy, h, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT / weight AS virtual_finish FROM uses),
+    upto AS (SELECT *, sum(size) OVER (ORDER BY virtual_finish RANGE UNBOUNDED PRECEDING) AS total FROM placed),
+    taken AS (SELECT * FROM upto WHERE total <= (SELECT sum(size) FROM items))"""
+
 SQL: dict[str, str] = {
+    "p7_chars": _MIXTURE + " SELECT doc_id, source, copy, size, round(virtual_finish, 4) AS virtual_finish FROM taken",
+    "p7_char_shares": _MIXTURE + """,
+    per AS (SELECT source, doc_id, count(*) AS uses, sum(size) AS size FROM taken GROUP BY 1, 2),
+    used AS (SELECT source, sum(size)::BIGINT AS tokens, count(*) AS documents, sum(uses)::BIGINT AS uses, max(uses) AS most_uses FROM per GROUP BY 1),
+    stock AS (SELECT source, count(*) AS rows FROM items GROUP BY 1)
+    SELECT source, target_share, round(coalesce(tokens, 0) / (SELECT sum(tokens) FROM used)::DOUBLE, 9) AS actual_share, coalesce(tokens, 0) AS tokens, coalesce(documents, 0) AS documents,
+        coalesce(uses, 0) AS uses, coalesce(most_uses, 0) AS most_uses, coalesce(uses, 0) >= coalesce(rows * max_repeats, 0) AS exhausted
+    FROM source_targets LEFT JOIN used USING (source) LEFT JOIN stock USING (source)""",
     "p2_near": _NEAR + """ SELECT nullif(u, -1) AS user_id, round(any_value(anchor), 6) AS anchor, arg_min(id, i) AS first_id, arg_max(id, i) AS last_id,
         count(*) AS n_events FROM fold GROUP BY fold.u, run""",
     "p2_found": _RUNS + " SELECT user_id, first_reading_id, last_reading_id FROM runs WHERE n_events >= 2",

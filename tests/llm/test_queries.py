@@ -19,7 +19,7 @@ def test_query(spark, name):
     got = QUERIES[name](spark, str(FOLDER))
     if name in SQL:
         con = duckdb.connect()
-        for table in ("proximity", "documents", "pack_capacities"):
+        for table in ("proximity", "documents", "pack_capacities", "source_targets"):
             con.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{FOLDER}/{table}.parquet')")
         want = con.sql(SQL[name])
         assert sorted(got.columns) == sorted(want.columns)
