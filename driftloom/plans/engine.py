@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions import betting
 from driftloom.functions.attribution import driver, shares
+from driftloom.functions.sql import register
 from driftloom.operators import graphs, metrics, windows
 from driftloom.operators.charts import Cusum, EwmaChart, control_chart
 from driftloom.operators.detector import METRICS, DetectorConfig, Holt, detect, detect_many, detections, joint_scores
@@ -22,7 +23,7 @@ from driftloom.session import cut, own_folder
 from driftloom.sources.generators import SCENARIOS, generate
 from driftloom.sources.proximity import contact_graphs, labelled_days
 from driftloom.sources.tables import PEER, USER, table
-from driftloom.streaming.online import daily_contacts_stream, detect_stream, run_to_end
+from driftloom.streaming.online import LAST_PAIR, daily_contacts_stream, detect_stream, run_to_end, with_end
 
 TRADE = DetectorConfig(threshold=8.0, startup_period=12, history_size=6, cooldown=6)
 EVENTS = DetectorConfig(threshold=8.0)
@@ -381,16 +382,24 @@ def _folder(spark: SparkSession) -> str:
 
 
 def stream_contacts(spark: SparkSession, folder: str) -> DataFrame:
-    """The contact pairs of each day that the watermark has closed, from the proximity log read as a stream.
+    """The contact pairs of each day, from the proximity log read as a stream to its end.
 
-    The last day is never closed, so it doesn't come out. The lateness is an hour: readings that arrive later are kept only
-    because the log is read in one batch; read in several, it would lose them.
+    A last row closes every day. The lateness covers the log's late readings however many micro-batches it comes in.
     """
+    target = _folder(spark)
     schema = table(spark, folder, "proximity").schema
     # As a pattern the path may be a file as well as a folder.
     log = spark.readStream.schema(schema).parquet(f"{folder}/proximity.parque[t]").filter(F.col("time") >= F.lit("2008-09-19").cast("timestamp_ntz"))
-    log = log.withColumn("at", F.col("time").cast("timestamp"))
-    return run_to_end(daily_contacts_stream(log, "at", USER, PEER, "1 hour"), _folder(spark))
+    log = with_end(log.withColumn("at", F.col("time").cast("timestamp")), "at", USER, PEER, target)
+    return run_to_end(daily_contacts_stream(log, "at", USER, PEER, "45 days"), target).filter(F.col("u") != LAST_PAIR[0])
+
+
+def trace_sql(spark: SparkSession, folder: str) -> DataFrame:
+    """The detector over the feature matrix, called from SQL."""
+    register(spark)
+    _matrix(spark, folder).selectExpr("cast(series_id AS string) AS series_id", "t", "x").createOrReplaceTempView("driftloom_matrix")
+    found = spark.sql("SELECT * FROM detect_changes(TABLE(driftloom_matrix) PARTITION BY series_id ORDER BY (t), 5.0D, 10, 5, 3, 5)")
+    return found.select("series_id", "t", F.round("logm_trad", 6).alias("logm_trad"), F.round("logm_hrzn", 6).alias("logm_hrzn"), "fired", "fired_by")
 
 
 def stream_trace(spark: SparkSession, folder: str) -> DataFrame:
@@ -407,7 +416,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         trace_trade, proximity_edges, proximity_days, proximity_labels, proximity_run, proximity_trace, trade_edges, matrix_clean, graph_counts, graph_clustering, graph_paths,
         graph_features, graph_spectrum, graph_custom, graph_forecast, conformal, forecasts, moments, bets, martingales, joint_distances, trace_events, alarms_events,
         trace_matrix, trace_long, trace_modes, trace_graph_forecast, cusum, ewma_chart, trials, sweep_summary, sweep_ranking, sweep_pivot, synthetic_features, synthetic_sweep, synthetic_grid,
-        stream_contacts, stream_trace,
+        stream_contacts, stream_trace, trace_sql,
     )
 }
 
@@ -644,6 +653,7 @@ SQL: dict[str, str] = {
     "trace_long": detector_sql(_events_x(None, 10), 0, 6, 20.0, 20, k=len(KINDS), horizon=5),
     "trace_matrix": detector_sql(_MATRIX_X, 10, 5, 5.0, 5, horizon=3),
     "stream_trace": detector_sql(_MATRIX_X, 10, 5, 5.0, 5, horizon=3, with_p=False),
+    "trace_sql": f"SELECT series_id, t, logm_trad, logm_hrzn, fired, fired_by FROM ({detector_sql(_MATRIX_X, 10, 5, 5.0, 5, horizon=3)})",
     "trace_modes": " UNION ALL ".join(
         f"SELECT '{name}' AS config, series_id, t, logm_trad, logm_hrzn, fired FROM ({_mode_sql(extra)})" for name, extra in MODES.items()
     ),
@@ -660,8 +670,7 @@ SQL: dict[str, str] = {
         WITH r AS (SELECT * FROM proximity WHERE "time" >= TIMESTAMP '2008-09-19'),
         c AS (SELECT date_diff('day', DATE '2008-09-19', CAST("time" AS DATE))::INT AS day, least("user.id", "remote.user.id.if.known") AS u,
             greatest("user.id", "remote.user.id.if.known") AS v FROM r WHERE "user.id" <> "remote.user.id.if.known")
-        SELECT day, u, v, count(*) AS readings FROM c
-        WHERE DATE '2008-09-19' + day + 1 <= (SELECT max("time") - INTERVAL 1 HOUR FROM r WHERE "user.id" <> "remote.user.id.if.known") GROUP BY 1, 2, 3""",
+        SELECT day, u, v, count(*) AS readings FROM c GROUP BY 1, 2, 3""",
 }
 
 

@@ -137,28 +137,31 @@ def generate(spark: SparkSession, scenarios: list[str], seeds: list[int], steps:
     units = spark.createDataFrame([(s, int(x)) for s in scenarios for x in seeds], "scenario string, seed bigint")
     units = units.repartition(min(width(spark), len(scenarios) * len(seeds)))
 
+    order = sorted(SCENARIOS)
+
+    def begin(unit: dict) -> tuple[np.random.Generator, list[int]]:
+        rng = np.random.default_rng([order.index(unit["scenario"]), unit["seed"]])
+        return rng, change_points(rng, steps, len(SCENARIOS[unit["scenario"]]) - 1, spacing)
+
+    def points_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The generator's first draws: no graph has to be drawn for them.
+        for batch in batches:
+            found = [(f"{unit['scenario']}/{unit['seed']}", cp) for unit in batch.to_pylist() for cp in begin(unit)[1]]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.string()), pa.array([cp for _, cp in found], pa.int32())], names=["series_id", "cp"])
+
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for unit in batch.to_pylist():
                 regimes = SCENARIOS[unit["scenario"]]
-                rng = np.random.default_rng([sorted(SCENARIOS).index(unit["scenario"]), unit["seed"]])
-                points = change_points(rng, steps, len(regimes) - 1, spacing)
-                name = f"{unit['scenario']}/{unit['seed']}"
+                rng, points = begin(unit)
                 parts = [(t, regimes[np.searchsorted(points, t, side="right")](rng, n)) for t in range(steps)]
                 t = np.concatenate([np.full(len(e), t, dtype=np.int32) for t, e in parts])
                 uv = np.concatenate([e for _, e in parts]).astype(np.int32)
-                # Change points travel along as rows without ends.
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name] * (len(t) + len(points))),
-                        pa.array(np.append(t, np.array(points, dtype=np.int32))),
-                        pa.array(np.append(uv[:, 0], np.full(len(points), -1, np.int32))),
-                        pa.array(np.append(uv[:, 1], np.full(len(points), -1, np.int32))),
-                    ],
-                    names=["series_id", "t", "u", "v"],
-                )
-
-    rows = units.mapInArrow(expand, "series_id string, t int, u int, v int")
+                name = pa.array([f"{unit['scenario']}/{unit['seed']}"] * len(t))
+                yield pa.RecordBatch.from_arrays([name, pa.array(t), pa.array(uv[:, 0]), pa.array(uv[:, 1])], names=["series_id", "t", "u", "v"])
+
+    edges = units.mapInArrow(expand, "series_id string, t int, u int, v int")
+    truth = units.mapInArrow(points_only, "series_id string, cp int")
     series = units.select(F.concat_ws("/", "scenario", F.col("seed").cast("string")).alias("series_id"))
     snapshots = series.select("series_id", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("t"), F.lit(n).alias("n"))
-    return Sequences(snapshots, rows.filter("u >= 0"), rows.filter("u < 0").select("series_id", F.col("t").alias("cp")))
+    return Sequences(snapshots, edges, truth)

@@ -395,7 +395,8 @@ def test_series_are_independent_and_the_stream_equals_the_batch(spark):
     both = {(r.series_id, r.t): r for r in detect(feature_frame(spark, stacks), config).collect()}
     alone = {(r.series_id, r.t): r for r in detect(feature_frame(spark, {"s1": stacks["s1"]}).repartition(1), config).collect()}
     assert all(both[key] == r for key, r in alone.items())
-    for extra in ({}, {"rng": "pcg64"}, {"detection_mode": "joint"}, {"horizon": 2, "horizon_weights": (0.4, 0.6)}):
+    for extra in ({}, {"rng": "pcg64"}, {"detection_mode": "joint"}, {"normalize_features": True}, {"startup_period": 0},
+                  *[{"detection_mode": "joint", "joint_distance": m, "enable_horizon": m != "cosine"} for m in ("euclidean", "cosine", "chebyshev")], {"horizon": 2, "horizon_weights": (0.4, 0.6)}):
         c = DetectorConfig(**({"threshold": 6.0, "startup_period": 10, "history_size": 6, "cooldown": 3} | extra))
         batch = trace(["s0"], stacks["s0"][None], c)
         online = OnlineDetector("s0", c, 3)
@@ -405,6 +406,7 @@ def test_series_are_independent_and_the_stream_equals_the_batch(spark):
             a, h, pf, pfh, fired, by = online.step(x)
             for got, want in ((a, batch["logm_trad"][0, t]), (h, batch["logm_hrzn"][0, t])):
                 assert got is None if np.ma.is_masked(want) else got == pytest.approx(want)
+            assert len(online.window) <= c.history_size and online.early.shape[0] <= c.startup_period
             assert fired == batch["fired"][0, t] and pf == pytest.approx(batch["logm_pf"][0, t]) and pfh == pytest.approx(batch["logm_pf_h"][0, t])
 
 
@@ -700,3 +702,17 @@ def test_sql_functions(spark):
     ).first()
     assert row.g == pytest.approx(0.91511863) and row.n is None and row.l == pytest.approx(math.log(1e-300)) and row.u == theta_value(7, "a|b", 3, 1)
     assert row.s == pytest.approx(math.log(2)) and row.w == pytest.approx([50.0, 50.0]) and row.v == [50.0, 50.0]
+
+
+def test_detector_as_a_table_function(spark):
+    register(spark, "y_")
+    stacks = {"s0": shifted(0, 40), "s1": shifted(1, 40)}
+    frame = feature_frame(spark, stacks)
+    frame.createOrReplaceTempView("y_features")
+    config = DetectorConfig(threshold=6.0, startup_period=10, history_size=6, cooldown=3)
+    want = {(r.series_id, r.t): (r.logm_trad, r.logm_hrzn, r.fired, r.fired_by) for r in detect(frame, config).collect()}
+    rows = spark.sql("SELECT * FROM y_detect_changes(TABLE(y_features) PARTITION BY series_id ORDER BY (t), 6.0D, 10, 6, 5, 3)").collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        trad, hrzn, fired, by = want[(r.series_id, r.t)]
+        assert (r.fired, r.fired_by) == (fired, by) and r.logm_trad == (trad if trad is None else pytest.approx(trad)) and r.logm_hrzn == (hrzn if hrzn is None else pytest.approx(hrzn))
