@@ -35,6 +35,14 @@ class GraphForecast:
             raise ValueError("window must be positive")
 
 
+def _weights(e: DataFrame, spec: GraphForecast) -> DataFrame:
+    """``series_id, t, u, v, weight`` of every pair that a snapshot of the window up to t has."""
+    ages = F.explode(F.sequence(F.lit(0), F.lit(spec.window - 1))).alias("age")
+    spread = e.select("series_id", F.col("t").alias("at"), "u", "v", ages)
+    spread = spread.select("series_id", (F.col("at") + F.col("age")).alias("t"), "u", "v", F.pow(F.lit(spec.alpha), F.col("age") + 1).alias("w"))
+    return spread.groupBy("series_id", "t", "u", "v").agg(F.sum("w").alias("weight"))
+
+
 def forecast_edges(snapshots: DataFrame, edges: DataFrame, spec: GraphForecast) -> DataFrame:
     """``series_id, t, u, v``: the edges forecast at step t from the steps t - window + 1 .. t.
 
@@ -42,11 +50,8 @@ def forecast_edges(snapshots: DataFrame, edges: DataFrame, spec: GraphForecast)
     window isn't full yet have no forecast.
     """
     e = canonical_edges(edges)
-    ages = F.explode(F.sequence(F.lit(0), F.lit(spec.window - 1))).alias("age")
     steps = snapshots.groupBy("series_id").agg(F.min("t").alias("first"))
-    spread = e.select("series_id", F.col("t").alias("at"), "u", "v", ages)
-    spread = spread.select("series_id", (F.col("at") + F.col("age")).alias("t"), "u", "v", F.pow(F.lit(spec.alpha), F.col("age") + 1).alias("w"))
-    weights = spread.groupBy("series_id", "t", "u", "v").agg(F.sum("w").alias("weight"))
+    weights = _weights(e, spec)
 
     m = e.groupBy("series_id", "t").agg(F.count(F.lit(1)).alias("m"))
     pairs = F.col("n").cast("bigint") * (F.col("n") - 1) / 2
@@ -86,3 +91,46 @@ def diagnostics(snapshots: DataFrame, edges: DataFrame, spec: GraphForecast) ->
     gaps = both.groupBy("series_id", "t", "n").agg(F.avg(z * z).alias("degree_gap"), (F.sum(F.coalesce("df", F.lit(0))) / 2).alias("mf"), (F.sum("mean") / 2).alias("mw"))
     pairs = F.greatest(F.col("n") * (F.col("n") - 1) / 2, F.lit(1))
     return gaps.select("series_id", "t", "degree_gap", (F.abs(F.col("mf") - F.col("mw")) / pairs).alias("sparsity_gap"))
+
+
+def blend_state(snapshots: DataFrame, edges: DataFrame, spec: GraphForecast) -> DataFrame:
+    """``series_id, t, delta, delta_ema, beta``: how much better the binary forecast fits the last snapshot than the weights do, its moving average, and the blend.
+
+    ``delta`` is the Frobenius distance of the window's normalised weights from
+    the last snapshot less that of the forecast; ``beta`` is the weight that the
+    average before gives to the weights. The forecast itself doesn't depend on it.
+    """
+    by = ["series_id", "t"]
+    e = canonical_edges(edges)
+    first = snapshots.groupBy("series_id").agg(F.min("t").alias("first"))
+    total = sum(spec.alpha**j for j in range(1, spec.window + 1))
+    seen = e.withColumn("a", F.lit(1.0))
+    weighed = _weights(e, spec).withColumn("w", F.col("weight") / F.lit(total)).join(seen, [*by, "u", "v"], "left")
+    soft = weighed.groupBy(*by).agg(F.sum(F.col("w") * F.col("w")).alias("ww"), F.sum(F.col("w") * F.coalesce("a", F.lit(0.0))).alias("wa"))
+    hard = forecast_edges(snapshots, edges, spec).join(seen, [*by, "u", "v"], "left").groupBy(*by).agg(F.count(F.lit(1)).alias("ff"), F.count("a").alias("fa"))
+    m = e.groupBy(*by).agg(F.count(F.lit(1)).alias("m"))
+    steps = snapshots.join(first, "series_id").filter(F.col("t") - F.col("first") >= spec.window - 1).select(*by)
+    for part in (soft, hard, m):
+        steps = steps.join(part, by, "left")
+    steps = steps.fillna(0)
+    gap = lambda own, both: F.sqrt(F.greatest(2.0 * (F.col(own) - 2.0 * F.col(both) + F.col("m")), F.lit(0.0)))
+    steps = steps.select(*by, (gap("ww", "wa") - gap("ff", "fa")).alias("delta"))
+    # A number per step and series: the average is a fold over them.
+    series = steps.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("t", "delta"))).alias("s"))
+    fold = F.aggregate(
+        "s",
+        F.array().cast("array<struct<t:int,delta:double,delta_ema:double,before:double>>"),
+        lambda out, x: F.concat(
+            out,
+            F.array(
+                F.struct(
+                    x["t"].cast("int").alias("t"),
+                    x["delta"].alias("delta"),
+                    (F.lit(spec.alpha) * x["delta"] + F.lit(1.0 - spec.alpha) * F.coalesce(F.try_element_at(out, F.lit(-1))["delta_ema"], F.lit(0.0))).alias("delta_ema"),
+                    F.coalesce(F.try_element_at(out, F.lit(-1))["delta_ema"], F.lit(0.0)).alias("before"),
+                )
+            ),
+        ),
+    )
+    rows = series.select("series_id", F.inline(fold))
+    return rows.select("series_id", "t", "delta", "delta_ema", (1.0 / (1.0 + F.exp("before"))).alias("beta"))

@@ -14,7 +14,7 @@ from driftloom.functions.sql import register
 from driftloom.operators import graphs, metrics, windows
 from driftloom.operators.charts import Cusum, EwmaChart, control_chart
 from driftloom.operators.detector import METRICS, DetectorConfig, Holt, detect, detect_many, detections, joint_scores
-from driftloom.operators.graph_forecast import GraphForecast, forecast_edges, forecast_features
+from driftloom.operators.graph_forecast import GraphForecast, blend_state, diagnostics, forecast_edges, forecast_features
 from driftloom.operators.series import clean_features
 from driftloom.plans.detector_sql import default_bet, detector_sql, distance_sql, lse, spread_sql
 from driftloom.functions.theta import theta_sql
@@ -152,6 +152,18 @@ def graph_forecast(spark: SparkSession, folder: str) -> DataFrame:
     return forecast_edges(*_graph_tables(spark, folder), FORECAST)
 
 
+def graph_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
+    """How far the forecast graph is from the window in degrees and density."""
+    found = diagnostics(*_graph_tables(spark, folder), FORECAST)
+    return found.select("series_id", "t", F.round("degree_gap", 6).alias("degree_gap"), F.round("sparsity_gap", 9).alias("sparsity_gap"))
+
+
+def graph_blend(spark: SparkSession, folder: str) -> DataFrame:
+    """The forecaster's running error and the blend that follows from it."""
+    found = blend_state(*_graph_tables(spark, folder), FORECAST)
+    return found.select("series_id", "t", *[F.round(c, 8).alias(c) for c in ("delta", "delta_ema", "beta")])
+
+
 # Ordered analytics over the feature matrix
 
 
@@ -414,7 +426,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         trace_trade, proximity_edges, proximity_days, proximity_labels, proximity_run, proximity_trace, trade_edges, matrix_clean, graph_counts, graph_clustering, graph_paths,
-        graph_features, graph_spectrum, graph_custom, graph_forecast, conformal, forecasts, moments, bets, martingales, joint_distances, trace_events, alarms_events,
+        graph_features, graph_spectrum, graph_custom, graph_forecast, graph_diagnostics, graph_blend, conformal, forecasts, moments, bets, martingales, joint_distances, trace_events, alarms_events,
         trace_matrix, trace_long, trace_modes, trace_graph_forecast, cusum, ewma_chart, trials, sweep_summary, sweep_ranking, sweep_pivot, synthetic_features, synthetic_sweep, synthetic_grid,
         stream_contacts, stream_trace, trace_sql,
     )
@@ -622,6 +634,24 @@ SQL: dict[str, str] = {
             JOIN e c ON c.series_id = a.series_id AND c.t = a.t AND c.u = a.u AND c.v = b.v GROUP BY 1, 2)
         SELECT series_id, t, round(3.0::DOUBLE * coalesce(c, 0) / n, 9) AS triangle_count FROM snapshots LEFT JOIN tri USING (series_id, t)""",
     "graph_forecast": _FORECAST_EDGES,
+    "graph_blend": f"""WITH RECURSIVE {_EDGES}, f AS ({_FORECAST_EDGES}),
+        w AS (SELECT series_id, t + age AS t, u, v, sum(pow(0.5::DOUBLE, age + 1)) / {sum(0.5**j for j in range(1, 6))!r}::DOUBLE AS w
+            FROM e, (SELECT unnest(range(5))::INT AS age) GROUP BY 1, 2, 3, 4),
+        pairs AS (SELECT series_id, t, u, v, coalesce(w, 0) AS w, (f.u IS NOT NULL)::INT AS f, (e.u IS NOT NULL)::INT AS a
+            FROM w FULL JOIN e USING (series_id, t, u, v) FULL JOIN f USING (series_id, t, u, v)),
+        gaps AS (SELECT series_id, t, sqrt(2.0::DOUBLE * sum((w - a) * (w - a))) - sqrt(2.0::DOUBLE * sum((f - a) * (f - a))) AS delta FROM pairs GROUP BY 1, 2),
+        st AS MATERIALIZED (SELECT series_id, t::INT AS t, coalesce(delta, 0) AS delta FROM snapshots LEFT JOIN gaps USING (series_id, t) WHERE t >= 4),
+        fold AS (SELECT series_id, t, delta, 0.5::DOUBLE * delta AS ema, 0.0::DOUBLE AS before FROM st WHERE t = 4
+            UNION ALL SELECT s.series_id, s.t, s.delta, 0.5::DOUBLE * s.delta + 0.5::DOUBLE * f.ema, f.ema FROM fold f JOIN st s ON s.series_id = f.series_id AND s.t = f.t + 1)
+        SELECT series_id, t, round(delta, 8) AS delta, round(ema, 8) AS delta_ema, round(1.0::DOUBLE / (1.0 + exp(before)), 8) AS beta FROM fold""",
+    "graph_diagnostics": f"""WITH {_EDGES}, f AS ({_FORECAST_EDGES}),
+        nodes AS (SELECT series_id, t, n, unnest(range(n))::INT AS x FROM snapshots),
+        de AS (SELECT series_id, t, x, count(*) AS d FROM (SELECT series_id, t, u AS x FROM e UNION ALL SELECT series_id, t, v FROM e) GROUP BY 1, 2, 3),
+        df AS (SELECT series_id, t, x, count(*) AS d FROM (SELECT series_id, t, u AS x FROM f UNION ALL SELECT series_id, t, v FROM f) GROUP BY 1, 2, 3),
+        w AS (SELECT series_id, t, x, n, avg(coalesce(d, 0)) OVER p AS mean, stddev_pop(coalesce(d, 0)) OVER p AS sd FROM nodes LEFT JOIN de USING (series_id, t, x)
+            WINDOW p AS (PARTITION BY series_id, x ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+        z AS (SELECT series_id, t, n, mean, coalesce(d, 0) AS d, (coalesce(d, 0) - mean) / CASE WHEN sd > 0 THEN sd ELSE 1 END AS z FROM w LEFT JOIN df USING (series_id, t, x) WHERE t >= 4)
+        SELECT series_id, t, round(avg(z * z), 6) AS degree_gap, round(abs(sum(d) / 2.0::DOUBLE - sum(mean) / 2.0::DOUBLE) / greatest(n * (n - 1) / 2.0::DOUBLE, 1), 9) AS sparsity_gap FROM z GROUP BY series_id, t, n""",
     "conformal": _SCORES + """,
         wt AS (SELECT unnest(range(5))::INT AS j),
         fc AS (SELECT a.series_id, a.t, a.k, sum(pow(0.5::DOUBLE, j) * b.x) / sum(pow(0.5::DOUBLE, j)) AS f FROM ss a, wt JOIN ss b
