@@ -606,13 +606,20 @@ def _wide_span(chunk: str, raw: bytes, starts: list[int], first: int, run: re.Pa
 
     Up to three bytes between a span and a replacement character are lost with it.
     """
-    m = run.match(raw, first)
-    if m is None:
-        return "", 0
-    try:
-        text = m.group().decode(true)
-    except UnicodeDecodeError as e:
-        text = m.group()[: e.start].decode(true)
+    reach = 64
+    while True:
+        # Most spans are short: no more of a long text is looked at than is needed.
+        m = run.match(raw, first, first + reach)
+        if m is None:
+            return "", 0
+        try:
+            text = m.group().decode(true)
+        except UnicodeDecodeError as e:
+            text = m.group()[: e.start].decode(true)
+            break
+        if m.end() < first + reach - 4 or first + reach >= len(raw):
+            break
+        reach *= 4
     last = first + len(text.encode(true))
     after = bisect_left(starts, last)
     lost = chunk.find(LOST, after, after + 4)
