@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from driftloom.functions.theta import theta_sql
 
 FLOOR = "ln(1e-300::DOUBLE)"
@@ -60,7 +62,7 @@ def distance_sql(metric: str, n: int, x: str, c: str, d: str, rows: str) -> str:
 def detector_sql(
     source: str, startup: int, window: int, threshold: float, cooldown: int, alpha: float = 0.5, seed: int = 0, final: str = "trace", ahead: bool = True,
     observed: bool = True, k: int = 3, joint: str | None = None, weights: tuple[float, ...] | None = None, holt: tuple[float, float] | None = None, horizon: int = 1,
-    scaled: bool = False, forecasts: str | None = None, with_p: bool = True,
+    scaled: bool = False, forecasts: str | None = None, with_p: bool = True, bet: Callable[[str], str] = log_bet,
 ) -> str:
     """The trace of a detector over ``k`` features.
 
@@ -68,7 +70,7 @@ def detector_sql(
     ``observed`` and ``ahead`` are the two streams, ``joint`` a metric,
     ``weights`` those of the horizons, ``holt`` the parameters of that forecaster
     in place of the weighted mean, ``scaled`` for features normalised by the
-    start-up, ``forecasts`` SQL giving ``series_id, t, k, f`` in place of a
+    start-up, ``bet`` the log of a bet on a p-value, ``forecasts`` SQL giving ``series_id, t, k, f`` in place of a
     forecaster. ``final`` chooses the result: ``trace`` or ``alarms``.
     """
     first = max(startup, window)
@@ -112,8 +114,8 @@ def detector_sql(
         LEFT JOIN sc b ON a.series_id = b.series_id AND a.k = b.k AND b.t < a.t GROUP BY 1, 2, 3)),
     ph_ AS (SELECT *, (ge + 1)::DOUBLE / (n + 1)::DOUBLE AS p FROM (SELECT a.series_id, a.t, a.k, a.h, {rank("sf", "s")} FROM pt a
         LEFT JOIN sc b ON a.series_id = b.series_id AND a.k = b.k AND b.t < a.t GROUP BY 1, 2, 3, 4)),
-    now_ AS (SELECT series_id, t, list(p ORDER BY k) AS pl, list({log_bet("p")} ORDER BY k) AS lg FROM pv GROUP BY 1, 2),
-    next_ AS (SELECT series_id, t, list(p ORDER BY h, k) AS phl, list({log_bet("p")} ORDER BY h, k) AS lgh FROM ph_ GROUP BY 1, 2)"""
+    now_ AS (SELECT series_id, t, list(p ORDER BY k) AS pl, list({bet("p")} ORDER BY k) AS lg FROM pv GROUP BY 1, 2),
+    next_ AS (SELECT series_id, t, list(p ORDER BY h, k) AS phl, list({bet("p")} ORDER BY h, k) AS lgh FROM ph_ GROUP BY 1, 2)"""
     extra, extra_join = "NULL::DOUBLE AS jl, NULL::DOUBLE AS jlh", ""
     if joint:
         wide = ", ".join(f"x[{i}] AS x{i}" for i in range(1, k + 1))
@@ -128,9 +130,9 @@ def detector_sql(
     f2 AS (SELECT f1.*, f, list_transform(list_zip(f, c1), lambda z: z[1] - z[2]) AS d FROM f1 JOIN f0 USING (series_id, t)),
     jf AS MATERIALIZED (SELECT series_id, t, {distance_sql(joint, k, "f", "c1", "d", "(t + 1)")} AS s FROM f2),
     pool AS (SELECT * FROM js WHERE t >= {startup}),
-    jp AS (SELECT series_id, t, {log_bet(smooth(str(k)))} AS jl FROM (SELECT a.series_id, a.t, {rank("s", "s")} FROM pool a
+    jp AS (SELECT series_id, t, {bet(smooth(str(k)))} AS jl FROM (SELECT a.series_id, a.t, {rank("s", "s")} FROM pool a
         LEFT JOIN pool b ON a.series_id = b.series_id AND b.t < a.t GROUP BY 1, 2)),
-    jh_ AS (SELECT series_id, t, {log_bet("(ge + 1)::DOUBLE / (n + 1)::DOUBLE")} AS jlh FROM (SELECT a.series_id, a.t, {rank("s", "s")} FROM jf a
+    jh_ AS (SELECT series_id, t, {bet("(ge + 1)::DOUBLE / (n + 1)::DOUBLE")} AS jlh FROM (SELECT a.series_id, a.t, {rank("s", "s")} FROM jf a
         LEFT JOIN pool b ON a.series_id = b.series_id AND b.t < a.t GROUP BY 1, 2))"""
         extra, extra_join = "jl, jlh", " LEFT JOIN jp USING (series_id, t) LEFT JOIN jh_ USING (series_id, t)"
     mixed = "ph_now"

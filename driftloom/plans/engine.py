@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from driftloom.functions import betting
-from driftloom.functions.attribution import driver, shares
+from driftloom.functions.attribution import driver, shares, wealth
 from driftloom.functions.sql import register
 from driftloom.operators import graphs, metrics, windows
 from driftloom.operators.charts import Cusum, EwmaChart, control_chart
@@ -21,9 +22,9 @@ from driftloom.functions.theta import theta_sql
 from driftloom.plans.views import KINDS, event_features, trade_features, trade_graphs
 from driftloom.session import cut, own_folder
 from driftloom.sources.generators import SCENARIOS, generate
-from driftloom.sources.proximity import contact_graphs, labelled_days
+from driftloom.sources.proximity import contact_graphs, read_csv
 from driftloom.sources.tables import PEER, USER, table
-from driftloom.streaming.online import LAST_PAIR, daily_contacts_stream, detect_stream, run_to_end, with_end
+from driftloom.streaming.online import LAST_PAIR, daily_contacts_stream, detect_stream, run_to_end, sessions_stream, with_end
 
 TRADE = DetectorConfig(threshold=8.0, startup_period=12, history_size=6, cooldown=6)
 EVENTS = DetectorConfig(threshold=8.0)
@@ -63,6 +64,14 @@ def proximity_edges(spark: SparkSession, folder: str) -> DataFrame:
     return contact_graphs(table(spark, folder, "proximity"), threshold=0.3).edges
 
 
+def proximity_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from the log's CSV form, written here for the purpose: a header, ``NA`` for missing values."""
+    target = f"{_folder(spark)}/log"
+    log = table(spark, folder, "proximity").select(USER, PEER, "time", "prob2")
+    log.write.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(target, header=True, nullValue="NA")
+    return contact_graphs(read_csv(spark, target), threshold=0.3).edges
+
+
 def proximity_days(spark: SparkSession, folder: str) -> DataFrame:
     """Degree and density of each day's contact graph, empty days too."""
     g = contact_graphs(table(spark, folder, "proximity"))
@@ -209,6 +218,24 @@ def martingales(spark: SparkSession, folder: str) -> DataFrame:
     return total.select("series_id", "t", *parts, F.round("total", 6).alias("total"), driver(F.col("logm")).alias("driver"))
 
 
+def wealth_linear(spark: SparkSession, folder: str) -> DataFrame:
+    """The same wealth on the linear scale, and the shares where nothing to divide gives zeros."""
+    rows = windows.conformal_pvalues(windows.nonconformity(_matrix_long(spark, folder)))
+    total = windows.sum_martingale(windows.log_martingale(rows))
+    share = shares(F.col("logm"), "zero")
+    parts = [F.round(wealth(F.get("logm", F.lit(k))), 5).alias(f"wealth_{k}") for k in range(3)] + [F.round(F.get(share, F.lit(k)), 5).alias(f"share_{k}") for k in range(3)]
+    return total.select("series_id", "t", *parts)
+
+
+def calibration(spark: SparkSession, folder: str) -> DataFrame:
+    """The integrals of the bets, which are 1 for fair ones, by the trapezoid rule after p = u ** 4."""
+    bets_ = {"power": betting.power(0.5), "mixture": betting.mixture((0.5, 0.5), (0.3, 0.6)), "beta": betting.beta(0.5, 0.5), "default": betting.default(), "own": OWN_BET}
+    u = F.col("id") / F.lit(10_000.0)
+    ends = F.when(F.col("id").isin(0, 10_000), 0.5).otherwise(1.0)
+    sums = [F.round(F.sum(ends * bet(F.pow(u, F.lit(4.0))) * 4.0 * F.pow(u, F.lit(3.0))) / 10_000.0, 6).alias(name) for name, bet in bets_.items()]
+    return spark.range(10_001).agg(*sums)
+
+
 def joint_distances(spark: SparkSession, folder: str) -> DataFrame:
     """Distances from the centroid under all four metrics."""
     x = _matrix(spark, folder)
@@ -250,6 +277,23 @@ def trace_long(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(detect(event_features(spark, folder, minutes=10), LONG), len(KINDS))
 
 
+#: A bet of one's own that falls in a straight line.
+OWN_BET = betting.custom("straight", lambda p: F.lit(1.5) - p, lambda p: 1.5 - np.asarray(p))
+
+
+@dataclass(frozen=True)
+class Last:
+    """A forecaster of one's own: what was last is what comes next."""
+
+    def predict_multi(self, window: np.ndarray, horizon: int) -> np.ndarray:
+        return np.asarray(window)[-1]
+
+
+def trace_own(spark: SparkSession, folder: str) -> DataFrame:
+    """The detector with a bet and a forecaster of one's own."""
+    return _rounded(detect(_matrix(spark, folder), DetectorConfig(**(BASE | {"threshold": 2.0, "betting": OWN_BET, "forecaster": Last()}))), 3)
+
+
 #: Settings of the modes side by side: joint distances, a mixture of horizons, single streams, normalised features.
 BASE = {"threshold": 5.0, "startup_period": 10, "history_size": 5, "horizon": 3, "cooldown": 5}
 MODES: dict[str, dict] = {f"joint_{m}": {"detection_mode": "joint", "joint_distance": m} for m in METRICS} | {
@@ -335,6 +379,31 @@ def sweep_pivot(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.pivot_table(metrics.summarise(grouped, ["scenario", "detector"]), "scenario", "detector", ["cusum", "ewma", "horizon", "martingale"])
 
 
+def _grouped(spark: SparkSession, folder: str) -> DataFrame:
+    group = F.concat(F.lit("g"), F.substring("series_id", -1, 1).cast("int") % 3)
+    return metrics.summarise(_trials(spark, folder).withColumn("scenario", group), ["scenario", "detector"])
+
+
+def sweep_average(spark: SparkSession, folder: str) -> DataFrame:
+    """Means per group of series and detector, and over the groups as one more."""
+    found = metrics.with_average(_grouped(spark, folder), "scenario", ["detector"])
+    return found.select("scenario", "detector", *[F.round(c, 9).alias(c) for c in ("tpr_mean", "fpr_mean", "add_mean")])
+
+
+def sweep_overall(spark: SparkSession, folder: str) -> DataFrame:
+    """Means over the groups' means."""
+    found = metrics.overall(_grouped(spark, folder), ["detector"])
+    return found.select("detector", *[F.round(c, 9).alias(c) for c in ("tpr", "fpr", "add")])
+
+
+def sweep_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """A row per trial, written as CSV and read again."""
+    target = f"{_folder(spark)}/trials"
+    found = trials(spark, folder)
+    metrics.write_csv(found, target)
+    return spark.read.schema(found.schema).csv(target, header=True)
+
+
 def synthetic_features(spark: SparkSession, folder: str) -> DataFrame:
     """All eight features of one sequence per scenario."""
     made = generate(spark, list(SCENARIOS), [0])
@@ -414,6 +483,16 @@ def trace_sql(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("series_id", "t", F.round("logm_trad", 6).alias("logm_trad"), F.round("logm_hrzn", 6).alias("logm_hrzn"), "fired", "fired_by")
 
 
+def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions of the proximity log read as a stream to its end."""
+    target = _folder(spark)
+    log = spark.readStream.schema(table(spark, folder, "proximity").schema).parquet(f"{folder}/proximity.parque[t]")
+    log = log.filter(F.col("time") >= F.lit("2008-09-19").cast("timestamp_ntz")).withColumn("at", F.col("time").cast("timestamp"))
+    found = run_to_end(sessions_stream(with_end(log, "at", USER, PEER, target), USER, "at", 1800, "45 days"), target)
+    ends = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")]
+    return found.filter(F.col("entity").isNull() | (F.col("entity") != LAST_PAIR[0])).select(F.col("entity").alias("user_id"), *ends, "n_events")
+
+
 def stream_trace(spark: SparkSession, folder: str) -> DataFrame:
     """The detector's trace over the feature matrix, step by step from a stream."""
     target = _folder(spark)
@@ -425,10 +504,10 @@ def stream_trace(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        trace_trade, proximity_edges, proximity_days, proximity_labels, proximity_run, proximity_trace, trade_edges, matrix_clean, graph_counts, graph_clustering, graph_paths,
-        graph_features, graph_spectrum, graph_custom, graph_forecast, graph_diagnostics, graph_blend, conformal, forecasts, moments, bets, martingales, joint_distances, trace_events, alarms_events,
-        trace_matrix, trace_long, trace_modes, trace_graph_forecast, cusum, ewma_chart, trials, sweep_summary, sweep_ranking, sweep_pivot, synthetic_features, synthetic_sweep, synthetic_grid,
-        stream_contacts, stream_trace, trace_sql,
+        trace_trade, proximity_edges, proximity_csv, proximity_days, proximity_labels, proximity_run, proximity_trace, trade_edges, matrix_clean, graph_counts, graph_clustering, graph_paths,
+        graph_features, graph_spectrum, graph_custom, graph_forecast, graph_diagnostics, graph_blend, conformal, forecasts, moments, bets, martingales, wealth_linear, calibration, joint_distances, trace_events, alarms_events,
+        trace_matrix, trace_long, trace_own, trace_modes, trace_graph_forecast, cusum, ewma_chart, trials, sweep_summary, sweep_ranking, sweep_pivot, sweep_average, sweep_overall, sweep_csv, synthetic_features, synthetic_sweep, synthetic_grid,
+        stream_contacts, stream_sessions, stream_trace, trace_sql,
     )
 }
 
@@ -486,11 +565,14 @@ _SCORES = f"""
 
 
 def _bet_sql(kind: str) -> str:
+    return f"CASE WHEN p IS NOT NULL THEN round({_bet_expr(kind)}, 5) END AS g_{kind}"
+
+
+def _bet_expr(kind: str) -> str:
     c = "greatest(1e-10::DOUBLE, least(1.0::DOUBLE, p))"
     power = lambda e: f"{e}::DOUBLE * pow({c}, {e}::DOUBLE - 1.0::DOUBLE)"
     beta = "1.0::DOUBLE / (pi() * sqrt({0}) * sqrt(1.0::DOUBLE - {0}))".format("greatest(1e-10::DOUBLE, least(1.0::DOUBLE - 1e-10::DOUBLE, p))")
-    g = {"power": power(0.5), "mixture": f"0.5::DOUBLE * ({power(0.3)}) + 0.5::DOUBLE * ({power(0.6)})", "beta": beta, "default": default_bet("p")}[kind]
-    return f"CASE WHEN p IS NOT NULL THEN round({g}, 5) END AS g_{kind}"
+    return {"power": power(0.5), "mixture": f"0.5::DOUBLE * ({power(0.3)}) + 0.5::DOUBLE * ({power(0.6)})", "beta": beta, "default": default_bet("p")}[kind]
 
 
 def _chart_sql(kind: str) -> str:
@@ -591,11 +673,25 @@ _PROXIMITY_X = _clusters(
     "(" + _NODES.format(_CONTACTS.format("0.0")) + " SELECT 'proximity' AS series_id, r.t::INT AS t, (SELECT count(*) FROM nodes)::INT AS n FROM range(289) r(t))",
 )
 
+_GROUPS = """, cell AS (SELECT detector, 'g' || (right(series_id, 1)::INT % 3) AS scenario, avg(tpr) AS tpr, avg(fpr) AS fpr, avg(add) AS add FROM trial GROUP BY 1, 2)"""
+#: The running wealth of every feature from p-values, without resets.
+_WEALTH = f""",
+        lg AS MATERIALIZED (SELECT series_id, t, list(coalesce(ln(greatest({default_bet("p")}, 1e-300::DOUBLE)), 0) ORDER BY k) AS y FROM pv WHERE t > 0 GROUP BY 1, 2),
+        fold AS (SELECT DISTINCT series_id, 0 AS t, [0.0::DOUBLE, 0.0, 0.0] AS m FROM pv
+            UNION ALL SELECT f.series_id, l.t, list_transform(list_zip(f.m, l.y), lambda z: greatest(z[1] + z[2], ln(1e-300::DOUBLE))) FROM fold f JOIN lg l ON l.series_id = f.series_id AND l.t = f.t + 1)"""
+
+
+def _integral(g: str) -> str:
+    """The trapezoid rule over u = 0, 1 / 10000, .., 1 for a bet on p = u ** 4."""
+    return f"round(sum(CASE WHEN i IN (0, 10000) THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END * ({g}) * 4.0::DOUBLE * pow(u, 3)) / 10000.0::DOUBLE, 6)"
+
+
 SQL: dict[str, str] = {
     "sweep_summary": _TRIALS + " SELECT * FROM means",
     "sweep_ranking": _TRIALS + """ SELECT detector, tpr_mean AS tpr, fpr_mean AS fpr, add_mean AS add,
         row_number() OVER (ORDER BY tpr_mean DESC NULLS LAST, add_mean NULLS LAST, detector)::INT AS place FROM means""",
     "proximity_edges": _NODES.format(_CONTACTS.format("0.3")) + " SELECT 'proximity' AS series_id, t, u, v FROM edges_",
+    "proximity_csv": _NODES.format(_CONTACTS.format("0.3")) + " SELECT 'proximity' AS series_id, t, u, v FROM edges_",
     "proximity_days": _DAYS + " SELECT t, n, m, 2.0 * m / n AS mean_degree, 2.0 * m / (n::DOUBLE * (n - 1)) AS density FROM per_day",
     "proximity_labels": _DAYS + " SELECT day AS t, label, m FROM event_labels LEFT JOIN per_day ON day = t",
     "trade_edges": f"WITH {_TRADE} SELECT 'trade' AS series_id, t, u, v FROM trade",
@@ -669,10 +765,11 @@ SQL: dict[str, str] = {
             round((x - mu) / CASE WHEN coalesce(sigma, 0) < 1e-10 THEN 1 ELSE sigma END, 9) AS x FROM xs JOIN f USING (series_id, k)
         WINDOW w AS (PARTITION BY series_id, k ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     "bets": _SCORES + " SELECT series_id, t, k, " + ", ".join(_bet_sql(k) for k in ("power", "mixture", "beta", "default")) + " FROM pv",
-    "martingales": _SCORES + f""",
-        lg AS MATERIALIZED (SELECT series_id, t, list(coalesce(ln(greatest({default_bet("p")}, 1e-300::DOUBLE)), 0) ORDER BY k) AS y FROM pv WHERE t > 0 GROUP BY 1, 2),
-        fold AS (SELECT DISTINCT series_id, 0 AS t, [0.0::DOUBLE, 0.0, 0.0] AS m FROM pv
-            UNION ALL SELECT f.series_id, l.t, list_transform(list_zip(f.m, l.y), lambda z: greatest(z[1] + z[2], ln(1e-300::DOUBLE))) FROM fold f JOIN lg l ON l.series_id = f.series_id AND l.t = f.t + 1)
+    "wealth_linear": _SCORES + _WEALTH + " SELECT series_id, t, "
+        + ", ".join(f"round(exp(m[{k + 1}]), 5) AS wealth_{k}, round(100.0 * exp(m[{k + 1}] - {lse('m')}), 5) AS share_{k}" for k in range(3)) + " FROM fold",
+    "calibration": "WITH k AS (SELECT i, i / 10000.0::DOUBLE AS u, pow(i / 10000.0::DOUBLE, 4) AS p FROM range(10001) r(i)) SELECT "
+        + ", ".join(f"{_integral(_bet_expr(kind))} AS {kind}" for kind in ("power", "mixture", "beta", "default")) + f", {_integral('1.5::DOUBLE - p')} AS own FROM k",
+    "martingales": _SCORES + _WEALTH + f"""
         SELECT series_id, t, round(m[1], 6) AS logm_0, round(m[2], 6) AS logm_1, round(m[3], 6) AS logm_2, round(s[1], 5) AS share_0, round(s[2], 5) AS share_1, round(s[3], 5) AS share_2,
             round({lse("m")}, 6) AS total, (list_position(m, list_max(m)) - 1)::INT AS driver
         FROM (SELECT *, list_transform(m, lambda v: 100.0 * exp(v - {lse("m")})) AS s FROM fold)""",
@@ -683,6 +780,11 @@ SQL: dict[str, str] = {
     "trace_long": detector_sql(_events_x(None, 10), 0, 6, 20.0, 20, k=len(KINDS), horizon=5),
     "trace_matrix": detector_sql(_MATRIX_X, 10, 5, 5.0, 5, horizon=3),
     "stream_trace": detector_sql(_MATRIX_X, 10, 5, 5.0, 5, horizon=3, with_p=False),
+    "trace_own": detector_sql(_MATRIX_X, 10, 5, 2.0, 5, horizon=3, forecasts=f"SELECT series_id, t, k, x AS f FROM ({_MATRIX_X})", bet=lambda p: f"ln(greatest(1.5::DOUBLE - {p}, 1e-300::DOUBLE))"),
+    "stream_sessions": """
+        WITH flagged AS (SELECT *, "time" - lag("time") OVER w AS since FROM proximity WHERE "time" >= TIMESTAMP '2008-09-19' WINDOW w AS (PARTITION BY "user.id" ORDER BY "time")),
+        numbered AS (SELECT *, sum(CASE WHEN since <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY "user.id" ORDER BY "time" ROWS UNBOUNDED PRECEDING) AS no_ FROM flagged)
+        SELECT "user.id" AS user_id, min("time") AS start, max("time") + INTERVAL 30 MINUTE AS "end", count(*) AS n_events FROM numbered GROUP BY "user.id", no_""",
     "trace_sql": f"SELECT series_id, t, logm_trad, logm_hrzn, fired, fired_by FROM ({detector_sql(_MATRIX_X, 10, 5, 5.0, 5, horizon=3)})",
     "trace_modes": " UNION ALL ".join(
         f"SELECT '{name}' AS config, series_id, t, logm_trad, logm_hrzn, fired FROM ({_mode_sql(extra)})" for name, extra in MODES.items()
@@ -692,6 +794,10 @@ SQL: dict[str, str] = {
     "cusum": _chart_sql("cusum") + _CHART_ROWS,
     "ewma_chart": _chart_sql("ewma") + _CHART_ROWS,
     "trials": _TRIALS + """ SELECT detector, series_id, round(tpr, 9) AS tpr, round(fpr, 9) AS fpr, round(add, 9) AS add, n_tp, n_fp, n_detections FROM trial""",
+    "sweep_csv": _TRIALS + """ SELECT detector, series_id, round(tpr, 9) AS tpr, round(fpr, 9) AS fpr, round(add, 9) AS add, n_tp, n_fp, n_detections FROM trial""",
+    "sweep_average": _TRIALS + _GROUPS + """ SELECT scenario, detector, round(tpr, 9) AS tpr_mean, round(fpr, 9) AS fpr_mean, round(add, 9) AS add_mean FROM cell
+        UNION ALL SELECT 'AVERAGE', detector, round(avg(tpr), 9), round(avg(fpr), 9), round(avg(add), 9) FROM cell GROUP BY 2""",
+    "sweep_overall": _TRIALS + _GROUPS + " SELECT detector, round(avg(tpr), 9) AS tpr, round(avg(fpr), 9) AS fpr, round(avg(add), 9) AS add FROM cell GROUP BY 1",
     "sweep_pivot": _TRIALS + """, cell AS (SELECT detector, substr(series_id, 1, 5) AS scenario, avg(tpr) AS tpr, avg(fpr) AS fpr, avg(add) AS add FROM trial GROUP BY 1, 2)
         SELECT scenario, """ + ", ".join(
         f"coalesce(max(CASE WHEN detector = '{d}' THEN printf('%.3f', {m}) END), '') AS {d}_{m}" for d in ("cusum", "ewma", "horizon", "martingale") for m in ("tpr", "fpr", "add")
