@@ -81,10 +81,86 @@ def counted(snapshots: DataFrame, edges: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Feature:
-    """A named feature of a stack of adjacency matrices of one size; ``fn`` gets (B, n, n) and shared results, and returns (B,)."""
+    """A named feature of a stack of adjacency matrices of one size; ``fn`` gets (B, n, n) and shared results, and returns (B,).
+
+    ``sparse``, if there is one, gives the same for one large graph from its
+    neighbours; without it a large graph becomes a matrix too.
+    """
 
     name: str
     fn: Callable[[np.ndarray, dict], np.ndarray]
+    sparse: Callable[[Neighbours], float] | None = None
+
+
+class Neighbours:
+    """One graph by its neighbour lists, for graphs whose matrix would be too large."""
+
+    def __init__(self, n: int, u: np.ndarray, v: np.ndarray) -> None:
+        self.n, self.m = n, len(u)
+        source, target = np.concatenate([u, v]).astype(np.int64), np.concatenate([v, u]).astype(np.int64)
+        order = np.lexsort((target, source))
+        self.source, self.target = source[order], target[order]
+        self.degree = np.bincount(self.source, minlength=n)
+        self._paths: tuple[np.ndarray, np.ndarray, int] | None = None
+
+    def triangles(self) -> np.ndarray:
+        """Triangles at each node; edges point to the end of larger degree, so a node has few of them to pair."""
+        n, count = self.n, np.zeros(self.n, dtype=np.int64)
+        rank = np.empty(n, dtype=np.int64)
+        rank[np.lexsort((np.arange(n), self.degree))] = np.arange(n)
+        out = rank[self.source] < rank[self.target]
+        a, b = self.source[out], self.target[out]
+        known = self.source * n + self.target
+        ends = np.cumsum(np.bincount(a, minlength=n))
+        later = ends[a] - np.arange(len(a)) - 1
+        stops = np.append(np.searchsorted(np.cumsum(later), np.arange(PAIRS, later.sum() + PAIRS, PAIRS), side="right"), len(a)) if len(a) else [0]
+        low = 0
+        for high in np.unique(np.minimum(np.maximum(stops, 1), len(a))) if len(a) else ():
+            first = np.repeat(np.arange(low, high), later[low:high])
+            second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(later[low:high]) - later[low:high], later[low:high])
+            pair = b[first] * n + b[second]
+            at = np.minimum(np.searchsorted(known, pair), max(len(known) - 1, 0))
+            closed = known[at] == pair
+            for end in (a[first], b[first], b[second]):
+                count += np.bincount(end[closed], minlength=n)
+            low = high
+        return count
+
+    def paths(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """For each node how many others it reaches and the sum of their distances; and the sum of all inner nodes of shortest paths."""
+        if self._paths is None:
+            n = self.n
+            reach, far, inner = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), 0
+            touched = np.flatnonzero(self.degree)
+            starts = (np.cumsum(self.degree) - self.degree)[touched]
+            words = int(min(max(1, PATH_BYTES // (8 * max(2 * self.m, n, 1))), -(-max(len(touched), 1) // 64)))
+            # A search per bit; as distances are symmetric, those that come to a node are those that it starts.
+            for low in range(0, len(touched), 64 * words):
+                block = touched[low : low + 64 * words]
+                bit = np.arange(len(block))
+                seen = np.zeros((n, words), dtype=np.uint64)
+                seen[block, bit // 64] = np.uint64(1) << (bit % 64).astype(np.uint64)
+                front, hop = seen.copy(), 0
+                while True:
+                    hop += 1
+                    near = np.zeros_like(seen)
+                    near[touched] = np.bitwise_or.reduceat(front[self.target], starts, axis=0)
+                    front = near & ~seen
+                    found = np.bitwise_count(front).sum(axis=1, dtype=np.int64)
+                    if not found.any():
+                        break
+                    seen |= front
+                    reach += found
+                    far += hop * found
+                    inner += (hop - 1) * int(found.sum())
+            self._paths = reach, far, inner
+        return self._paths
+
+
+#: Pairs of neighbours, and bytes of a block of searches, that are held at once.
+PAIRS, PATH_BYTES = 4_000_000, 64_000_000
+#: Graphs of more nodes than this are large.
+DENSE_NODES = 4_096
 
 
 def _distances(a: np.ndarray, shared: dict) -> np.ndarray:
@@ -174,6 +250,30 @@ def spectral_gap(a: np.ndarray, shared: dict) -> np.ndarray:
     return _laplacian(a, shared)[:, 2] - _laplacian(a, shared)[:, 1] if a.shape[1] >= 3 else _zero(a)
 
 
+def _sparse_degree(g: Neighbours) -> float:
+    return 2.0 * g.m / g.n if g.n else 0.0
+
+
+def _sparse_density(g: Neighbours) -> float:
+    return 2.0 * g.m / (g.n * (g.n - 1.0)) if g.n >= 2 else 0.0
+
+
+def _sparse_clustering(g: Neighbours) -> float:
+    pairs = g.degree * (g.degree - 1.0)
+    return float(np.divide(2.0 * g.triangles(), pairs, out=np.zeros(g.n), where=pairs > 0).mean()) if g.n else 0.0
+
+
+def _sparse_betweenness(g: Neighbours) -> float:
+    return g.paths()[2] / (g.n * (g.n - 1.0) * (g.n - 2.0)) if g.n >= 3 else 0.0
+
+
+def _sparse_closeness(g: Neighbours) -> float:
+    if g.n < 2:
+        return 0.0
+    reach, far, _ = g.paths()
+    return float((np.divide(reach, far, out=np.zeros(g.n), where=far > 0) * reach / (g.n - 1)).mean())
+
+
 def density(a: np.ndarray, shared: dict) -> np.ndarray:
     n = a.shape[1]
     return a.sum(axis=(1, 2)) / (n * (n - 1.0)) if n >= 2 else _zero(a)
@@ -228,9 +328,12 @@ def triangle_count(a: np.ndarray, shared: dict) -> np.ndarray:
 
 #: The default features; their order is the order of a feature vector.
 DEFAULT = tuple(
-    Feature(f.__name__, f)
-    for f in (mean_degree, mean_clustering, mean_betweenness, mean_closeness, mean_eigenvector, algebraic_connectivity, spectral_gap, density)
-)
+    Feature(f.__name__, f, sparse)
+    for f, sparse in (
+        (mean_degree, _sparse_degree), (mean_clustering, _sparse_clustering), (mean_betweenness, _sparse_betweenness), (mean_closeness, _sparse_closeness),
+        (mean_eigenvector, None), (algebraic_connectivity, None), (spectral_gap, None), (density, _sparse_density),
+    )
+)
 
 
 def names(features: tuple[Feature, ...] = DEFAULT) -> list[str]:
@@ -241,8 +344,10 @@ def names(features: tuple[Feature, ...] = DEFAULT) -> list[str]:
 def extract(snapshots: DataFrame, edges: DataFrame, features: tuple[Feature, ...] = DEFAULT) -> DataFrame:
     """``series_id, t, x``: the feature vector of every snapshot, those without edges too.
 
-    An edge to a node at or beyond ``n`` is an error. One snapshot is one matrix
-    in one task (n * n bytes); the snapshots of a series lie in many tasks.
+    An edge to a node at or beyond ``n`` is an error. A snapshot is one task's
+    work; the snapshots of a series lie in many tasks. Snapshots of up to
+    ``DENSE_NODES`` nodes become matrices, stacked; of larger ones only the
+    features without a sparse form (spectra) need the matrix.
     """
     lists = canonical_edges(edges).groupBy(*KEY).agg(F.collect_list(F.struct("u", "v")).alias("e"))
     rows = snapshots.select("series_id", "t", F.col("n").cast("int").alias("n")).join(lists, KEY, "left")
@@ -264,7 +369,20 @@ def _extract_batch(batch: pa.RecordBatch, features: tuple[Feature, ...]) -> pa.R
     u, v = (pc.list_flatten(batch.column(i)).to_numpy(zero_copy_only=False) for i in (3, 4))
     ends = np.cumsum(lengths)
     x = np.zeros((batch.num_rows, len(features)))
-    for n in np.unique(sizes):
+    for row in np.flatnonzero(sizes > DENSE_NODES):
+        part = slice(ends[row] - lengths[row], ends[row])
+        if lengths[row] and max(u[part].max(), v[part].max()) >= sizes[row]:
+            raise IndexError(f"an edge ends at or beyond the {sizes[row]} nodes")
+        graph, shared, a = Neighbours(int(sizes[row]), u[part], v[part]), {}, None
+        for k, f in enumerate(features):
+            if f.sparse is not None:
+                x[row, k] = f.sparse(graph)
+                continue
+            if a is None:
+                a = np.zeros((1, graph.n, graph.n), dtype=np.int8)
+                a[0, u[part], v[part]] = a[0, v[part], u[part]] = 1
+            x[row, k] = f.fn(a, shared)[0]
+    for n in np.unique(sizes[sizes <= DENSE_NODES]):
         same = np.flatnonzero(sizes == n)
         step = max(1, int(4e6 // max(int(n) ** 2, 1)))
         for at in range(0, len(same), step):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftloom.operators.order import dense_index
+from driftloom.session import written
 from driftloom.sources.tables import DAY0, PEER, USER
 
 #: Days of the events marked in the study's calendar.
@@ -60,8 +61,8 @@ def contact_graphs(log: DataFrame, threshold: float = 0.0, day0: str = DAY0, n_d
     Nodes are the users and peers of the kept contacts in order of their ids;
     loops then drop out, and each pair counts once a day.
     """
-    # Pairs are combined per day before anything else: the log is shuffled once, after map-side combining.
-    rows = contacts(log, threshold, day0, n_days).groupBy("t", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.lit(1).alias("one"))
+    # Pairs are combined per day on the map side and written once: users and edges both come from these.
+    rows = written(contacts(log, threshold, day0, n_days).select("t", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     users = rows.select(F.explode(F.array("a", "b")).alias("user_id")).distinct()
     nodes = dense_index(users, "user_id", "node").select("node", "user_id")
     u = nodes.select(F.col("node").alias("u"), F.col("user_id").alias("a"))

@@ -7,6 +7,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,28 @@ def test_features_are_invariant_and_match_path_counting(spark):
         assert got[(s, t)][1] == pytest.approx(closed[(s, t)], abs=1e-12)
 
 
+@pytest.mark.parametrize("memory", [(4_000_000, 64_000_000), (1, 1), (7, 100)])
+def test_large_graphs_have_the_same_features(monkeypatch, memory):
+    """By neighbour lists as by matrices, however little is held at once."""
+    rng = np.random.default_rng(3)
+    batches = []
+    for n, p in ((0, 0), (1, 0), (2, 1.0), (5, 0.0), (12, 0.3), (40, 0.1), (40, 0.02), (25, 1.0), (60, 0.05)):
+        u, v = np.triu_indices(n, 1)
+        keep = rng.random(len(u)) < p
+        batches.append((n, u[keep].tolist(), v[keep].tolist()))
+    ids = pa.array([str(i) for i in range(len(batches))])
+    batch = pa.RecordBatch.from_arrays(
+        [ids, pa.array(range(len(batches)), pa.int32()), pa.array([n for n, _, _ in batches], pa.int32()), pa.array([u for _, u, _ in batches], pa.list_(pa.int32())), pa.array([v for _, _, v in batches], pa.list_(pa.int32()))],
+        names=["series_id", "t", "n", "u", "v"],
+    )
+    whole = graphs._extract_batch(batch, graphs.DEFAULT).column(2).to_pylist()
+    monkeypatch.setattr(graphs, "DENSE_NODES", -1)
+    monkeypatch.setattr(graphs, "PAIRS", memory[0])
+    monkeypatch.setattr(graphs, "PATH_BYTES", memory[1])
+    for row, other in zip(graphs._extract_batch(batch, graphs.DEFAULT).column(2).to_pylist(), whole):
+        assert row == pytest.approx(other, abs=1e-12)
+
+
 def test_custom_feature(spark):
     snapshots, edges = frames(spark, [("a", 0, 5, GRAPHS["K5"][1])])
     own = graphs.Feature("edges", lambda a, shared: a.sum(axis=(1, 2)) / 2)
