@@ -12,7 +12,7 @@ from driftloom.operators.grid import GridSpec, regular_grid
 from driftloom.operators.sessions import SessionSpec, sessionize
 from driftloom.operators.skew import fragment_replicate_join, per_key_results, plan_shards
 from driftloom.session import cut, width
-from driftloom.sources.dsv import parse_lines
+from driftloom.sources.dsv import parse_lines, with_reason
 from driftloom.sources.tables import DAY0, PEER, USER, dated, table
 
 GRID = GridSpec(keys=(USER, "wave"), time="time", value="prob2", origin=DAY0)
@@ -54,7 +54,7 @@ def p3_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """The lines that aren't valid."""
-    return p3_lines(spark, folder).filter(F.col("reason").isNotNull()).select("line_id")
+    return with_reason(p3_lines(spark, folder)).select("line_id")
 
 
 def p4_keys(spark: SparkSession, folder: str) -> DataFrame:

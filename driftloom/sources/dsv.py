@@ -272,13 +272,24 @@ def parse_lines(lines: DataFrame, line: str, fields: tuple[Field, ...] = PROXIMI
     )
 
 
+def with_reason(parsed: DataFrame, rejected: bool = True) -> DataFrame:
+    """The lines with a reason (or those without).
+
+    A plain filter would be pushed below the typing and repeat it for each
+    column that the reason depends on; the row's number, which can't be moved,
+    keeps it above.
+    """
+    kept = F.col("reason").isNotNull() if rejected else F.col("reason").isNull()
+    return parsed.withColumn("_row", F.monotonically_increasing_id()).filter(kept & (F.col("_row") >= 0)).drop("_row")
+
+
 def split_lines(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The valid rows, and the rejected lines with reason and offset."""
     typed = [c for c in parsed.columns if c not in ("reason", "reason_offset")]
     names = {f.name for f in PROXIMITY_FIELDS}
-    good = parsed.filter(F.col("reason").isNull()).select(*[f"`{c}`" for c in typed])
-    bad = parsed.filter(F.col("reason").isNotNull()).select(*[f"`{c}`" for c in typed if c not in names], "reason", "reason_offset")
+    good = with_reason(parsed, False).select(*[f"`{c}`" for c in typed])
+    bad = with_reason(parsed).select(*[f"`{c}`" for c in typed if c not in names], "reason", "reason_offset")
     return good, bad
 
 
-__all__ = ["PEER", "USER", "Field", "PROXIMITY_FIELDS", "parse_lines", "split_lines", "states_before", "tokenize"]
+__all__ = ["PEER", "USER", "Field", "PROXIMITY_FIELDS", "parse_lines", "split_lines", "with_reason", "states_before", "tokenize"]
