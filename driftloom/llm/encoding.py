@@ -151,13 +151,22 @@ def _covered(name: str) -> re.Pattern:
 
 
 COVERED = {name: _covered(name) for name in ENCODE}
+#: The first character beyond ASCII must be punctuation or a lead byte: by character, the encodings in which it is that.
+PUNCTUATION = "“”„‘’«»…–—"
+LEADS: dict[str, list[str]] = {}
+for _name, _table in ENCODE.items():
+    for _code, _byte in _table.items():
+        if 0xC2 <= _byte <= 0xF4:
+            LEADS.setdefault(chr(_code), []).append(_name)
 
 
 def covered_by(chunk: str) -> list[str]:
     """The encodings in which the chunk as a whole is well-formed UTF-8, so that it is likely UTF-8 read in one of them."""
     if not ADJACENT.search(chunk):
         return []
-    names = [name for name, whole in COVERED.items() if whole.fullmatch(chunk) and UTF8_RUN.search(codecs.charmap_encode(chunk, "replace", ENCODE[name])[0])]
+    first = WIDE.search(chunk).group()
+    likely = COVERED if first in PUNCTUATION or LOST in chunk else LEADS.get(first, ())
+    names = [name for name in likely if COVERED[name].fullmatch(chunk) and UTF8_RUN.search(codecs.charmap_encode(chunk, "replace", ENCODE[name])[0])]
     for name in MULTI_BYTE if EASTERN.search(chunk) else ():
         raw = chunk.encode(name, "ignore")
         high = sum(map(len, HIGH.findall(raw)))

@@ -12,6 +12,7 @@ from driftloom.llm.mixing import Mixture, mix
 from driftloom.llm.packing import pack
 from driftloom.llm.runs import RunSpec, collapse_runs
 from driftloom.llm.tokens import with_sizes
+from driftloom.session import cut
 from driftloom.sources.tables import DAY0, PEER, USER, dated, table
 
 RUNS = RunSpec(entity=USER, time="time", event=PEER, id="reading_id", gap_seconds=900)
@@ -57,19 +58,20 @@ def p6_held(spark: SparkSession, folder: str) -> DataFrame:
     """Per kind of container, sized by characters: what went in, what is wrong with any of them (nothing), and how many they are against the least number."""
     limits = {r.container: r.capacity_tokens for r in table(spark, folder, "pack_capacities").collect()}  # a few rows, fixed
     texts = table(spark, folder, "documents").filter("text is not null").select("doc_id", "source", F.col("n_chars").cast("bigint").alias("size"))
-    packed = pack(texts, "doc_id", "source", "size", limits).withColumn("capacity", F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col("container")])
+    # Packed once for the two views of it below.
+    packed = cut(pack(texts, "doc_id", "source", "size", limits)).withColumn("capacity", F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col("container")])
     one = packed.groupBy("container", "capacity", "container_id").agg(F.sum("size").alias("used"), F.count(F.lit(1)).alias("pieces"))
     of = one.groupBy("container", "capacity").agg(
         F.sum("pieces").alias("pieces"), F.sum("used").alias("size"), F.count_if(F.col("used") > F.col("capacity")).alias("overfull"), F.count(F.lit(1)).alias("made")
     )
     text = packed.groupBy("container", "item_id").agg(F.sum("size").alias("size"), F.max("n_pieces").alias("n"), F.count(F.lit(1)).alias("came"), F.max("capacity").alias("capacity"))
-    cut = text.groupBy("container").agg(
+    whole = text.groupBy("container").agg(
         F.count(F.lit(1)).alias("texts"),
         F.count_if((F.col("n") > 1) & (F.col("size") <= F.col("capacity"))).alias("cut_for_nothing"),
         F.count_if(F.col("came") != F.col("n")).alias("incomplete"),
     )
     near = F.col("made") <= F.lit(1.005) * F.ceil(F.col("size") / F.col("capacity")) + 4
-    return of.join(cut, "container").select("container", "texts", "pieces", "size", "overfull", "cut_for_nothing", "incomplete", near.alias("near_least"))
+    return of.join(whole, "container").select("container", "texts", "pieces", "size", "overfull", "cut_for_nothing", "incomplete", near.alias("near_least"))
 
 
 def _mixture(spark: SparkSession, folder: str) -> Mixture:
